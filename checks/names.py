@@ -165,7 +165,7 @@ def _(spark, sf):
 
 @query("extract_tempo", WITH_FILES + f"SELECT id, {S.tempo('stem')} AS tempo FROM loop_files")
 def _(spark, sf):
-    return loop_files(spark, sf).select("id", X.extract_tempo(F.col("stem")).alias("tempo"))
+    return L.with_tempo(loop_files(spark, sf)).select("id", "tempo")
 
 
 @query(
@@ -180,13 +180,12 @@ def _(spark, sf):
     stem = F.concat(F.concat_ws("_", "c_name", (k * 37 % 400).cast("string"), (k % 250).cast("string"),
                                 (k * 11 % 320).cast("string")), tail)
     named = table(spark, sf, "customer").select("c_custkey", stem.alias("stem"))
-    return named.withColumn("tempo", X.extract_tempo(F.col("stem")))
+    return L.with_tempo(named)
 
 
 @query("extract_key", WITH_FILES + f"SELECT * FROM {S.key_columns('loop_files', 'id', 'stem')}")
 def _(spark, sf):
-    found = X.extract_key(F.col("stem"))
-    return loop_files(spark, sf).select("id", found["key"].alias("key_signature"), found["key_type"].alias("key_type"))
+    return L.with_key(loop_files(spark, sf)).select("id", F.col("key.key").alias("key_signature"), "key.key_type")
 
 
 @query(
@@ -252,13 +251,13 @@ def _(spark, sf):
 
 BRANDS = """
 brands AS (SELECT kw, row_number() OVER (ORDER BY kw) AS pos, 'brand-' || length(kw) AS v1, NULL AS v2 FROM (
-  SELECT DISTINCT lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) AS kw FROM benchmark) WHERE length(kw) >= 3)
+  SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS kw FROM benchmark) WHERE length(kw) >= 3)
 """
 
 
 def own_dictionary(spark, sf):
     """A dictionary brought by the user: every word of three or more letters of the benchmark passages."""
-    words = table(spark, sf, "benchmark").select(F.lower(F.explode(F.split("text", "[^A-Za-z]+"))).alias("keyword"))
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword"))
     kept = words.filter(F.length("keyword") >= 3).distinct()
     return kept.select(
         "keyword",
@@ -303,8 +302,7 @@ def _(spark, sf):
     WITH_FILES + f"""SELECT tempo, count(*) AS files FROM (SELECT {S.tempo('stem')} AS tempo FROM loop_files) GROUP BY 1""",
 )
 def _(spark, sf):
-    found = loop_files(spark, sf).select(X.extract_tempo(F.col("stem")).alias("tempo"))
-    return found.groupBy("tempo").agg(F.count("*").alias("files"))
+    return L.with_tempo(loop_files(spark, sf)).groupBy("tempo").agg(F.count("*").alias("files"))
 
 
 @query(
@@ -313,8 +311,8 @@ def _(spark, sf):
       CASE WHEN key_type = 'minor' THEN 'm' ELSE '' END END AS key_text FROM {S.key_columns('loop_files', 'id', 'stem')}""",
 )
 def _(spark, sf):
-    found = X.extract_key(F.col("stem"))
-    return loop_files(spark, sf).select("id", X.key_text(found["key"], found["key_type"]).alias("key_text"))
+    text = X.key_text(F.col("key.key"), F.col("key.key_type"))
+    return L.with_key(loop_files(spark, sf)).select("id", text.alias("key_text"))
 
 
 @query(
@@ -467,11 +465,11 @@ def _(spark, sf):
       FROM loop_files JOIN {S.key_columns('loop_files', 'id', 'stem')} USING (id)""",
 )
 def _(spark, sf):
-    i, found = F.col("id"), X.extract_key(F.col("stem"))
-    return loop_files(spark, sf).select(
+    i = F.col("id")
+    return L.with_key(loop_files(spark, sf)).select(
         "id",
         D.fmt_tempo(F.when(i % 4 != 0, F.col("bpm")), i % 2 == 0).alias("tempo_text"),
-        D.fmt_key(found["key"], found["key_type"], i % 3 == 0).alias("key_shown"),
+        D.fmt_key(F.col("key.key"), F.col("key.key_type"), i % 3 == 0).alias("key_shown"),
     )
 
 

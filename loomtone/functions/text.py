@@ -32,8 +32,13 @@ def normalize_text(text: Column) -> Column:
     return F.translate(F.lower(text), "_-", "  ")
 
 
+def first_group(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first hit, or null without one (a plain extract gives an empty text, which casts badly)."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def _number(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 1).try_cast("int")
+    return first_group(text, pattern).cast("int")
 
 
 def _first(numbers: Column, bounds: tuple[int, int]) -> Column:
@@ -41,51 +46,57 @@ def _first(numbers: Column, bounds: tuple[int, int]) -> Column:
 
 
 def _numbers(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: s.try_cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: s.cast("int"))
 
 
-def extract_tempo(text: Column) -> Column:
+def extract_tempo(text: Column, lowered: Column | None = None) -> Column:
     """Beats per minute stated in a name, or null.
 
     A marked number (``120bpm``, ``[120]`` ...) counts if the first hit of its pattern is in range; then numbers between
     underscores, one directly before a key first, then one in the usual range, then any; then a number at the end.
+    Patterns are tried in turn and each is matched once.
     """
-    lowered = F.lower(text)
-
-    def marked(pattern: str) -> Column:
-        n = _number(lowered, pattern)
-        return F.when(n.between(*TEMPO_MARKED_RANGE), n)
-
-    between = _numbers(text, TEMPO_BETWEEN)
-    at_end = _number(text, TEMPO_AT_END)
+    lowered = F.lower(text) if lowered is None else lowered
+    marked = [_first(F.array(_number(lowered, p)), TEMPO_MARKED_RANGE) for p in TEMPO_MARKED]
     bare = F.coalesce(
         _first(_numbers(text, TEMPO_BEFORE_KEY), TEMPO_BARE_RANGE),
-        _first(between, TEMPO_PREFERRED_RANGE),
-        _first(between, TEMPO_BARE_RANGE),
-        F.when(at_end.between(*TEMPO_BARE_RANGE), at_end),
+        _first(_numbers(text, TEMPO_BETWEEN), TEMPO_PREFERRED_RANGE),
+        _first(_numbers(text, TEMPO_BETWEEN), TEMPO_BARE_RANGE),
+        _first(F.array(_number(text, TEMPO_AT_END)), TEMPO_BARE_RANGE),
     )
-    return F.coalesce(*[marked(p) for p in TEMPO_MARKED], F.when(F.contains(text, F.lit("_")), bare))
+    return F.coalesce(*marked, F.when(F.contains(text, F.lit("_")), bare))
 
 
-def extract_key(text: Column) -> Column:
-    """Key stated in a name as ``struct<key, key_type>``; both empty when there is none.
+def key_clean(text: Column) -> Column:
+    """The text keys are looked for in: underscores and dashes as blanks, case kept."""
+    return F.translate(text, "_-", "  ")
 
-    A scale word decides the type; without one the key is minor if ``<key>m`` stands anywhere as a word, else major.
-    """
-    clean = F.translate(text, "_-", "  ")
 
-    def hit(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract(clean, "(?i)" + pattern, group)
+def _hit(clean: Column, pattern: str, group: int = 1) -> Column:
+    return first_group(clean, "(?i)" + pattern, group)
+
 
-    found = F.coalesce(
-        *[F.nullif(hit(p), F.lit("")) for p in (KEY_WITH_SCALE, KEY_WITH_M, KEY_ACCIDENTAL, KEY_LETTER)]
+def key_found(clean: Column) -> Column:
+    """``struct<key, scale>`` of the first key pattern that hits; the scale only from the pattern that has one."""
+    scaled = _hit(clean, KEY_WITH_SCALE)
+    other = F.coalesce(*[_hit(clean, p) for p in (KEY_WITH_M, KEY_ACCIDENTAL, KEY_LETTER)])
+    return F.struct(
+        F.coalesce(scaled, other).alias("key"),
+        F.lower(F.substring(_hit(clean, KEY_WITH_SCALE, 2), 1, 3)).alias("scale"),
     )
-    key = F.coalesce(F.concat(F.upper(F.substring(found, 1, 1)), F.lower(F.substring(found, 2, 1))), F.lit(""))
-    scale = F.lower(F.substring(hit(KEY_WITH_SCALE, 2), 1, 3))
+
+
+def key_settled(clean: Column, found: Column) -> Column:
+    """``struct<key, key_type>``; both empty when there is none.
+
+    A scale word decides the type; without one the key is minor if ``<key>m`` stands anywhere as a word, else major.
+    """
+    raw = found["key"]
+    key = F.coalesce(F.concat(F.upper(F.substring(raw, 1, 1)), F.lower(F.substring(raw, 2, 1))), F.lit(""))
     key_type = (
-        F.when(key == "", F.lit(""))
-        .when(scale == "min", F.lit("minor"))
-        .when(scale == "maj", F.lit("major"))
+        F.when(raw.isNull(), F.lit(""))
+        .when(found["scale"] == "min", F.lit("minor"))
+        .when(found["scale"] == "maj", F.lit("major"))
         .when(F.regexp_like(clean, F.concat(F.lit("(?i)\\b"), key, F.lit("m\\b"))), F.lit("minor"))
         .otherwise(F.lit("major"))
     )
@@ -94,7 +105,8 @@ def extract_key(text: Column) -> Column:
 
 def parse_key_argument(text: str) -> tuple[Column, Column]:
     """A key given by hand (``Am``, ``F# minor``): read like a name, else upper-cased with ``m`` meaning minor."""
-    found = extract_key(F.lit(text))
+    clean = key_clean(F.lit(text))
+    found = key_settled(clean, key_found(clean))
     by_hand = F.when(F.lit("m" in text.lower()), F.lit("minor")).otherwise(F.lit("major"))
     named = found["key"] != ""
     return (
@@ -134,20 +146,19 @@ def all_keywords(text: Column, dictionary: list[tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def extract_instrument(name: Column) -> Column:
-    """``struct<v1: category, v2: subcategory>`` named in a file stem, or null."""
-    return longest_keyword(normalize_text(name), dims.entries(dims.INSTRUMENTS))
+def instrument_of(normal: Column) -> Column:
+    """``struct<v1: category, v2: subcategory>`` named in a normalised file stem, or null."""
+    return longest_keyword(normal, dims.entries(dims.INSTRUMENTS))
 
 
-def extract_genre(name: Column, path: Column) -> Column:
-    """Genre named in the folder path or the stem."""
-    both = normalize_text(F.concat(F.coalesce(path, F.lit("")), F.lit(" "), name))
-    return F.coalesce(longest_keyword(both, dims.entries(dims.GENRE_KEYWORDS))["v1"], F.lit(dims.DEFAULT_GENRE))
+def genre_of(normal: Column) -> Column:
+    """Genre named in a normalised folder and stem."""
+    return F.coalesce(longest_keyword(normal, dims.entries(dims.GENRE_KEYWORDS))["v1"], F.lit(dims.DEFAULT_GENRE))
 
 
-def extract_descriptors(name: Column) -> Column:
-    """Sorted array of descriptors named in a file stem."""
-    return all_keywords(normalize_text(name), dims.entries(dims.DESCRIPTOR_KEYWORDS))
+def descriptors_of(normal: Column) -> Column:
+    """Sorted array of descriptors named in a normalised file stem."""
+    return all_keywords(normal, dims.entries(dims.DESCRIPTOR_KEYWORDS))
 
 
 def key_text(key: Column, key_type: Column) -> Column:

@@ -14,27 +14,48 @@ TEXT_BLOCK = 1_000
 SALTS = 16
 
 
+def folder_and_name(stem: str, path: str) -> Column:
+    return F.concat_ws(" ", F.coalesce(F.col(path), F.lit("")), F.col(stem))
+
+
 def lookup_instrument(df: DataFrame, stem: str = "stem", programs: Column | None = None) -> DataFrame:
-    """Add category and subcategory: named in the stem, else implied by MIDI programs, else the defaults."""
-    named = X.extract_instrument(F.col(stem))
-    by_program = lookup_program(programs) if programs is not None else F.lit(None)
-    df = df.withColumn("_named", named)
-    pick = lambda field, default: F.coalesce(
-        F.col("_named")[field], by_program[field] if programs is not None else F.lit(None), F.lit(default)
-    )
+    """Add category and subcategory: named in the stem, else implied by MIDI programs, else the defaults.
+
+    The text is normalised in a projection of its own: keyword tests then share one copy instead of redoing it.
+    """
+    df = df.withColumn("_normal", X.normalize_text(F.col(stem))).withColumn("_named", X.instrument_of(F.col("_normal")))
+    by_program = lookup_program(programs) if programs is not None else F.lit(None).cast("struct<v1:string,v2:string>")
     return df.withColumns(
-        {"category": pick("v1", dims.DEFAULT_CATEGORY), "subcategory": pick("v2", dims.DEFAULT_SUBCATEGORY)}
-    ).drop("_named")
+        {
+            "category": F.coalesce(F.col("_named")["v1"], by_program["v1"], F.lit(dims.DEFAULT_CATEGORY)),
+            "subcategory": F.coalesce(F.col("_named")["v2"], by_program["v2"], F.lit(dims.DEFAULT_SUBCATEGORY)),
+        }
+    ).drop("_named", "_normal")
 
 
 def lookup_genre(df: DataFrame, stem: str = "stem", path: str = "rel_parent") -> DataFrame:
     """Add the genre named in folder or stem."""
-    return df.withColumn("genre", X.extract_genre(F.col(stem), F.col(path)))
+    normal = df.withColumn("_normal", X.normalize_text(folder_and_name(stem, path)))
+    return normal.withColumn("genre", X.genre_of(F.col("_normal"))).drop("_normal")
 
 
 def lookup_descriptors(df: DataFrame, stem: str = "stem") -> DataFrame:
     """Add the sorted array of descriptors named in the stem."""
-    return df.withColumn("descriptors", X.extract_descriptors(F.col(stem)))
+    normal = df.withColumn("_normal", X.normalize_text(F.col(stem)))
+    return normal.withColumn("descriptors", X.descriptors_of(F.col("_normal"))).drop("_normal")
+
+
+def with_tempo(df: DataFrame, text: str = "stem", out: str = "tempo") -> DataFrame:
+    """Add the tempo stated in a name."""
+    low = df.withColumn("_low", F.lower(text))
+    return low.withColumn(out, X.extract_tempo(F.col(text), F.col("_low"))).drop("_low")
+
+
+def with_key(df: DataFrame, text: str = "stem", out: str = "key") -> DataFrame:
+    """Add the key stated in a name as ``struct<key, key_type>``."""
+    clean = df.withColumn("_clean", X.key_clean(F.col(text)))
+    found = clean.withColumn("_found", X.key_found(F.col("_clean")))
+    return found.withColumn(out, X.key_settled(F.col("_clean"), F.col("_found"))).drop("_clean", "_found")
 
 
 def lookup_program(programs: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtone import dims
 from loomtone.functions import numbers as N
 from loomtone.functions import text as X
-from loomtone.operators.lookup import lookup_program
+from loomtone.operators.lookup import folder_and_name, lookup_program, with_key, with_tempo
 
 OVERRIDABLE = [
     "tempo",
@@ -31,16 +31,21 @@ MIDI_FACTS = (
 
 
 def detect(df: DataFrame, stem: str = "stem", path: str = "rel_parent") -> DataFrame:
-    """Add everything a name can tell: name_tempo, name_key, named (instrument), genre and descriptors."""
-    return df.withColumns(
+    """Add everything a name can tell: name_tempo, name_key, named (instrument), genre and descriptors.
+
+    Shared texts are made once in an earlier projection, so no keyword test or pattern repeats them.
+    """
+    shared = df.withColumns(
+        {"_name": X.normalize_text(F.col(stem)), "_where": X.normalize_text(folder_and_name(stem, path))}
+    )
+    keyed = with_key(with_tempo(shared, stem, "name_tempo"), stem, "name_key")
+    return keyed.withColumns(
         {
-            "name_tempo": X.extract_tempo(F.col(stem)),
-            "name_key": X.extract_key(F.col(stem)),
-            "named": X.extract_instrument(F.col(stem)),
-            "genre": X.extract_genre(F.col(stem), F.col(path)),
-            "descriptors": F.array_join(X.extract_descriptors(F.col(stem)), ","),
+            "named": X.instrument_of(F.col("_name")),
+            "genre": X.genre_of(F.col("_where")),
+            "descriptors": F.array_join(X.descriptors_of(F.col("_name")), ","),
         }
-    )
+    ).drop("_name", "_where")
 
 
 def resolve_metadata(df: DataFrame, midi: str | None = None) -> DataFrame:

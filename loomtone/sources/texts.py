@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtone.functions.text import parse_report_key
+from loomtone.functions.text import first_group, parse_report_key
 
 # ---- FIXED VALUES: labels of the probe log and of the text report ---------------------------------------------------
 PROBE_LABELS = {
@@ -40,9 +40,10 @@ def afinfo_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     low = F.lower("line")
     label = F.coalesce(*[F.when(F.contains(low, F.lit(t)), F.lit(n)) for n, t in PROBE_LABELS.items()])
     lines = _lines(df, key, text).withColumn("label", label)
-    number = F.regexp_extract("line", r"(\d+\.?\d*)", 1).try_cast("double")
-    whole = F.regexp_extract("line", r"(\d+)", 1).try_cast("int")
-    seconds = F.regexp_extract("line", r"(\d+\.?\d*)\s*sec", 1).try_cast("double")
+    line = F.col("line")
+    number = first_group(line, r"(\d+\.?\d*)").cast("double")
+    whole = first_group(line, r"(\d+)").try_cast("int")
+    seconds = first_group(line, r"(\d+\.?\d*)\s*sec").cast("double")
     codec = F.trim(F.get(F.split("line", ":"), F.lit(1)))
     return lines.groupBy(key).agg(
         _last(number, F.col("label") == "sample_rate").alias("sample_rate"),
@@ -54,8 +55,8 @@ def afinfo_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def report_parse(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``Label: value`` lines of a printed report back as columns, one row per file."""
-    label = F.regexp_extract("line", r"^\s*([\w ]+): (.*)$", 1)
-    value = F.trim(F.regexp_extract("line", r"^\s*([\w ]+): (.*)$", 2))
+    label = first_group(F.col("line"), r"^\s*([\w ]+): (.*)$")
+    value = F.trim(first_group(F.col("line"), r"^\s*([\w ]+): (.*)$", 2))
     lines = _lines(df, key, text).select(key, "ord", label.alias("label"), value.alias("value"))
     got = lines.groupBy(key).agg(
         *[_last(F.col("value"), F.col("label") == text_label).alias(n) for n, text_label in REPORT_LABELS.items()]
