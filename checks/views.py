@@ -6,11 +6,14 @@ directly, so decoding and deriving can be compared.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions.binary import uint_hex
+from loomtone.workspace import scratch_path
 
 INSTRUMENT_TOKENS = "SynthBass Drum slide_guitar hi-hat Piano Choir FX Tom Loop Violin Trumpet 808".split()
 KEY_TOKENS = ["Am", "F#m", "C_major", "Bb", "F#", "G minor", "A", "Ebm", "D", "none"]
@@ -21,6 +24,24 @@ CATEGORIES = dims.values(dims.CATEGORIES)
 GENRES = dims.values(dims.GENRES)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(make):
+    """Keep a derived input as a Parquet table in the shared folder, once per session: inputs are files, not plans."""
+
+    @functools.wraps(make)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _STORED:
+            path = scratch_path(spark, make.__name__)
+            make(spark, sf_dir).write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -154,6 +175,7 @@ def _float80_hex(value: Column) -> Column:
     return F.when(value == 44100.0, F.lit("400EAC44000000000000")).otherwise(F.lit("400EBB80000000000000"))
 
 
+@stored
 def caf_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, content)``: CAF bytes of the known loops, with an unknown chunk and a repeated one in between."""
     d = known_loops(spark, sf_dir)
@@ -186,6 +208,7 @@ def caf_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.unhex(whole).alias("content"))
 
 
+@stored
 def aiff_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, content)``: AIFF bytes of the known loops, with an odd-sized chunk before the decoded ones."""
     d = known_loops(spark, sf_dir)
@@ -207,6 +230,7 @@ def aiff_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.unhex(whole).alias("content"))
 
 
+@stored
 def midi_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, content)``: two-track MIDI bytes per order with running status, zero velocities and long deltas.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtone.functions.rows import value_rows
+
 BLOCK = 65_536
 
 
@@ -62,9 +64,8 @@ def with_halo(df: DataFrame, order: str, before: int, after: int, size: int = BL
     left = F.floor((F.col(order) - after) / F.lit(size)).cast("bigint")
     right = F.floor((F.col(order) + before) / F.lit(size)).cast("bigint")
     wanted = F.array_distinct(F.array(own, left, right))
-    return df.withColumn("_own", own).withColumn("_block", F.explode(wanted)).withColumn(
-        "_halo", F.col("_block") != F.col("_own")
-    ).drop("_own")
+    spread = value_rows(df.withColumn("_own", own), ["*"], wanted, "_block")
+    return spread.withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
 
 
 def explode_count(df: DataFrame, count: Column, out: str, size: int = BLOCK) -> DataFrame:
@@ -75,12 +76,8 @@ def explode_count(df: DataFrame, count: Column, out: str, size: int = BLOCK) ->
     )
     start = F.col("_outer") * size
     inner = F.sequence(start, F.least(start + size, n) - 1)
-    return (
-        df.withColumn("_n", count.cast("bigint"))
-        .withColumn("_outer", F.explode(outer))
-        .withColumn(out, F.explode(inner))
-        .drop("_n", "_outer")
-    )
+    blocks = value_rows(df.withColumn("_n", count.cast("bigint")), ["*"], outer, "_outer")
+    return value_rows(blocks, ["*"], inner, out).drop("_n", "_outer")
 
 
 def numbered(df: DataFrame, order: str, out: str, total: str) -> DataFrame:

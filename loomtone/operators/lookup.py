@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import text as X
+from loomtone.functions.rows import value_rows
 from loomtone.workspace import INLINE_ROWS, broadcast_if_small
 
 GRAM = 4
@@ -121,25 +122,16 @@ def _occurrences(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -
     words = dictionary.withColumn("_gram", F.substring("keyword", 1, GRAM)).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    blocks = texts.select(
-        key,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int")),
-                lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)),
-            )
-        ).alias("_part"),
-    )
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int"))
+    parts = F.transform(cuts, lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)))
+    blocks = value_rows(texts, [key], parts, "_part").filter(F.length("_part") > 0)
     starts = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(TEXT_BLOCK)))
-    tails = blocks.filter(F.length("_part") > 0).select(
-        key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_part", i, F.lit(longest))))).alias("_tail")
-    )
-    grams = tails.select(
-        key,
-        "_tail",
-        F.pmod(F.xxhash64(key, "_tail"), F.lit(SALTS)).cast("int").alias("_salt"),
-        F.explode(F.array(*[F.substring("_tail", 1, n) for n in sizes])).alias("_gram"),
+    windows = F.array_distinct(F.transform(starts, lambda i: F.substring("_part", i, F.lit(longest))))
+    tails = value_rows(blocks, [key], windows, "_tail").withColumn(
+        "_salt", F.pmod(F.xxhash64(key, "_tail"), F.lit(SALTS)).cast("int")
     )
+    heads = F.array(*[F.substring("_tail", 1, n) for n in sizes])
+    grams = value_rows(tails, [key, "_tail", "_salt"], heads, "_gram")
     hit = grams.join(words, ["_gram", "_salt"]).filter(F.startswith("_tail", F.col("keyword")))
     return hit.drop("_gram", "_salt", "_tail")
 
@@ -167,5 +159,5 @@ def dictionary_all(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
     """Long ``(key, value)``: every distinct value whose keyword is contained in ``text``."""
     small = _inline(dictionary, [value])
     if small:
-        return texts.select(key, F.explode(X.all_keywords(F.col(text), small)).alias(value))
+        return value_rows(texts, [key], X.all_keywords(F.col(text), small), value)
     return _occurrences(texts, key, text, dictionary).select(key, value).distinct()

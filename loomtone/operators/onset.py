@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtone.functions.rows import value_rows
 from loomtone.operators.blocked import last_seen, with_halo
 
 SPACING_BLOCK = 8_192
@@ -113,7 +114,7 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
 
     entry = exits.groupBy(key).applyInPandas(walk, schema)
     done = blocks.join(entry, [key, "_start"])
-    return done.select(key, F.explode(_fold(F.col("_hops"), F.col("_entry"), wait)["kept"]).alias("hop"))
+    return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait)["kept"], "hop")
 
 
 def onset_backtrack(onsets: DataFrame, energy: DataFrame, key: str = "series_id") -> DataFrame:

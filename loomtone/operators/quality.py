@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtone import dims
+from loomtone.functions.rows import struct_rows, value_rows
 from loomtone.operators.blocked import with_halo
 from loomtone.workspace import broadcast_if_small
 
@@ -24,7 +25,8 @@ def vocab_check(df: DataFrame, key: str, columns: dict[str, str], vocab: DataFra
     one's own the built-in lists are compiled into the filter.
     """
     values = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in columns.items()])
-    long = df.select(key, F.inline(values)).select(key, "kind", F.explode(F.split("text", ",")).alias("value"))
+    parts = struct_rows(df, [key], values, "kind")
+    long = value_rows(parts, [key, "kind"], F.split("text", ","), "value")
     long = long.withColumn("value", F.trim("value")).filter("value <> ''")
     if vocab is not None:
         return long.join(broadcast_if_small(vocab.select("kind", "value").distinct()), ["kind", "value"], "left_anti").select(
@@ -56,7 +58,7 @@ def check_required_tags(tags: DataFrame, key: str) -> DataFrame:
         if t in REQUIRED_UNLESS_UNPITCHED:
             missing = missing & ~unpitched
         rules.append(F.when(missing, F.lit(f"missing {t}")))
-    return files.select(key, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    return value_rows(files, [key], F.array_compact(F.array(*rules)), "rule")
 
 
 def check_required_chunks(chunks: DataFrame, key: str, codec: DataFrame | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def check_required_chunks(chunks: DataFrame, key: str, codec: DataFrame | None =
     aac = F.coalesce(F.col("_is_aac"), F.lit(False)) if codec is not None else F.lit(False)
     rules = [F.when(F.col(f"_{t}") == 0, F.lit(f"missing {t}")) for t in REQUIRED_CHUNKS]
     rules += [F.when((F.col(f"_{t}") == 0) & aac, F.lit(f"missing {t}")) for t in REQUIRED_CHUNKS_AAC]
-    return files.select(key, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    return value_rows(files, [key], F.array_compact(F.array(*rules)), "rule")
 
 
 def check_markers(markers: DataFrame, files: DataFrame, key: str) -> DataFrame:
@@ -100,4 +102,4 @@ def check_markers(markers: DataFrame, files: DataFrame, key: str) -> DataFrame:
         F.when(F.col("_backs") > 0, F.lit("markers go back")),
         F.when(F.col("declared") != count, F.lit("marker count differs")),
     )
-    return joined.select(key, F.explode(F.array_compact(rules)).alias("rule"))
+    return value_rows(joined, [key], F.array_compact(rules), "rule")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtone.functions import display as D
 from loomtone.functions.binary import ascii_only
 from loomtone.functions.numbers import fixed_text
+from loomtone.functions.rows import indexed_rows, struct_rows
 
 
 def report_convert(df: DataFrame, key: str, markers: str = "markers", status: str = "status") -> DataFrame:
@@ -135,7 +136,7 @@ def report_detail(df: DataFrame, show_markers: bool = False) -> DataFrame:
                 ),
             )
         )
-    return df.select("file_path", F.inline(F.concat(*parts)))
+    return struct_rows(df, ["file_path"], F.concat(*parts), "section")
 
 
 def tag_rows(df: DataFrame, key: str) -> DataFrame:
@@ -153,4 +154,4 @@ def tag_rows(df: DataFrame, key: str) -> DataFrame:
     ]
     made = F.array(*[F.struct(F.lit(t).alias("tag"), ascii_only(v).alias("value")) for t, v in pairs])
     kept = F.filter(made, lambda p: p["value"] != "")
-    return df.select(key, F.posexplode(kept).alias("pos", "pair")).select(key, "pos", "pair.tag", "pair.value")
+    return indexed_rows(df, [key], kept, "pos", "pair").select(key, "pos", "pair.tag", "pair.value")

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtone.functions import binary as B
 from loomtone.functions import numbers as N
 from loomtone.operators.midi_stats import midi_summary
 from loomtone.sources import containers as C
 from loomtone.sources.files import detect_format, scan_loops
 from loomtone.sources.midi import midi_events
+from loomtone.workspace import cut
 
 
 def _last_wins(pairs: Column, key: str, value: str) -> Column:
@@ -37,67 +39,96 @@ def decode_chunks(files: DataFrame) -> DataFrame:
     return fmt.withColumns({"error": error, "chunks": chunks})
 
 
-def midi_bytes(chunked: DataFrame) -> DataFrame:
-    """``(path, content)`` of the MIDI data: the whole file, or the last midi chunk of a CAF file."""
-    data = F.when(F.col("format") == "MIDI", F.col("content")).when(
+def midi_bytes() -> Column:
+    """The MIDI data of a file: all of it, or the last midi chunk of a CAF file; null if it has none."""
+    return F.when(F.col("format") == "MIDI", F.col("content")).when(
         F.col("format") == "CAF", C.last_payload(F.col("chunks"), "midi", 14)
     )
-    return chunked.select("path", data.alias("content")).filter("content IS NOT NULL")
 
 
-def _audio(chunks: Column) -> dict[str, Column]:
-    caf = F.col("format") == "CAF"
-    desc = C.caf_desc(C.last_payload(chunks, "desc", 32))
-    pakt = C.caf_pakt(C.last_payload(chunks, "pakt", 24))
-    comm = C.aiff_comm(C.last_payload(chunks, "COMM", 18))
+def _facts(chunked: DataFrame) -> DataFrame:
+    """What the chunks of each file say, without the file contents.
+
+    Payloads are cut out in one projection and read in the next, so each is cut out once.
+    """
+    chunks = F.col("chunks")
     pakt_at = F.try_element_at(
         F.filter(chunks, lambda c: (c["type"] == "pakt") & (F.length(c["payload"]) >= 24)), F.lit(-1)
     )["ord"]
-    earlier = F.filter(
-        chunks, lambda c: (c["type"] == "desc") & (F.length(c["payload"]) >= 32) & (c["ord"] < pakt_at)
+    cut_out = chunked.withColumns(
+        {
+            "_p_desc": C.last_payload(chunks, "desc", 32),
+            "_p_desc_then": C.last_payload(F.filter(chunks, lambda c: c["ord"] < pakt_at), "desc", 32),
+            "_p_pakt": C.last_payload(chunks, "pakt", 24),
+            "_p_comm": C.last_payload(chunks, "COMM", 18),
+            "_p_basc": C.last_payload(chunks, "basc", 16),
+            "_p_cate": C.last_payload(chunks, "cate", 4),
+            "_tags": C.loop_tags(chunks),
+            "_genres": C.genre_pairs(chunks),
+            "_spots": C.caf_info_kv(chunks),
+            "_bodies": C.marker_bodies(chunks),
+            "_sizes": F.transform(chunks, lambda c: F.struct(c["type"].alias("type"), c["size"].alias("size"))),
+            "_midi_bytes": midi_bytes(),
+        }
+    ).drop("content", "chunks")
+    return cut_out.select(
+        "path",
+        "length",
+        "format",
+        "error",
+        "_tags",
+        "_midi_bytes",
+        F.length("_midi_bytes").alias("_midi_size"),
+        C.caf_desc(F.col("_p_desc")).alias("_desc"),
+        B.be_double(F.col("_p_desc_then"), 0).alias("_rate_then"),
+        C.caf_pakt(F.col("_p_pakt"))["num_frames"].alias("_pakt_frames"),
+        C.aiff_comm(F.col("_p_comm")).alias("_comm"),
+        C.aiff_basc(F.col("_p_basc")).alias("_basc"),
+        C.aiff_cate(F.col("_p_cate")).alias("_cate"),
+        C.tag_value(F.col("_genres"), "genre").alias("_genre"),
+        C.read_markers(F.col("_bodies")).alias("_marks"),
+        F.coalesce(_last_wins(F.col("_spots"), "key", "value"), F.create_map().cast("map<string,string>")).alias(
+            "spotlight"
+        ),
+        F.coalesce(_last_wins(F.col("_sizes"), "type", "size"), F.create_map().cast("map<string,decimal(20,0)>")).alias(
+            "raw_chunks"
+        ),
+    )
+
+
+def _audio() -> dict[str, Column]:
+    caf, comm = F.col("format") == "CAF", F.col("_comm")
+    codec = F.when(caf, C.lookup_codec(F.col("_desc")["format_id"])).when(
+        comm["num_frames"].isNotNull(), F.lit("Linear PCM")
     )
-    rate_then = C.caf_desc(F.try_element_at(earlier, F.lit(-1))["payload"])["sample_rate"]
     return {
-        "_rate": F.when(caf, desc["sample_rate"]).otherwise(comm["sample_rate"]),
-        "_channels": F.when(caf, desc["channels"]).otherwise(comm["channels"]),
-        "_bits": F.when(caf, desc["bits_per_sample"]).otherwise(comm["bits_per_sample"]),
-        "_codec": F.when(caf, C.lookup_codec(desc["format_id"])).when(comm["num_frames"].isNotNull(), F.lit("Linear PCM")),
-        "_frames": F.when(caf, pakt["num_frames"]).otherwise(comm["num_frames"]),
-        "_duration": F.when(caf, N.frames_duration(pakt["num_frames"], rate_then)).otherwise(
+        "_rate": F.when(caf, F.col("_desc")["sample_rate"]).otherwise(comm["sample_rate"]),
+        "_channels": F.when(caf, F.col("_desc")["channels"]).otherwise(comm["channels"]),
+        "_bits": F.when(caf, F.col("_desc")["bits_per_sample"]).otherwise(comm["bits_per_sample"]),
+        "_codec": codec,
+        "_frames": F.when(caf, F.col("_pakt_frames")).otherwise(comm["num_frames"]),
+        "_duration": F.when(caf, N.frames_duration(F.col("_pakt_frames"), F.col("_rate_then"))).otherwise(
             N.frames_duration(comm["num_frames"], comm["sample_rate"])
         ),
     }
 
 
-def decode_files(files: DataFrame) -> DataFrame:
+def decode_files(files: DataFrame, read_once: bool = False) -> DataFrame:
     """One record per file: ``file_path, format, loop_type, error, audio, midi, metadata, beat_markers, spotlight,
     raw_chunks``. A file that cannot be read gives a row with ``error`` set; it never stops the batch.
+
+    The record and its MIDI bytes are needed twice. ``read_once`` keeps that small intermediate result in the shared
+    folder, so that large file contents are read a single time.
     """
-    chunked = decode_chunks(files)
-    midi = midi_summary(midi_events(midi_bytes(chunked), "path"), "path").withColumnsRenamed(
+    slim = _facts(decode_chunks(files))
+    if read_once:
+        slim = cut(slim)
+    with_midi = slim.filter(F.col("format").isin("MIDI", "CAF"))
+    midi = midi_summary(midi_events(with_midi, "path", "_midi_bytes"), "path").withColumnsRenamed(
         {c: f"_m_{c}" for c in ("tracks", "ticks_per_beat", "notes", "tempo_us", "tempo", "duration", "programs",
                                 "key_signature", "key_type", "time_signature")}
     )
-    chunks = F.col("chunks")
-    basc = C.aiff_basc(C.last_payload(chunks, "basc", 16))
-    cate = C.aiff_cate(C.last_payload(chunks, "cate", 4))
-    slim = chunked.withColumns(
-        {
-            **_audio(chunks),
-            "_tags": C.loop_tags(chunks),
-            "_genre": C.tag_value(C.genre_pairs(chunks), "genre"),
-            "_basc": basc,
-            "_cate": cate,
-            "_marks": C.loop_markers(chunks),
-            "spotlight": _last_wins(C.caf_info_kv(chunks), "key", "value"),
-            "raw_chunks": _last_wins(chunks, "type", "size"),
-            "_midi_size": F.when(F.col("format") == "MIDI", F.length("content")).otherwise(
-                F.length(C.last_payload(chunks, "midi", 14))
-            ),
-        }
-    ).drop("content", "chunks")
-    joined = slim.join(midi, "path", "left")
-
+    joined = slim.drop("_midi_bytes").withColumns(_audio()).join(midi, "path", "left")
     tag = lambda name: C.tag_value(F.col("_tags"), name)
     whole = lambda text: F.when(F.regexp_like(text, F.lit("\\A[0-9]+\\z")), text.try_cast("bigint")).otherwise(
         F.lit(0)
@@ -163,4 +194,4 @@ def decode_files(files: DataFrame) -> DataFrame:
 
 def decode_library(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """Decode every loop file below ``root``."""
-    return decode_files(scan_loops(spark, root, recursive))
+    return decode_files(scan_loops(spark, root, recursive), read_once=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import binary as B
+from loomtone.functions.rows import indexed_rows, struct_rows
 from loomtone.functions.text import pitch_class_name
 
 STEPS = 64
@@ -88,7 +89,7 @@ def aiff_chunks(content: Column) -> Column:
 
 def explode_chunks(df: DataFrame, key: str, chunks: str = "chunks") -> DataFrame:
     """Long table ``(key, ord, type, off, size)``."""
-    return df.select(key, F.inline(chunks)).drop("payload")
+    return struct_rows(df, [key], F.col(chunks), "ord").drop("payload")
 
 
 def payloads(chunks: Column, kind: str, at_least: int = 0) -> Column:
@@ -152,30 +153,36 @@ def genre_pairs(chunks: Column) -> Column:
     return F.flatten(F.transform(F.filter(chunks, lambda c: c["type"].isin("info", "uuid")), pairs))
 
 
-def marker_body(body: Column) -> Column:
-    """``struct<declared, positions>`` of a marker chunk body: 20-byte header, then 12-byte entries."""
-    declared = B.be_uint(body, 16, 4)
+def marker_bodies(chunks: Column) -> Column:
+    """Bodies of the marker chunks: a 20-byte header, then 12-byte entries."""
+    return F.filter(uuid_payloads(chunks, dims.MARKER_UUID), lambda p: F.length(p) >= 20)
+
+
+def _entries(body: Column) -> Column:
     held = F.floor((F.length(body) - 20) / F.lit(12)).cast("bigint")
-    n = F.least(declared, held).cast("int")
-    positions = F.when(
+    n = F.least(B.be_uint(body, 16, 4), held).cast("int")
+    return F.when(
         n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: B.be_uint(body, i * 12 + 28, 4))
     ).otherwise(F.array().cast("array<bigint>"))
-    return F.struct(declared.alias("declared"), positions.alias("positions"))
 
 
-def loop_markers(chunks: Column) -> Column:
-    """``struct<declared, positions>`` of a file: the last header's count, the entries of all marker chunks."""
-    bodies = F.filter(uuid_payloads(chunks, dims.MARKER_UUID), lambda p: F.length(p) >= 20)
-    read = F.transform(bodies, marker_body)
+def read_markers(bodies: Column) -> Column:
+    """``struct<declared, positions>``: the last header's count, and the entries of all marker chunks."""
     return F.struct(
-        F.try_element_at(read, F.lit(-1))["declared"].alias("declared"),
-        F.flatten(F.transform(read, lambda m: m["positions"])).alias("positions"),
+        B.be_uint(F.try_element_at(bodies, F.lit(-1)), 16, 4).alias("declared"),
+        F.flatten(F.transform(bodies, _entries)).alias("positions"),
     )
 
 
+def loop_markers(df: DataFrame, chunks: str = "chunks") -> DataFrame:
+    """Add ``markers``: the declared count and the positions of each file."""
+    bodies = df.withColumn("_bodies", marker_bodies(F.col(chunks)))
+    return bodies.withColumn("markers", read_markers(F.col("_bodies"))).drop("_bodies")
+
+
 def explode_markers(df: DataFrame, key: str, markers: str = "markers") -> DataFrame:
     """Long table ``(key, idx, pos)``."""
-    return df.select(key, F.posexplode(F.col(markers)["positions"]).alias("idx", "pos"))
+    return indexed_rows(df, [key], F.col(markers)["positions"], "idx", "pos")
 
 
 def aiff_comm(payload: Column) -> Column:

@@ -129,4 +129,4 @@ def midi_events(df: DataFrame, key: str = "file_id", content: str = "content") -
         columns = [pa.array(ids, key_type)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays(columns, names=[key, *names])
 
-    return df.select(key, content).filter(df[content].isNotNull()).mapInArrow(split, schema)
+    return df.select(key, content).mapInArrow(split, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtone.functions.rows import indexed_rows
 from loomtone.functions.text import first_group, parse_report_key
 
 # ---- FIXED VALUES: labels of the probe log and of the text report ---------------------------------------------------
@@ -25,7 +26,7 @@ REPORT_LABELS = {
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(F.split(text, "\n")).alias("ord", "line"))
+    return indexed_rows(df, [key], F.split(text, "\n"), "ord", "line")
 
 
 def _last(value: Column, when: Column) -> Column:
