@@ -259,6 +259,60 @@ def midi_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.unhex(whole).alias("content"))
 
 
+@functools.cache
+def _tree(app: str, sf_dir: str) -> str:
+    spark = SparkSession.getActiveSession()
+    root = scratch_path(spark, "library")
+    k = F.col("s_suppkey")
+    blobs = [d(spark, sf_dir).withColumnRenamed("content", n) for d, n in ((caf_blob, "a"), (aiff_blob, "b"), (midi_blob, "c"))]
+    files = table(spark, sf_dir, "supplier").select(k.alias("id"), TREE_PATH(k).alias("rel"))
+    for blob in blobs:
+        files = files.join(blob, "id", "left")
+    kind = F.col("id") % 6
+    content = (
+        F.when(kind == 0, F.col("a")).when(kind == 1, F.col("b")).when(kind == 2, F.col("c"))
+        .when(kind == 3, F.encode(F.lit("RIFF"), "UTF-8")).when(kind == 4, F.encode(F.lit("text"), "UTF-8"))
+        .otherwise(F.lit(b""))
+    )
+    rows = files.select(F.concat(F.lit(root + "/"), F.col("rel")).alias("path"), content.alias("content"))
+    rows.mapInPandas(_write_files, "written bigint").agg(F.sum("written")).collect()
+    return root
+
+
+def TREE_PATH(k: Column) -> Column:
+    """Where a supplier's file lies: six kinds, some folders hidden, mixed-case extensions."""
+    folder = F.when(k % 10 == 9, F.lit(".trash")).otherwise(_pick(["Jazz", "Hip_Hop/Loops", "Rock"], k % 3))
+    ext = _pick(["CAF", "aif", "mid", "Wav", "txt", "caf"], k % 6)
+    return F.concat(folder, F.lit("/synth_pad_"), (F.lit(90) + k % 50).cast("string"), F.lit("bpm_no"), k.cast("string"),
+                    F.lit("."), ext)
+
+
+TREE = """tree AS (SELECT s_suppkey AS id, s_suppkey % 6 AS kind, s_suppkey % 10 = 9 AS hidden,
+  CASE WHEN s_suppkey % 10 = 9 THEN '.trash' ELSE list_extract(['Jazz', 'Hip_Hop/Loops', 'Rock'], s_suppkey % 3 + 1) END
+  || '/synth_pad_' || (90 + s_suppkey % 50) || 'bpm_no' || s_suppkey || '.' ||
+  list_extract(['CAF', 'aif', 'mid', 'Wav', 'txt', 'caf'], s_suppkey % 6 + 1) AS rel FROM supplier)"""
+
+
+def _write_files(batches):
+    import os
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            system, inner = fs.FileSystem.from_uri(path)
+            system.create_dir(os.path.dirname(inner), recursive=True)
+            with system.open_output_stream(inner) as out:
+                out.write(content)
+        yield pd.DataFrame({"written": [len(pdf)]})
+
+
+def library_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder tree with one file per supplier, written by tasks once per session; returns its root."""
+    return _tree(spark.sparkContext.applicationId, sf_dir)
+
+
 def midi_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MIDI events, one per row of ``events``; a file per user."""
     e, t = F.col("event_id"), F.col("event_type")
@@ -293,17 +347,17 @@ midi_like AS (
 
 
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(series_id, hop, v)``: events per user and hour."""
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+    """``(series_id, hop, v)``: events per user and eight hours."""
+    hop = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(28_800_000_000)).cast("bigint")
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.col("user_id").alias("series_id"), hour.alias("hop"))
+        .groupBy(F.col("user_id").alias("series_id"), hop.alias("hop"))
         .agg(F.count("*").alias("v"))
     )
 
 
 ENERGY = """
 energy AS (
-  SELECT user_id AS series_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hop, count(*) AS v
+  SELECT user_id AS series_id, CAST(floor(epoch_us(ts) / 28800000000) AS BIGINT) AS hop, count(*) AS v
   FROM events GROUP BY ALL)
 """
