@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from loomtone import dims
 from loomtone.workspace import scratch_path
 
 LIBRARY_EXTENSIONS = dims.AUDIO_EXTENSIONS + dims.MIDI_EXTENSIONS
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 LISTING = "path string, length bigint, modificationTime timestamp, is_dir boolean"
 
 
@@ -76,14 +78,17 @@ def extension_of(path: Column) -> Column:
 
 
 def path_parts(df: DataFrame, path: str = "path", root: str | None = None) -> DataFrame:
-    """Add file_name, stem, ext, parent and rel_parent (relative to ``root``; ``.`` for files directly in it)."""
+    """Add file_name, stem, ext, parent and rel_parent (relative to ``root``; ``.`` for files directly in it).
+
+    Root and path may differ in scheme: a scan gives ``file:/lib/a.wav`` for the root ``/lib``.
+    """
     name = file_name(F.col(path))
     stem = F.coalesce(F.nullif(F.regexp_extract(name, r"^(.+)\.[^.]+$", 1), F.lit("")), name)
     parent = F.substring(F.col(path), F.lit(1), F.length(path) - F.length(name) - 1)
-    below = F.lit(root.rstrip("/") + "/") if root else F.lit("/")
+    below = F.lit(re.sub(SCHEME, "", root).rstrip("/") + "/") if root else F.lit("/")
+    folder = F.concat(F.regexp_replace(parent, SCHEME, ""), F.lit("/"))
     rel = F.when(
-        F.startswith(F.concat(parent, F.lit("/")), below),
-        F.rtrim(F.substring(F.concat(parent, F.lit("/")), F.length(below) + 1, F.length(parent) + 1), F.lit("/")),
+        F.startswith(folder, below), F.rtrim(F.substring(folder, F.length(below) + 1, F.length(folder)), F.lit("/"))
     ).otherwise(parent)
     return df.withColumns(
         {
