@@ -35,7 +35,7 @@ def stored(make):
         key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
         if key not in _STORED:
             path = scratch_path(spark, make.__name__)
-            make(spark, sf_dir).write.parquet(path)
+            make(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
             _STORED[key] = path
         return spark.read.parquet(_STORED[key])
 

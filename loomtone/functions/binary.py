@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtone.functions.rows import let
+
 
 def be_uint(data: Column, offset: Column | int, width: int) -> Column:
     """Unsigned big-endian field of up to seven bytes as bigint; null if the data ends before it."""
@@ -70,18 +72,21 @@ def nul_pairs(data: Column) -> Column:
 
     Stops at the declared count or at the first string whose NUL is missing.
     """
-    parts = F.split(byte_text(F.substring(data, F.lit(5), F.length(data))), "\\x00")
-    whole = F.floor((F.size(parts) - 1) / 2).cast("int")
-    n = F.least(be_uint(data, 0, 4), whole.cast("bigint")).cast("int")
-    return F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
+    none = F.array().cast("array<struct<pos:int,key:string,value:string>>")
+
+    def pairs(parts: Column) -> Column:
+        whole = F.floor((F.size(parts) - 1) / 2).cast("bigint")
+        n = F.least(be_uint(data, 0, 4), whole).cast("int")
+        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+        made = F.transform(
+            numbers,
             lambda i: F.struct(
                 i.alias("pos"), F.get(parts, i * 2).alias("key"), F.get(parts, i * 2 + 1).alias("value")
             ),
-        ),
-    ).otherwise(F.array().cast("array<struct<pos:int,key:string,value:string>>"))
+        )
+        return F.coalesce(made, none)
+
+    return let(F.split(byte_text(F.substring(data, F.lit(5), F.length(data))), "\\x00"), pairs)
 
 
 def _plus_one(offset: Column | int) -> Column:

@@ -79,9 +79,10 @@ def _fold(hops, last, wait: int):
 def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame:
     """Peaks kept in order such that each lies more than ``wait`` hops after the one kept before it.
 
-    The choice depends on all earlier peaks of the series, but only through the last kept hop, and only if that lies
-    within ``wait`` of a block. So each block first works out its last kept hop for every such entry state, a short pass
-    over one row per block picks the states that really occur, and the blocks then finish on their own.
+    The choice depends on earlier blocks only through a kept hop within ``wait`` of the block's start. So only blocks
+    with a peak that near their end hand anything on. Such a block works out its last kept hop for every state it may be
+    entered in; mostly they agree. Only series where they do not are walked, over those few rows, to find the states that
+    really occur. All blocks then finish on their own.
     """
     size = max(SPACING_BLOCK, 4 * (wait + 1))
     blocks = (
@@ -91,29 +92,31 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
         .agg(F.array_sort(F.collect_list("hop")).alias("_hops"))
     )
     states = F.sequence(F.lit(0), F.lit(wait))
-    exits = blocks.select(
+    edges = blocks.filter(F.array_max("_hops") + wait >= F.col("_start") + size).select(
         key,
         "_start",
         F.transform(
-            states,
-            lambda d: _fold(F.col("_hops"), F.when(d > 0, F.col("_start") - d), wait)["last"],
+            states, lambda d: _fold(F.col("_hops"), F.when(d > 0, F.col("_start") - d), wait)["last"]
         ).alias("_exits"),
     )
+    open_keys = edges.filter(F.size(F.array_distinct("_exits")) > 1).select(key).distinct()
+    settled = edges.join(open_keys, key, "left_anti").select(
+        key, (F.col("_start") + size).alias("_start"), F.get("_exits", F.lit(0)).alias("_entry")
+    )
     schema = f"{key} {peaks.schema[key].dataType.simpleString()}, _start bigint, _entry bigint"
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_start")
-        last, entries = None, []
+        last, handed_on = None, []
         for start, exit_by_state in zip(group["_start"], group["_exits"]):
-            entries.append(last)
             distance = start - last if last is not None else 0
             last = int(exit_by_state[distance if 0 < distance <= wait else 0])
-        out = group[[key, "_start"]].copy()
-        out["_entry"] = pd.array(entries, dtype="Int64")
-        return out
+            handed_on.append(last)
+        return pd.DataFrame({key: group[key], "_start": group["_start"] + size, "_entry": handed_on})
 
-    entry = exits.groupBy(key).applyInPandas(walk, schema)
-    done = blocks.join(entry, [key, "_start"])
+    walked = edges.join(open_keys, key, "left_semi").groupBy(key).applyInPandas(walk, schema)
+    entry = settled.unionByName(walked)
+    done = blocks.join(entry, [key, "_start"], "left")
     return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait)["kept"], "hop")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import binary as B
-from loomtone.functions.rows import indexed_rows, struct_rows
+from loomtone.functions.rows import indexed_rows, let, struct_rows
 from loomtone.functions.text import pitch_class_name
 
 STEPS = 64
@@ -39,10 +39,10 @@ def _positions(content: Column, start: int, header: int, advance) -> Column:
     def block(state: Column, _: Column) -> Column:
         steps = F.sequence(F.lit(1), F.lit(STEPS))
         inner = F.aggregate(steps, F.struct(state["pos"].alias("pos"), none.alias("seen")), step)
-        joined = F.transform(
-            F.array(inner), lambda s: F.struct(s["pos"].alias("pos"), F.concat(state["seen"], s["seen"]).alias("seen"))
+        joined = let(
+            inner, lambda s: F.struct(s["pos"].alias("pos"), F.concat(state["seen"], s["seen"]).alias("seen"))
         )
-        return F.when(state["pos"] < end, joined[0]).otherwise(state)
+        return F.when(state["pos"] < end, joined).otherwise(state)
 
     blocks = F.greatest(F.ceil(n / F.lit(header * STEPS)), F.lit(1)).cast("int")
     return F.aggregate(F.sequence(F.lit(1), blocks), begin, block)["seen"]
@@ -51,14 +51,19 @@ def _positions(content: Column, start: int, header: int, advance) -> Column:
 def _chunk(content: Column, pos: Column, ordinal: Column, header: int, size: Column) -> Column:
     kind = B.byte_text(F.substring(content, (pos + 1).cast("int"), F.lit(4)))
     left = F.length(content).cast("bigint") - pos - header
-    held = F.when(size > left, left).otherwise(size.cast("bigint")).cast("int")
-    return F.struct(
-        ordinal.alias("ord"),
-        kind.alias("type"),
-        (pos + header).alias("off"),
-        size.cast("decimal(20,0)").alias("size"),
-        F.when(kind.isin(PAYLOAD_TYPES), F.substring(content, (pos + header + 1).cast("int"), held)).alias("payload"),
-    )
+
+    def made(c: Column) -> Column:
+        held = F.when(c["size"] > left, left).otherwise(c["size"].cast("bigint")).cast("int")
+        body = F.substring(content, (pos + header + 1).cast("int"), held)
+        return F.struct(
+            ordinal.alias("ord"),
+            c["type"].alias("type"),
+            (pos + header).alias("off"),
+            c["size"].alias("size"),
+            F.when(c["type"].isin(PAYLOAD_TYPES), body).alias("payload"),
+        )
+
+    return let(F.struct(kind.alias("type"), size.cast("decimal(20,0)").alias("size")), made)
 
 
 def caf_chunks(content: Column) -> Column:
@@ -148,7 +153,7 @@ def genre_pairs(chunks: Column) -> Column:
             F.substring(c["payload"], F.lit(17), F.length(c["payload"])),
         )
         empty = F.array().cast("array<struct<pos:int,key:string,value:string>>")
-        return F.when(F.length(body) >= 4, B.nul_pairs(body)).otherwise(empty)
+        return let(body, lambda b: F.when(F.length(b) >= 4, B.nul_pairs(b)).otherwise(empty))
 
     return F.flatten(F.transform(F.filter(chunks, lambda c: c["type"].isin("info", "uuid")), pairs))
 
