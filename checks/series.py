@@ -90,11 +90,9 @@ def _(spark, sf):
     return M.fallback_markers(M.build_markers(onsets(spark, sf), files, "id"), files, "id")
 
 
-@query("sort_markers", """SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT CAST(floor(l_extendedprice * 3) AS
-  BIGINT))), ',') AS positions FROM lineitem GROUP BY 1""")
+@query("sort_markers", S.with_(LOOP_FILES, ONSETS) + "SELECT DISTINCT id, pos FROM onsets ORDER BY id, pos")
 def _(spark, sf):
-    gathered = onsets(spark, sf).groupBy("id").agg(F.collect_list("pos").alias("p"))
-    return gathered.select("id", F.array_join(M.sort_markers(F.col("p")).cast("array<string>"), ",").alias("positions"))
+    return M.sort_markers(onsets(spark, sf), "id")
 
 
 @query(

@@ -10,8 +10,9 @@ from loomtone.functions import text as X
 from loomtone.functions.rows import value_rows
 from loomtone.workspace import INLINE_ROWS, broadcast_if_small
 
-GRAM = 4
-TEXT_BLOCK = 1_000
+GRAM = 5
+KNOWN_GRAMS = 5_000
+TEXT_BLOCK = 128
 SALTS = 16
 
 
@@ -113,9 +114,10 @@ def _inline(dictionary: DataFrame, values: list[str]) -> list[tuple[str, ...]] |
 def _occurrences(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """``(key, keyword...)`` of every dictionary keyword contained in a text, exactly, without pairing all with all.
 
-    Each text is cut into overlapping blocks, each position of a block gives its leading gram, and grams meet the
-    keywords that begin with them in an equi-join; the rest of the keyword is then compared. Grams are salted, so a
-    frequent one is spread over several tasks.
+    Each text is cut into overlapping blocks, which are spread over the tasks, so one very long text keeps no task busy
+    alone. Each position of a block gives its leading grams, and grams meet the keywords that begin with them in an
+    equi-join; the rest of the keyword is then compared. Grams are salted, so a frequent one is spread over several
+    tasks; when the dictionary has few, others are dropped before the join.
     """
     longest = dictionary.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0))).first()[0]
     sizes = [r[0] for r in dictionary.select(F.least(F.length("keyword"), F.lit(GRAM)).alias("n")).distinct().collect()]
@@ -124,13 +126,17 @@ def _occurrences(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -
     )
     cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int"))
     parts = F.transform(cuts, lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)))
-    blocks = value_rows(texts, [key], parts, "_part").filter(F.length("_part") > 0)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = value_rows(texts, [key], parts, "_part").filter(F.length("_part") > 0).repartition(tasks, key, "_part")
     starts = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(TEXT_BLOCK)))
-    windows = F.array_distinct(F.transform(starts, lambda i: F.substring("_part", i, F.lit(longest))))
+    windows = F.transform(starts, lambda i: F.substring("_part", i, F.lit(longest)))
     tails = value_rows(blocks, [key], windows, "_tail").withColumn(
         "_salt", F.pmod(F.xxhash64(key, "_tail"), F.lit(SALTS)).cast("int")
     )
-    heads = F.array(*[F.substring("_tail", 1, n) for n in sizes])
+    heads = F.array_distinct(F.array(*[F.substring("_tail", 1, n) for n in sizes]))
+    known = words.select("_gram").distinct().limit(KNOWN_GRAMS + 1).collect()
+    if len(known) <= KNOWN_GRAMS:
+        heads = F.filter(heads, lambda g: g.isin([r[0] for r in known]))
     grams = value_rows(tails, [key, "_tail", "_salt"], heads, "_gram")
     hit = grams.join(words, ["_gram", "_salt"]).filter(F.startswith("_tail", F.col("keyword")))
     return hit.drop("_gram", "_salt", "_tail")

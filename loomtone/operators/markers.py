@@ -88,9 +88,9 @@ def choose_markers(
     return chosen.select(key, "pos", F.lit("onset").alias("source")).unionByName(grid)
 
 
-def sort_markers(positions: Column) -> Column:
-    """Sorted distinct positions of an array."""
-    return F.array_sort(F.array_distinct(positions))
+def sort_markers(markers: DataFrame, key: str) -> DataFrame:
+    """Distinct positions of each file in ascending order, as rows; a range-partitioned sort, so no file is gathered."""
+    return markers.select(key, "pos").distinct().orderBy(key, "pos")
 
 
 def marker_summary(markers: DataFrame, key: str) -> DataFrame:
