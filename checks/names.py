@@ -72,13 +72,19 @@ def _(spark, sf):
 
 @query(
     "is_midi",
-    WITH_FILES + """SELECT id, lower(ext_token) IN ('mid', 'midi', 'smf') AS is_midi,
-      lower(ext_token) IN ('wav','aif','aiff','mp3','m4a','aac','flac','alac','caf','ogg','wma') AS is_supported
-      FROM loop_files""",
+    WITH_FILES + "SELECT id, lower(ext_token) IN ('mid', 'midi', 'smf') AS is_midi FROM loop_files",
 )
 def _(spark, sf):
-    ext = F.col("ext")
-    return parts(spark, sf).select("id", Fs.is_midi(ext).alias("is_midi"), Fs.is_supported(ext).alias("is_supported"))
+    return parts(spark, sf).select("id", Fs.is_midi(F.col("ext")).alias("is_midi"))
+
+
+@query(
+    "is_supported",
+    WITH_FILES + """SELECT id, path FROM loop_files
+      WHERE lower(ext_token) IN ('wav','aif','aiff','mp3','m4a','aac','flac','alac','caf','ogg','wma')""",
+)
+def _(spark, sf):
+    return parts(spark, sf).filter(Fs.is_supported(F.col("ext"))).select("id", "path")
 
 
 @query("scan_counts", WITH_FILES + "SELECT lower(ext_token) = 'mid' AS is_midi, count(*) AS files FROM loop_files "
@@ -317,15 +323,25 @@ def _(spark, sf):
 
 @query(
     "time_sig_text",
-    """SELECT event_id, (event_id % 12 + 1) || '/' || CAST(pow(2, event_id % 6) AS INTEGER) AS signature,
-      CAST(event_id % 12 + 1 AS INTEGER) AS numerator, CAST(pow(2, event_id % 6) AS INTEGER) AS denominator FROM events""",
+    "SELECT event_id, (event_id % 12 + 1) || '/' || CAST(pow(2, event_id % 6) AS INTEGER) AS signature FROM events",
 )
 def _(spark, sf):
     e = F.col("event_id")
-    text = table(spark, sf, "events").select("event_id", X.time_sig_text(e % 12 + 1, e % 6).alias("signature"))
-    parted = X.time_sig_parts(F.col("signature"))
-    return text.select("event_id", "signature", parted["numerator"].alias("numerator"),
-                       parted["denominator"].alias("denominator"))
+    return table(spark, sf, "events").select("event_id", X.time_sig_text(e % 12 + 1, e % 6).alias("signature"))
+
+
+@query(
+    "time_sig_parts",
+    """SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 12 + 1 AS INTEGER) END AS numerator,
+      CASE WHEN event_id % 5 > 0 THEN CAST(pow(2, event_id % 6) AS INTEGER) END AS denominator FROM events""",
+)
+def _(spark, sf):
+    e = F.col("event_id")
+    signature = F.when(e % 5 > 0, X.time_sig_text(e % 12 + 1, e % 6)).otherwise(F.lit(""))
+    parted = X.time_sig_parts(signature)
+    return table(spark, sf, "events").select(
+        "event_id", parted["numerator"].alias("numerator"), parted["denominator"].alias("denominator")
+    )
 
 
 @query(
@@ -429,18 +445,23 @@ def _(spark, sf):
 @query(
     "fmt_duration",
     """SELECT o_orderkey AS id, CASE WHEN s > 0 THEN CAST((s - s % 60) / 60 AS INTEGER) || ':' || printf('%06.3f', s % 60)
-      ELSE '0:00.000' END AS long_text, CASE WHEN o_orderkey % 8 = 0 THEN '--:--' ELSE
+      ELSE '0:00.000' END AS shown FROM (SELECT o_orderkey, (o_totalprice - 50000) / 1000 AS s FROM orders)""",
+)
+def _(spark, sf):
+    seconds = (F.col("o_totalprice") - 50000) / F.lit(1000.0)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), D.fmt_duration(seconds).alias("shown"))
+
+
+@query(
+    "fmt_duration_short",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 0 THEN '--:--' ELSE
       (CAST(floor(a) AS BIGINT) // 60) || ':' || printf('%02d', CAST(floor(a) AS BIGINT) % 60) || '.' ||
-      printf('%02d', CAST(floor((a % 1) * 100) AS BIGINT)) END AS short_text
-      FROM (SELECT o_orderkey, (o_totalprice - 50000) / 1000 AS s, o_totalprice / 1000 AS a FROM orders)""",
+      printf('%02d', CAST(floor((a % 1) * 100) AS BIGINT)) END AS shown
+      FROM (SELECT o_orderkey, o_totalprice / 1000 AS a FROM orders)""",
 )
 def _(spark, sf):
-    s, a = (F.col("o_totalprice") - 50000) / F.lit(1000.0), F.col("o_totalprice") / F.lit(1000.0)
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        D.fmt_duration(s).alias("long_text"),
-        D.fmt_duration_short(F.when(F.col("o_orderkey") % 8 != 0, a)).alias("short_text"),
-    )
+    known = F.when(F.col("o_orderkey") % 8 != 0, F.col("o_totalprice") / F.lit(1000.0))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), D.fmt_duration_short(known).alias("shown"))
 
 
 @query(
@@ -457,20 +478,25 @@ def _(spark, sf):
 
 
 @query(
-    "fmt_tempo_key",
-    WITH_FILES + f"""SELECT id, CASE WHEN id % 4 = 0 THEN '—' ELSE printf('%.1f', CAST(bpm AS DOUBLE)) || ' BPM' ||
-        CASE WHEN id % 2 = 0 THEN ' (auto)' ELSE '' END END AS tempo_text,
-      CASE WHEN key_signature = '' THEN '—' ELSE key_signature || CASE WHEN key_type = 'minor' THEN 'm' ELSE '' END ||
-        CASE WHEN id % 3 = 0 THEN ' (auto)' ELSE '' END END AS key_shown
-      FROM loop_files JOIN {S.key_columns('loop_files', 'id', 'stem')} USING (id)""",
+    "fmt_tempo",
+    WITH_FILES + """SELECT id, CASE WHEN id % 4 = 0 THEN '—' ELSE printf('%.1f', CAST(bpm AS DOUBLE)) || ' BPM' ||
+      CASE WHEN id % 2 = 0 THEN ' (auto)' ELSE '' END END AS shown FROM loop_files""",
 )
 def _(spark, sf):
     i = F.col("id")
-    return L.with_key(loop_files(spark, sf)).select(
-        "id",
-        D.fmt_tempo(F.when(i % 4 != 0, F.col("bpm")), i % 2 == 0).alias("tempo_text"),
-        D.fmt_key(F.col("key.key"), F.col("key.key_type"), i % 3 == 0).alias("key_shown"),
-    )
+    known = F.when(i % 4 != 0, F.col("bpm"))
+    return loop_files(spark, sf).select("id", D.fmt_tempo(known, i % 2 == 0).alias("shown"))
+
+
+@query(
+    "fmt_key",
+    WITH_FILES + f"""SELECT id, CASE WHEN key_signature = '' THEN '—' ELSE key_signature || CASE WHEN key_type = 'minor' THEN 'm' ELSE '' END ||
+        CASE WHEN id % 3 = 0 THEN ' (auto)' ELSE '' END END AS shown
+      FROM {S.key_columns('loop_files', 'id', 'stem')}""",
+)
+def _(spark, sf):
+    shown = D.fmt_key(F.col("key.key"), F.col("key.key_type"), F.col("id") % 3 == 0)
+    return L.with_key(loop_files(spark, sf)).select("id", shown.alias("shown"))
 
 
 @query(

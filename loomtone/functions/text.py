@@ -14,6 +14,7 @@ TEMPO_MARKED = [
     r"\[(\d{2,3})\]",
     r"\((\d{2,3})\)",
 ]
+TEMPO_SIGNS = ["bpm", "bpm", "[", "("]
 TEMPO_MARKED_RANGE = (40, 300)
 TEMPO_BEFORE_KEY = r"_(\d{2,3})_[A-Ga-g][#b]?(?:[_.\s]|m|$)"
 TEMPO_BETWEEN = r"_(\d{2,3})_"
@@ -54,10 +55,13 @@ def extract_tempo(text: Column, lowered: Column | None = None) -> Column:
 
     A marked number (``120bpm``, ``[120]`` ...) counts if the first hit of its pattern is in range; then numbers between
     underscores, one directly before a key first, then one in the usual range, then any; then a number at the end.
-    Patterns are tried in turn and each is matched once.
+    Patterns are tried in turn, each is matched once, and only if the text holds the sign it needs.
     """
     lowered = F.lower(text) if lowered is None else lowered
-    marked = [_first(F.array(_number(lowered, p)), TEMPO_MARKED_RANGE) for p in TEMPO_MARKED]
+    marked = [
+        F.when(F.contains(lowered, F.lit(sign)), _first(F.array(_number(lowered, p)), TEMPO_MARKED_RANGE))
+        for p, sign in zip(TEMPO_MARKED, TEMPO_SIGNS)
+    ]
     bare = F.coalesce(
         _first(_numbers(text, TEMPO_BEFORE_KEY), TEMPO_BARE_RANGE),
         _first(_numbers(text, TEMPO_BETWEEN), TEMPO_PREFERRED_RANGE),
