@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomtone.functions.rows import value_rows
 
 BLOCK = 65_536
+SALTS = 16
 
 
 def with_block(df: DataFrame, order: str, size: int = BLOCK) -> DataFrame:
@@ -68,6 +69,17 @@ def with_halo(df: DataFrame, order: str, before: int, after: int, size: int = BL
     return spread.withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
 
 
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join rows of any number per ``key`` to a side with one row per key.
+
+    Rows are salted by the ``spread`` column and the unique side is repeated per salt, so a key with very many rows is
+    joined by several tasks.
+    """
+    salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return placed_rows.join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def explode_count(df: DataFrame, count: Column, out: str, size: int = BLOCK) -> DataFrame:
     """Rows 0 .. count-1 per input row, in two steps so that no array is longer than ``size``."""
     n = F.col("_n")

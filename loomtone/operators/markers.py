@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtone import dims
-from loomtone.operators.blocked import explode_count
+from loomtone.operators.blocked import explode_count, join_unique
 
 SUBDIVISIONS = 4
 
@@ -50,7 +50,7 @@ def midi_grid_markers(df: DataFrame, key: str, duration: str = "duration", beats
 def build_markers(onsets: DataFrame, files: DataFrame, key: str, frames: str = "num_frames") -> DataFrame:
     """``(key, pos)``: start, every onset strictly inside the file, and end, without repeats."""
     length = files.select(key, F.col(frames).cast("bigint").alias("_frames"))
-    inside = onsets.join(length, key).filter("pos > 0 AND pos < _frames").select(key, F.col("pos").cast("bigint"))
+    inside = join_unique(onsets.select(key, "pos"), length, key, "pos").filter("pos > 0 AND pos < _frames").select(key, F.col("pos").cast("bigint"))
     ends = length.select(key, F.explode(F.array(F.lit(0).cast("bigint"), F.col("_frames"))).alias("pos"))
     return inside.unionByName(ends).distinct()
 
@@ -81,7 +81,7 @@ def choose_markers(
     if not enabled:
         return grid_markers(files, key).select(key, "pos", F.lit("grid").alias("source"))
     audio = files.filter(F.col("_type") == "audio").select(key)
-    chosen = onset.select(key, "pos").join(audio, key, "left_semi")
+    chosen = join_unique(onset.select(key, "pos"), audio, key, "pos", "left_semi")
     ready = chosen.select(key).distinct().withColumn("_ready", F.lit(True))
     rest = files.join(ready, key, "left").filter("_ready IS NULL")
     grid = grid_markers(rest, key).select(key, "pos", F.lit("grid").alias("source"))

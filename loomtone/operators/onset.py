@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtone.functions.rows import value_rows
-from loomtone.operators.blocked import last_seen, with_halo
+from loomtone.operators.blocked import join_unique, last_seen, with_halo
 
 SPACING_BLOCK = 8_192
 
@@ -135,9 +135,8 @@ def onset_backtrack(onsets: DataFrame, energy: DataFrame, key: str = "series_id"
     marked = marked.filter("_low OR _onset")
     first = energy.groupBy(key).agg(F.min("hop").alias("_first"))
     back = last_seen(marked, [key], "hop", F.when(F.col("_low"), F.col("hop")), "_min", current=True)
-    return (
-        back.filter("_onset").join(first, key).select(key, "hop", F.coalesce("_min", "_first").alias("start_hop"))
-    )
+    found = join_unique(back.filter("_onset"), first, key, "hop")
+    return found.select(key, "hop", F.coalesce("_min", "_first").alias("start_hop"))
 
 
 def onset_markers(energy: DataFrame, rule: OnsetRule, key: str = "series_id", backtrack: bool = True) -> DataFrame:

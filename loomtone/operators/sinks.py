@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtone.operators.blocked import join_unique
 from loomtone.operators.stats import decode_summary
 
-SALTS = 16
-
 
 def write_catalog(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 5_000_000) -> None:
     """Resolved metadata as Parquet partitioned by loop type and category.
@@ -48,10 +47,7 @@ def plan_output(df: DataFrame, out_dir: str, preserve_structure: bool = False) -
     inside = F.when(F.col("rel_parent") == ".", F.lit(None)).otherwise(F.col("rel_parent"))
     folder = F.concat_ws("/", F.lit(base), inside) if preserve_structure else F.lit(base)
     planned = df.withColumn("target", F.concat(folder, F.lit("/"), F.col("stem"), F.lit(".caf")))
-    shared = planned.groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1").select("target")
-    salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
-        "collides", F.lit(True)
-    )
-    rows = planned.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(salted, ["target", "_salt"], "left").drop("_salt")
+    shared = planned.groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
+    flagged = shared.select("target", F.lit(True).alias("collides"))
+    joined = join_unique(planned, flagged, "target", "path", "left")
     return joined.withColumn("collides", F.coalesce("collides", F.lit(False)))
