@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import flows, loops, names, series
 from checks.run import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(n for group in (names, loops, series, flows) for n in group.SQL))
 def test_query_equals_sql(spark, con, name):
     verdict, _, _ = compare(spark, con, SF, QUERIES[name], SQL[name])
     assert verdict == "ok"
@@ -24,5 +25,6 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+def test_every_library_query_has_sql():
+    for group in (names, loops, series, flows):
+        assert set(group.QUERIES) == set(group.SQL)
