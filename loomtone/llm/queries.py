@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtone.llm import simhash
+from loomtone.llm import decontamination, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,47 @@ def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("report"))
 
 
+def _goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("golden_id"), F.col("text").alias("report"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.golden_hits(_loops(spark, sf_dir), _goldens(spark, sf_dir))
+    return hits.select(
+        F.col("file_id").alias("doc_id"), "n_words", "n_hit", F.size("golden").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "golden"), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_loops(spark, sf_dir))
     return near.select(F.col("file_id").alias("doc_id"), simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op2_decontamination"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, lengths WHERE len(w) >= n)
+), found AS (SELECT r, k, n, item FROM places JOIN windows USING (n, s)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
