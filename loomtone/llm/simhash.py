@@ -142,13 +142,24 @@ def _cell_links(cell_a: np.ndarray, cell_b: np.ndarray | None, distance: int) ->
     return codes[moved], codes[parent[moved]]
 
 
+def _pack(batches):
+    """The fingerprints of one range as one row, with the bits that all and that any of them have."""
+    codes = [b.column(0).to_numpy() for b in batches]
+    if codes and sum(map(len, codes)):
+        held = np.concatenate(codes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([held.tobytes()], pa.binary()), pa.array([np.bitwise_and.reduce(held)]), pa.array([np.bitwise_or.reduce(held)])],
+            names=["codes", "every", "some"])
+
+
 def _pair_task(distance: int):
-    def run(table: pa.Table) -> pa.Table:
-        codes = table.column("fingerprint").to_numpy().view(np.uint64)
-        first, cell = table.column("first").to_numpy(), table.column("cell").to_numpy()
-        second = codes[cell != first]
-        node, to = _cell_links(codes[cell == first], second if len(second) else None, distance)
-        return pa.table({"a": node.view(np.int64), "b": to.view(np.int64)})
+    def run(batches):
+        for batch in batches:
+            for first, second in zip(batch.column(0), batch.column(1)):
+                a = np.frombuffer(first.as_buffer(), np.uint64)
+                b = np.frombuffer(second.as_buffer(), np.uint64) if second.is_valid else None
+                node, to = _cell_links(a, b, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(to.view(np.int64))], names=["a", "b"])
 
     return run
 
@@ -156,26 +167,28 @@ def _pair_task(distance: int):
 def link_fingerprints(classes: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(node, component)`` for the distinct ``fingerprint`` values of ``classes`` that have a link.
 
-    The driver holds one mask and pattern per cell, at most ``MOST_CELLS``, never fingerprints.
+    A cell travels as one packed row. The driver holds one mask and pattern per cell, at most ``MOST_CELLS``, never fingerprints.
     """
     spark = classes.sparkSession
     cells = min(MOST_CELLS, -(-classes.count() // cell_rows))
-    ranked = classes.select("fingerprint").repartitionByRange(max(1, cells), gray_rank(F.col("fingerprint")))
-    ranked = keep(ranked.select("fingerprint", F.spark_partition_id().alias("cell")), "gray-cells")
-    top = ranked.groupBy("cell").agg(F.bit_and("fingerprint").alias("x"), F.bit_or("fingerprint").alias("y")).orderBy("cell").collect()
+    ranged = classes.select("fingerprint").repartitionByRange(max(1, cells), gray_rank(F.col("fingerprint")))
+    packed = ranged.mapInArrow(_pack, "codes binary, every bigint, some bigint").withColumn("cell", F.spark_partition_id().cast("bigint"))
+    packed = keep(packed, "gray-cells")
+    top = packed.select("cell", "every", "some").orderBy("cell").collect()
     number = np.array([r.cell for r in top], np.int64)
-    all_, any_ = (np.array([r[k] for r in top], np.int64).view(np.uint64) for k in (1, 2))
-    mask = ~(all_ ^ any_)
-    pairs: list[pa.Table] = []
+    every, some = (np.array([r[k] for r in top], np.int64).view(np.uint64) for k in (1, 2))
+    mask = ~(every ^ some)
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in range(len(top)):
-        near = np.flatnonzero(np.bitwise_count((all_[k] ^ all_[k:]) & mask[k] & mask[k:]) <= distance) + k
-        own = near == k
-        cell = np.concatenate([number[near], np.full((~own).sum(), number[k])])
-        other = np.concatenate([number[near], number[near[~own]]])
-        pairs.append(pa.table({"cell": cell, "first": np.full(len(cell), number[k]), "second": other}))
-    table = pa.concat_tables(pairs) if pairs else pa.table({c: pa.array([], pa.int64()) for c in ("cell", "first", "second")})
-    dealt = ranked.join(spark.createDataFrame(table), "cell").select("first", "second", F.col("cell").cast("bigint").alias("cell"), "fingerprint")
-    links = dealt.groupBy("first", "second").applyInArrow(_pair_task(distance), "a bigint, b bigint")
+        near = np.flatnonzero(np.bitwise_count((every[k] ^ every[k:]) & mask[k] & mask[k:]) <= distance) + k
+        first.append(np.full(len(near), number[k]))
+        second.append(number[near])
+    pairs = spark.createDataFrame(pa.table({"first": np.concatenate(first), "second": np.concatenate(second)}))
+    one = packed.select(F.col("cell").alias("first"), F.col("codes").alias("codes_a"))
+    two = packed.select(F.col("cell").alias("second"), F.col("codes").alias("codes_b"))
+    dealt = pairs.join(one, "first").join(two, "second")
+    links = dealt.select("codes_a", F.when(F.col("first") != F.col("second"), F.col("codes_b")).alias("codes_b")).mapInArrow(
+        _pair_task(distance), "a bigint, b bigint")
     return components(links, "gray-links")
 
 
