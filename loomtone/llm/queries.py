@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtone.llm import decontamination, simhash
+from loomtone.llm import decontamination, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("report"))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "file_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_loops(spark, sf_dir), _judged(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
+
+
 def _goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("golden_id"), F.col("text").alias("report"))
 
@@ -28,14 +36,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(_loops(spark, sf_dir), _judged(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_loops(spark, sf_dir))
     return near.select(F.col("file_id").alias("doc_id"), simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
 }
 
 SQL: dict[str, str] = {}

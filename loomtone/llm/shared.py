@@ -26,6 +26,24 @@ def fold(id_column: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % folds
 
 
+def judged_sample(loops: DataFrame, judged: DataFrame, id_column: str, text_column: str, label_column: str, rows: int,
+                  each_label: bool = False) -> DataFrame:
+    """``(text, label int, place bigint)``: at most ``rows`` different judged texts (per label 0 and 1 with ``each_label``), least hash first.
+
+    Learns only from ids whose fold of 5 is not 0. The choice is made on hashes, so texts are read for the chosen rows alone.
+    """
+    known = judged.where(F.col(label_column).isNotNull() & (fold(id_column, 5) != 0)).select(
+        id_column, (F.col(label_column) != 0).cast("int").alias("label"))
+    texts = loops.where(fold(id_column, 5) != 0).select(
+        id_column, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
+    marks = texts.select(id_column, "place").join(known, id_column).select("place", "label").distinct()
+    if each_label:
+        chosen = marks.where("label = 0").orderBy("place").limit(rows).union(marks.where("label = 1").orderBy("place").limit(rows))
+    else:
+        chosen = marks.orderBy("place", "label").limit(rows)
+    return texts.join(F.broadcast(chosen), "place").groupBy("place", "label").agg(F.min("text").alias("text")).select("text", "label", "place")
+
+
 def roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the sets of the positions ``a`` and ``b`` pair by pair; ``parent`` holds each position's root before and after."""
     while True:
