@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtone.llm import decontamination, quality, simhash, toxicity
+from loomtone.llm import chat, decontamination, mixing, quality, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("file_id").alias("doc_id"), simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings stand for feature vectors, their label for the category."""
+    held = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("file_id"), F.col("embedding").alias("features"), F.col("label").alias("category"))
+    return vectors.link_vectors(held).withColumnRenamed("file_id", "vec_id")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources stand for folders; target weights are the square roots of their sizes."""
+    loops = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("folder"))
+    return mixing.mix(loops, mixing.damped_weights(loops)).withColumnsRenamed({"file_id": "doc_id", "folder": "source"})
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
+    "op8_vector_dedup": op8_vector_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {}
@@ -75,3 +103,31 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+SQL["op4_chat_format"] = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), shown AS (
+  SELECT *, CASE role WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '[/INST] ' WHEN 'system' THEN '[SYS] '
+      ELSE '[ROLE:' || url_encode(role) || '] ' END AS tag,
+    regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|ROLE:)', '\1\\\2\3', 'g') AS body
+  FROM given
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(tag) + length(body) + 4) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id"""
+
+SQL["op8_vector_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    embedding IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0 AS good FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT * FROM v WHERE good) a JOIN (SELECT * FROM v WHERE good) b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_id"""
