@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtone.llm import chat, decontamination, mixing, quality, simhash, toxicity, vectors
+from loomtone.llm import chat, decontamination, mixing, privacy, quality, repeats, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the digest are of the plain identifiers; ``spans`` has the disguised ones too."""
+    found = privacy.personal_data(_loops(spark, sf_dir)).withColumn("plain", F.filter("spans", lambda s: ~s["added"]))
+    counts = [F.size(F.filter("plain", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in privacy.KINDS]
+    return found.select(F.col("file_id").alias("doc_id"), *counts, F.sha2(privacy.span_text(F.col("plain")), 256).alias("base_sha256"),
+                        privacy.span_text(F.col("spans")).alias("spans"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.drop_repeats(_loops(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["first"])
+    return cut.select(F.col("file_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings stand for feature vectors, their label for the category."""
     held = _table(spark, sf_dir, "embeddings").select(
@@ -77,7 +92,9 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
+    "op6_personal_data": op6_personal_data,
     "op8_vector_dedup": op8_vector_dedup,
+    "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
 }
 
