@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtone.llm import chat, decontamination, mixing, privacy, quality, repeats, simhash, toxicity, vectors
+from loomtone.llm import chat, decontamination, language_model, mixing, privacy, quality, repeats, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         privacy.span_text(F.col("spans")).alias("spans"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_reports(_loops(spark, sf_dir)).withColumnRenamed("file_id", "doc_id")
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.drop_repeats(_loops(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["first"])
@@ -95,6 +99,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
+    "op7_language_model": op7_language_model,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
