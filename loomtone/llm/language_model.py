@@ -364,16 +364,16 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
     ends = training.count()
     unlisted = max(0, kinds - frequent)
     tokens, kinds = tokens + ends, kinds + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.of(top["word"].tolist()))
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    vocabulary = spark.sparkContext.broadcast(Vocabulary.of(top["word"].to_pylist()))
     contexts = min(contexts, len(top))
-    listed = np.append(top["n"].to_numpy(np.int64), ends)
+    listed = np.append(top["n"].to_numpy(), ends).astype(np.int64)
     # at most contexts x (frequent + 1) pairs
     pairs = training.mapInArrow(_pair_counts(vocabulary, contexts), "context bigint, place bigint, n bigint").groupBy(
-        "context", "place").agg(F.sum("n").alias("n")).toPandas()
-    code = (pairs["context"] * len(listed) + pairs["place"]).to_numpy(np.int64)
+        "context", "place").agg(F.sum("n").alias("n")).toArrow()
+    code = pairs["context"].to_numpy() * len(listed) + pairs["place"].to_numpy()
     order = np.argsort(code, kind="stable")
-    pair, pair_count = code[order], pairs["n"].to_numpy(np.int64)[order]
+    pair, pair_count = code[order], pairs["n"].to_numpy()[order]
     pair_context, pair_place = pair // len(listed), pair % len(listed)
     # a task seats its dishes against these totals of the others: tables grow about as customers ** discount
     customers, uniform = listed[:contexts], 1 / (kinds + 1)
