@@ -71,17 +71,21 @@ def lookup_program(programs: Column) -> Column:
     return chain
 
 
-def range_lookup(df: DataFrame, value: str, ranges: DataFrame, width: int = 8) -> DataFrame:
-    """Join rows to the ranges ``lo <= value < hi`` of a table, as an equi-join on buckets of ``width``."""
-    bucketed = ranges.withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(F.floor(F.col("lo") / width).cast("bigint"), F.floor((F.col("hi") - 1) / width).cast("bigint"))
-        ),
-    )
-    rows = df.withColumn("_bucket", F.floor(F.col(value) / width).cast("bigint"))
-    joined = rows.join(broadcast_if_small(bucketed), "_bucket")
-    return joined.filter((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("_bucket")
+def range_lookup(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
+    """Join rows to the ranges ``lo <= value < hi`` of a table of whole numbers, as an equi-join on buckets.
+
+    A range belongs to the level whose buckets are at least as wide as it is, so it touches two buckets at most, however wide it is; a row
+    looks into one bucket of each level that the table has.
+    """
+    size = F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("bigint")
+    level = F.ceil(F.log2(size.cast("double"))).cast("int")
+    bucket = lambda n: F.call_function("shiftright", n.cast("bigint"), F.col("_level"))
+    leveled = ranges.where("lo < hi").withColumn("_level", level)
+    bucketed = leveled.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("lo")), bucket(F.col("hi") - 1)))))
+    levels = [r[0] for r in leveled.select("_level").distinct().orderBy("_level").collect()]
+    rows = df.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_bucket", bucket(F.floor(F.col(value))))
+    joined = rows.join(broadcast_if_small(bucketed), ["_level", "_bucket"])
+    return joined.filter((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("_level", "_bucket")
 
 
 def lookup_program_table(programs: DataFrame, key: str, ranges: DataFrame) -> DataFrame:

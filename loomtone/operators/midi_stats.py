@@ -48,17 +48,27 @@ def _members(mask: Column, low: int) -> Column:
     return F.filter(numbers, lambda n: F.call_function("getbit", mask, n - low) == 1)
 
 
+_LOWS = (0, 64, 128, 192)
+
+
+def _program_masks() -> list[Column]:
+    """Bit sets of all byte values: a damaged program byte may exceed 127 and still counts."""
+    return [_mask("a", low, "kind = 'program_change'").alias(f"_p{low}") for low in _LOWS]
+
+
+def _programs() -> Column:
+    return F.concat(*[_members(F.col(f"_p{low}"), low) for low in _LOWS])
+
+
 def midi_distinct_sets(events: DataFrame, key: str = "file_id") -> DataFrame:
     """Sorted arrays of the channels that play notes and of the programs chosen."""
     got = events.groupBy(key).agg(
-        _mask("channel", 0, NOTE).alias("_channels"),
-        _mask("a", 0, "kind = 'program_change'").alias("_low"),
-        _mask("a", 64, "kind = 'program_change'").alias("_high"),
+        _mask("channel", 0, NOTE).alias("_channels"), *_program_masks()
     )
     return got.select(
         key,
         _members(F.col("_channels"), 0).alias("channels"),
-        F.concat(_members(F.col("_low"), 0), _members(F.col("_high"), 64)).alias("programs"),
+        _programs().alias("programs"),
     )
 
 
@@ -108,13 +118,11 @@ def midi_running_ticks(events: DataFrame, key: str = "file_id") -> DataFrame:
 
 def midi_summary(events: DataFrame, key: str = "file_id") -> DataFrame:
     """All facts of a file in one pass over its events: counts, sets, last signatures, and the figures they imply."""
-    program = "kind = 'program_change'"
     tracks = events.groupBy(key, "track").agg(
         F.sum("delta").alias("ticks"),
         F.count_if(F.expr(NOTE)).alias("notes"),
         _mask("channel", 0, NOTE).alias("_channels"),
-        _mask("a", 0, program).alias("_low"),
-        _mask("a", 64, program).alias("_high"),
+        *_program_masks(),
         F.max(F.when(F.expr("kind = 'header'"), F.col("a"))).alias("tracks"),
         F.max(F.when(F.expr("kind = 'header'"), F.col("b"))).alias("division"),
         *_per_track_meta(),
@@ -122,7 +130,7 @@ def midi_summary(events: DataFrame, key: str = "file_id") -> DataFrame:
     files = tracks.groupBy(key).agg(
         F.max("ticks").alias("total_ticks"),
         F.sum("notes").alias("notes"),
-        *[F.bit_or(c).alias(c) for c in ("_channels", "_low", "_high")],
+        *[F.bit_or(c).alias(c) for c in ("_channels", *(f"_p{low}" for low in _LOWS))],
         F.max("tracks").cast("int").alias("tracks"),
         F.max("division").alias("division"),
         *[_last_track(c).alias(c) for c in META],
@@ -136,7 +144,7 @@ def midi_summary(events: DataFrame, key: str = "file_id") -> DataFrame:
         "total_ticks",
         "notes",
         _members(F.col("_channels"), 0).alias("channels"),
-        F.concat(_members(F.col("_low"), 0), _members(F.col("_high"), 64)).alias("programs"),
+        _programs().alias("programs"),
         "tempo_us",
         time_sig_text(F.col("ts_num"), F.col("ts_pow")).alias("time_signature"),
         signature["key"].alias("key_signature"),

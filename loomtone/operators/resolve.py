@@ -93,14 +93,16 @@ def settle_beats(df: DataFrame, audio_duration: str | None = None, default: floa
 
 
 def merge_overrides(
-    df: DataFrame, overrides: DataFrame, key: str, columns: list[str] | None = None, flags: bool = False
+    df: DataFrame, overrides: DataFrame, key: str, columns: list[str] | None = None, flags: bool = False, order: str | None = None
 ) -> DataFrame:
     """Per-file override row, column by column; a null or absent override keeps the detected value.
 
+    A file with several rows takes the last by ``order``, or by the values themselves without it: never more than one row per file.
     With ``flags``, add the booleans telling which values were detected rather than set.
     """
     columns = columns or [c for c in OVERRIDABLE if c in overrides.columns]
-    renamed = overrides.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns])
+    row = F.struct(*[F.col(c).alias(f"_o_{c}") for c in columns])
+    renamed = overrides.groupBy(key).agg((F.max_by(row, order) if order else F.max(row)).alias("_o")).select(key, "_o.*")
     joined = df.join(renamed, key, "left")
     if flags:
         auto = {AUTO_FLAGS[c]: F.col(f"_o_{c}").isNull() for c in columns if c in AUTO_FLAGS}

@@ -125,17 +125,31 @@ def detect_format(content: Column) -> Column:
     )
 
 
+def _open_store(path: str):
+    """``(filesystem, plain path, prefix)`` of a Hadoop path: names are taken as they are, with blanks, ``#`` and ``%``."""
+    from pyarrow import fs
+
+    scheme, authority, inner = re.match(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(.*)$", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), inner, path[: len(path) - len(inner)]
+    bucket = scheme in ("s3", "s3a", "s3n", "gs")
+    system, _ = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority or ''}/")
+    return system, f"{authority}{inner}" if bucket else inner, f"{scheme}://" if bucket else f"{scheme}://{authority or ''}"
+
+
+#: Files of a folder that a listing task hands on at a time.
+_LISTED_AT_ONCE = 10_000
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for pdf in batches:
         for folder in pdf["path"]:
-            system, inner = fs.FileSystem.from_uri(folder)
-            prefix = folder[: len(folder) - len(inner)]
-            rows = []
-            for info in system.get_file_info(fs.FileSelector(inner)):
-                rows.append((prefix + info.path, info.size, info.mtime, info.type == fs.FileType.Directory))
-            if rows:
+            system, inner, prefix = _open_store(folder)
+            found = system.get_file_info(fs.FileSelector(inner))
+            for k in range(0, len(found), _LISTED_AT_ONCE):
+                rows = [(prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory) for i in found[k: k + _LISTED_AT_ONCE]]
                 frame = pd.DataFrame(rows, columns=["path", "length", "modificationTime", "is_dir"])
                 frame["length"] = frame["length"].astype("Int64")
                 frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True).dt.tz_localize(None)
@@ -161,11 +175,9 @@ def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for pdf in batches:
         for path in pdf["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner, _ = _open_store(path)
             with system.open_input_stream(inner) as stream:
                 yield pd.DataFrame({"path": [path], "content": [stream.read()]})
 
@@ -175,14 +187,17 @@ def read_content(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(_read_files, "path string, content binary")
 
 
-def skipped_files(listing: DataFrame, scanned: DataFrame, extensions: Iterable[str]) -> DataFrame:
-    """Listed files of the wanted kind that a scan did not return, with the reason."""
+def skipped_files(listing: DataFrame, scanned: DataFrame, extensions: Iterable[str], root: str | None = None) -> DataFrame:
+    """Listed files of the wanted kind that a scan did not return, with the reason; hidden means below ``root``, where it is given."""
     name = file_name(F.col("path"))
     plain = F.regexp_replace("path", "^file:/+", "/")
     wanted = filter_extensions(listing, extensions).withColumn("_plain", plain)
     seen = scanned.select(F.regexp_replace("path", "^file:/+", "/").alias("_plain"))
+    top = re.sub(SCHEME, "", root).rstrip("/") if root else ""
+    below = F.regexp_replace("path", SCHEME, "")
+    below = F.when(F.startswith(below, F.lit(top + "/")), F.substring(below, F.lit(len(top) + 1), F.length(below))).otherwise(below)
     reason = F.when(F.col("length") == 0, F.lit("empty file")).when(
-        F.regexp_like(F.col("path"), F.lit("/[._]")), F.lit("hidden file")
+        F.regexp_like(below, F.lit("/[._]")), F.lit("hidden file")
     )
     return wanted.join(seen, "_plain", "left_anti").select(
         "path", name.alias("file_name"), F.coalesce(reason, F.lit("not listed")).alias("error")

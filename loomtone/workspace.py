@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,19 +15,24 @@ INLINE_ROWS = 500
 BROADCAST_ROWS = 200_000
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder of its own.
+    Only a session that runs in one process and names none gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="loomtone-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="loomtone-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
