@@ -256,41 +256,35 @@ def _(spark, sf):
 
 
 BRANDS = """
-brands AS (SELECT kw, row_number() OVER (ORDER BY kw) AS pos, 'brand-' || length(kw) AS v1, NULL AS v2 FROM (
+brands AS (SELECT kw, md5(kw) AS pos, 'brand ' || kw AS tag FROM (
   SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS kw FROM benchmark) WHERE length(kw) >= 3)
 """
 
 
 def own_dictionary(spark, sf):
-    """A dictionary brought by the user: every word of three or more letters of the benchmark passages."""
+    """A dictionary brought by the user: every word of three or more letters of the benchmark passages, in the order of a digest."""
     words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword"))
     kept = words.filter(F.length("keyword") >= 3).distinct()
-    return kept.select(
-        "keyword",
-        F.pmod(F.xxhash64("keyword"), F.lit(1 << 40)).alias("position"),
-        F.concat(F.lit("brand-"), F.length("keyword").cast("string")).alias("tag"),
-    )
+    return kept.select("keyword", F.md5("keyword").alias("position"), F.concat(F.lit("brand "), "keyword").alias("tag"))
 
 
 @query(
     "sort_keywords",
-    S.with_(BRANDS) + "SELECT length(kw) AS len, count(*) AS keywords, min(kw) AS first_keyword FROM brands GROUP BY 1",
+    S.with_(BRANDS) + "SELECT kw AS keyword, row_number() OVER (ORDER BY length(kw) DESC, pos) AS place FROM brands",
 )
 def _(spark, sf):
-    return own_dictionary(spark, sf).groupBy(F.length("keyword").cast("bigint").alias("len")).agg(
-        F.count("*").alias("keywords"), F.min("keyword").alias("first_keyword")
-    )
+    return L.rank_keywords(own_dictionary(spark, sf), "place").select("keyword", F.col("place").cast("bigint").alias("place"))
 
 
 @query(
     "lookup_dictionary_longest",
     S.with_(BRANDS) + """SELECT f.page_id, tag FROM pages f LEFT JOIN (
-      SELECT s.page_id, 'brand-' || max(length(kw)) AS tag FROM pages s JOIN brands ON contains(lower(s.html), kw)
+      SELECT s.page_id, first(tag ORDER BY length(kw) DESC, pos) AS tag FROM pages s JOIN brands ON contains(lower(s.html), kw)
       GROUP BY 1) h USING (page_id)""",
 )
 def _(spark, sf):
     texts = table(spark, sf, "pages").select("page_id", F.lower("html").alias("html"))
-    return L.dictionary_longest(texts, "page_id", "html", own_dictionary(spark, sf), ["tag"]).select("page_id", "tag")
+    return L.dictionary_longest(texts, "html", own_dictionary(spark, sf), ["tag"]).select("page_id", "tag")
 
 
 @query(
@@ -303,6 +297,28 @@ def _(spark, sf):
     return L.dictionary_all(texts, "page_id", "html", words, "word").select("page_id", F.col("word").alias("keyword"))
 
 
+OWN = """
+own AS (SELECT DISTINCT lower(regexp_extract(p_name, '^[A-Za-z]+')) AS kw, 'Own ' || lower(regexp_extract(p_name, '^[A-Za-z]+')) AS v1 FROM part
+  WHERE length(regexp_extract(p_name, '^[A-Za-z]+')) > 1)
+"""
+
+
+@query(
+    "convert_own_dictionary",
+    S.with_(OWN) + f"""SELECT doc_id, coalesce(i.v, '{dims.DEFAULT_CATEGORY}') AS category, coalesce(i.v, '{dims.DEFAULT_GENRE}') AS genre,
+      coalesce(i.every, '') AS descriptors FROM documents LEFT JOIN (
+        SELECT doc_id, first(v1 ORDER BY length(kw) DESC, kw) AS v, array_to_string(list_sort(list(DISTINCT v1)), ',') AS every
+        FROM (SELECT doc_id, {S.normal('text')} AS t FROM documents) JOIN own ON contains(t, kw) GROUP BY 1) i USING (doc_id)""",
+)
+def _(spark, sf):
+    word = F.lower(F.regexp_extract("p_name", "^[A-Za-z]+", 0))
+    own = table(spark, sf, "part").select(word.alias("keyword")).where("length(keyword) > 1").distinct().select(
+        "keyword", F.col("keyword").alias("position"), F.concat(F.lit("Own "), "keyword").alias("value1"), F.lit("own").alias("value2"))
+    files = table(spark, sf, "documents").select("doc_id", F.col("text").alias("stem"), F.lit("").alias("rel_parent"))
+    made = convert_catalog(files, dictionaries={k: own for k in ("instrument", "genre", "descriptor")}, key="doc_id")
+    return made.select("doc_id", "category", "genre", "descriptors")
+
+
 @query(
     "first_match",
     WITH_FILES + f"""SELECT tempo, count(*) AS files FROM (SELECT {S.tempo('stem')} AS tempo FROM loop_files) GROUP BY 1""",

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import text as X
-from loomtone.functions.rows import value_rows
-from loomtone.workspace import INLINE_ROWS, broadcast_if_small
+from loomtone.functions.rows import struct_rows, value_rows
+from loomtone.operators.blocked import numbered
+from loomtone.workspace import broadcast_if_small, small
 
 GRAM = 5
-KNOWN_GRAMS = 5_000
+SLOTS = 1 << 20
 TEXT_BLOCK = 128
 SALTS = 16
 
@@ -20,12 +21,19 @@ def folder_and_name(stem: str, path: str) -> Column:
     return F.concat_ws(" ", F.coalesce(F.col(path), F.lit("")), F.col(stem))
 
 
-def lookup_instrument(df: DataFrame, stem: str = "stem", programs: Column | None = None) -> DataFrame:
+def lookup_instrument(
+    df: DataFrame, stem: str = "stem", programs: Column | None = None, dictionary: DataFrame | None = None
+) -> DataFrame:
     """Add category and subcategory: named in the stem, else implied by MIDI programs, else the defaults.
 
-    The text is normalised in a projection of its own: keyword tests then share one copy instead of redoing it.
+    The text is normalised in a projection of its own: keyword tests then share one copy instead of redoing it. ``dictionary``:
+    ``(keyword, position, value1, value2)`` in place of the built-in one.
     """
-    df = df.withColumn("_normal", X.normalize_text(F.col(stem))).withColumn("_named", X.instrument_of(F.col("_normal")))
+    df = df.withColumn("_normal", X.normalize_text(F.col(stem)))
+    if dictionary is None:
+        df = df.withColumn("_named", X.instrument_of(F.col("_normal")))
+    else:
+        df = own_instrument(df, "_normal", "_named", dictionary)
     by_program = lookup_program(programs) if programs is not None else F.lit(None).cast("struct<v1:string,v2:string>")
     return df.withColumns(
         {
@@ -35,15 +43,42 @@ def lookup_instrument(df: DataFrame, stem: str = "stem", programs: Column | None
     ).drop("_named", "_normal")
 
 
-def lookup_genre(df: DataFrame, stem: str = "stem", path: str = "rel_parent") -> DataFrame:
-    """Add the genre named in folder or stem."""
+def own_instrument(df: DataFrame, text: str, out: str, dictionary: DataFrame) -> DataFrame:
+    """Add ``struct<v1: category, v2: subcategory>`` of a dictionary table's longest keyword, null where none is named."""
+    pairs = F.struct(F.col("value1").alias("v1"), F.col("value2").alias("v2")).alias(out)
+    return dictionary_longest(df, text, dictionary.select("keyword", "position", pairs), [out])
+
+
+def own_genre(df: DataFrame, text: str, out: str, dictionary: DataFrame) -> DataFrame:
+    """Add the value of a dictionary table's longest keyword, or the default genre."""
+    named = dictionary_longest(df, text, dictionary.select("keyword", "position", F.col("value1").alias(out)), [out])
+    return named.withColumn(out, F.coalesce(out, F.lit(dims.DEFAULT_GENRE)))
+
+
+def own_descriptors(df: DataFrame, text: str, out: str, dictionary: DataFrame) -> DataFrame:
+    """Add the sorted distinct values of all keywords of a dictionary table; an empty array where none is named."""
+    kept = df.drop(out).withColumn("_mark", F.md5(text))
+    found = dictionary_all(kept, "_mark", text, dictionary.select("keyword", F.col("value1").alias("_value")), "_value")
+    lists = found.groupBy("_mark").agg(F.sort_array(F.collect_set("_value")).alias(out))
+    empty = F.array().cast("array<string>")
+    return kept.join(lists, "_mark", "left").withColumn(out, F.coalesce(out, empty)).drop("_mark")
+
+
+def lookup_genre(
+    df: DataFrame, stem: str = "stem", path: str = "rel_parent", dictionary: DataFrame | None = None
+) -> DataFrame:
+    """Add the genre named in folder or stem. ``dictionary``: ``(keyword, position, value1)`` in place of the built-in one."""
     normal = df.withColumn("_normal", X.normalize_text(folder_and_name(stem, path)))
+    if dictionary is not None:
+        return own_genre(normal, "_normal", "genre", dictionary).drop("_normal")
     return normal.withColumn("genre", X.genre_of(F.col("_normal"))).drop("_normal")
 
 
-def lookup_descriptors(df: DataFrame, stem: str = "stem") -> DataFrame:
-    """Add the sorted array of descriptors named in the stem."""
+def lookup_descriptors(df: DataFrame, stem: str = "stem", dictionary: DataFrame | None = None) -> DataFrame:
+    """Add the sorted array of descriptors named in the stem. ``dictionary``: ``(keyword, value1)`` in place of the built-in one."""
     normal = df.withColumn("_normal", X.normalize_text(F.col(stem)))
+    if dictionary is not None:
+        return own_descriptors(normal, "_normal", "descriptors", dictionary).drop("_normal")
     return normal.withColumn("descriptors", X.descriptors_of(F.col("_normal"))).drop("_normal")
 
 
@@ -108,66 +143,81 @@ def lookup_key_signature(sharps: Column, minor: Column) -> Column:
     return chain
 
 
-def _inline(dictionary: DataFrame, values: list[str]) -> list[tuple[str, ...]] | None:
-    rows = dictionary.select("keyword", *values, "position").limit(INLINE_ROWS + 1).collect()
-    if len(rows) > INLINE_ROWS:
-        return None
-    return [tuple(r[:-1]) for r in sorted(rows, key=lambda r: r[-1])]
+def rank_keywords(dictionary: DataFrame, out: str = "rank") -> DataFrame:
+    """Add the place of each keyword in matching order: longest first, ties by ``position``."""
+    ordered = dictionary.withColumn("_order", F.struct(-F.length("keyword"), F.col("position"), F.col("keyword")))
+    return numbered(ordered, "_order", out, "_total").drop("_order", "_total")
 
 
-def _occurrences(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``(key, keyword...)`` of every dictionary keyword contained in a text, exactly, without pairing all with all.
+def _gram_slots(grams: DataFrame) -> bytes:
+    """One byte per slot of a hash table, 1 where a gram of the dictionary falls; about eight slots per gram up to ``SLOTS``.
 
-    Each text is cut into overlapping blocks, which are spread over the tasks, so one very long text keeps no task busy
-    alone. Each position of a block gives its leading grams, and grams meet the keywords that begin with them in an
-    equi-join; the rest of the keyword is then compared. Grams are salted, so a frequent one is spread over several
-    tasks; when the dictionary has few, others are dropped before the join.
+    A fuller table lets more positions through to the join, never fewer.
     """
-    longest = dictionary.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0))).first()[0]
-    sizes = [r[0] for r in dictionary.select(F.least(F.length("keyword"), F.lit(GRAM)).alias("n")).distinct().collect()]
-    words = dictionary.withColumn("_gram", F.substring("keyword", 1, GRAM)).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    many = grams.count()
+    size = 1 << min(max(8, (8 * many).bit_length()), SLOTS.bit_length() - 1)
+    taken = grams.select(F.pmod(F.xxhash64("_gram"), F.lit(size)).cast("int")).distinct()
+    slots = bytearray(size)
+    for (slot,) in taken.collect():
+        slots[slot] = 1
+    return bytes(slots)
+
+
+def _occurrences(texts: DataFrame, keys: list[str], text: str, dictionary: DataFrame, spread: bool) -> DataFrame:
+    """``(keys, keyword...)`` of every dictionary keyword contained in a text, exactly, without pairing all with all.
+
+    Each text is cut into overlapping blocks. Inside a block's array, positions whose leading grams fall into no slot of the dictionary go
+    first; what is left becomes rows, meets the keywords that begin with its gram in an equi-join, and the rest of the keyword is compared.
+    A dictionary of bounded bytes is broadcast; else grams are salted, so that a frequent one is spread over several tasks.
+    """
+    words = dictionary.where(F.length("keyword") > 0).withColumn("_gram", F.substring("keyword", 1, GRAM))
+    facts = words.agg(F.max(F.length("keyword")), F.sort_array(F.collect_set(F.length("_gram")))).first()
+    longest, sizes = facts[0] or 0, facts[1]
+    slots = _gram_slots(words.select("_gram").distinct())
     cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int"))
     parts = F.transform(cuts, lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)))
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = value_rows(texts, [key], parts, "_part").filter(F.length("_part") > 0).repartition(tasks, key, "_part")
+    blocks = value_rows(texts, keys, parts, "_part").filter(F.length("_part") > 0)
+    if spread:
+        blocks = blocks.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_part")
     starts = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(TEXT_BLOCK)))
-    windows = F.transform(starts, lambda i: F.substring("_part", i, F.lit(longest)))
-    tails = value_rows(blocks, [key], windows, "_tail").withColumn(
-        "_salt", F.pmod(F.xxhash64(key, "_tail"), F.lit(SALTS)).cast("int")
+    taken = lambda g: F.substring(F.lit(slots), F.pmod(F.xxhash64(g), F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    heads = F.flatten(
+        F.transform(F.lit(sizes).cast("array<int>"), lambda n: F.filter(
+            F.transform(starts, lambda i: F.struct(F.substring("_part", i, n).alias("gram"), i.alias("at"))), lambda h: taken(h["gram"])))
     )
-    heads = F.array_distinct(F.array(*[F.substring("_tail", 1, n) for n in sizes]))
-    known = words.select("_gram").distinct().limit(KNOWN_GRAMS + 1).collect()
-    if len(known) <= KNOWN_GRAMS:
-        heads = F.filter(heads, lambda g: g.isin([r[0] for r in known]))
-    grams = value_rows(tails, [key, "_tail", "_salt"], heads, "_gram")
-    hit = grams.join(words, ["_gram", "_salt"]).filter(F.startswith("_tail", F.col("keyword")))
+    found = F.array_distinct(F.transform(heads, lambda h: F.struct(h["gram"].alias("_gram"), F.substring("_part", h["at"], F.lit(longest)).alias("_tail"))))
+    grams = struct_rows(blocks, keys, found, "_gram")
+    on = ["_gram"]
+    if small(words):
+        words = F.broadcast(words)
+    else:
+        on = ["_gram", "_salt"]
+        words = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        grams = grams.withColumn("_salt", F.pmod(F.xxhash64(*keys, "_tail"), F.lit(SALTS)).cast("int"))
+    hit = grams.join(words, on).filter(F.startswith("_tail", F.col("keyword")))
     return hit.drop("_gram", "_salt", "_tail")
 
 
 def dictionary_longest(
-    texts: DataFrame, key: str, text: str, dictionary: DataFrame, values: list[str]
+    texts: DataFrame, text: str, dictionary: DataFrame, values: list[str], spread: bool = True
 ) -> DataFrame:
-    """Add the values of the longest keyword of a dictionary table contained in ``text``; null where none is.
+    """Add the values of the longest keyword of a dictionary table contained in ``text``; null where none is, and for a null text.
 
-    ``dictionary``: ``keyword``, ``position`` (breaks ties between equal lengths) and the value columns. A small table
-    is compiled into the plan, a larger one is joined; both give the same rows.
+    ``dictionary``: ``keyword``, ``position`` (breaks ties between equal lengths) and the value columns; null and empty keywords match
+    nothing. Columns of ``texts`` that are called like a value are replaced. The way is the same for dictionaries of any size. ``spread``
+    deals blocks of texts over the tasks; switch it off for texts that already come in many even partitions.
     """
-    small = _inline(dictionary, values)
-    if small:
-        found = X.longest_keyword(F.col(text), small)
-        return texts.withColumn("_hit", found).select(
-            *texts.columns, *[F.col("_hit")[f"v{i + 1}"].alias(v) for i, v in enumerate(values)]
-        )
-    order = F.struct(-F.length("keyword"), F.col("position"))
-    best = _occurrences(texts, key, text, dictionary).groupBy(key).agg(*[F.min_by(v, order).alias(v) for v in values])
-    return texts.join(best, key, "left")
-
-
-def dictionary_all(texts: DataFrame, key: str, text: str, dictionary: DataFrame, value: str) -> DataFrame:
-    """Long ``(key, value)``: every distinct value whose keyword is contained in ``text``."""
-    small = _inline(dictionary, [value])
-    if small:
-        return value_rows(texts, [key], X.all_keywords(F.col(text), small), value)
-    return _occurrences(texts, key, text, dictionary).select(key, value).distinct()
+    kept = texts.drop(*values)
+    order = F.struct(-F.length("keyword"), F.col("position"), F.col("keyword"))
+    marked = texts.select(F.col(text).alias("_text"), F.md5(text).alias("_mark"))
+    best = _occurrences(marked, ["_mark"], "_text", dictionary.select("keyword", "position", F.struct(*values).alias("_values")), spread)
+    best = best.groupBy("_mark").agg(F.min_by("_values", order).alias("_values"))
+    return kept.withColumn("_mark", F.md5(text)).join(best, "_mark", "left").select(
+        *kept.columns, *[F.col("_values")[v].alias(v) for v in values])
+
+
+def dictionary_all(texts: DataFrame, key: str, text: str, dictionary: DataFrame, value: str, spread: bool = True) -> DataFrame:
+    """Long ``(key, value)``: every distinct value whose keyword is contained in a text of that key; null and empty keywords match nothing."""
+    marked = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    hit = _occurrences(marked, ["_key"], "_text", dictionary.select("keyword", F.col(value).alias("_value")), spread)
+    return hit.select(F.col("_key").alias(key), F.col("_value").alias(value)).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtone import dims
 from loomtone.functions import numbers as N
 from loomtone.functions import text as X
-from loomtone.operators.lookup import folder_and_name, lookup_program, with_key, with_tempo
+from loomtone.operators.lookup import folder_and_name, lookup_program, own_descriptors, own_genre, own_instrument, with_key, with_tempo
 
 OVERRIDABLE = [
     "tempo",
@@ -30,22 +30,32 @@ MIDI_FACTS = (
 )
 
 
-def detect(df: DataFrame, stem: str = "stem", path: str = "rel_parent") -> DataFrame:
+def detect(
+    df: DataFrame, stem: str = "stem", path: str = "rel_parent", dictionaries: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """Add everything a name can tell: name_tempo, name_key, named (instrument), genre and descriptors.
 
-    Shared texts are made once in an earlier projection, so no keyword test or pattern repeats them.
+    Shared texts are made once in an earlier projection, so no keyword test or pattern repeats them. ``dictionaries``: tables
+    ``(keyword, position, value1, value2)`` under ``instrument``, ``genre`` or ``descriptor`` in place of the built-in ones.
     """
+    own = dictionaries or {}
     shared = df.withColumns(
         {"_name": X.normalize_text(F.col(stem)), "_where": X.normalize_text(folder_and_name(stem, path))}
     )
     keyed = with_key(with_tempo(shared, stem, "name_tempo"), stem, "name_key")
-    return keyed.withColumns(
-        {
-            "named": X.instrument_of(F.col("_name")),
-            "genre": X.genre_of(F.col("_where")),
-            "descriptors": F.array_join(X.descriptors_of(F.col("_name")), ","),
-        }
-    ).drop("_name", "_where")
+    built_in = {
+        "named": ("instrument", X.instrument_of(F.col("_name"))),
+        "genre": ("genre", X.genre_of(F.col("_where"))),
+        "descriptors": ("descriptor", X.descriptors_of(F.col("_name"))),
+    }
+    found = keyed.withColumns({out: value for out, (kind, value) in built_in.items() if kind not in own})
+    if "instrument" in own:
+        found = own_instrument(found, "_name", "named", own["instrument"])
+    if "genre" in own:
+        found = own_genre(found, "_where", "genre", own["genre"])
+    if "descriptor" in own:
+        found = own_descriptors(found, "_name", "descriptors", own["descriptor"])
+    return found.withColumn("descriptors", F.array_join("descriptors", ",")).drop("_name", "_where")
 
 
 def resolve_metadata(df: DataFrame, midi: str | None = None) -> DataFrame:

@@ -40,15 +40,17 @@ def convert_catalog(
     run: R.RunOverrides | None = None,
     key: str = "path",
     root: str | None = None,
+    dictionaries: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Metadata of each listed file.
 
     ``files`` needs ``path`` (parts are added when missing). ``midi``: ``(key, midi)`` from :func:`midi_facts`.
     ``durations``: ``(key, audio_duration)`` from probe logs. Overrides are applied last, so they always hold.
+    ``dictionaries`` take the place of the built-in ones, see :func:`loomtone.operators.resolve.detect`.
     """
     if "stem" not in files.columns:
         files = path_parts(files, "path", root)
-    found = R.detect(files)
+    found = R.detect(files, dictionaries=dictionaries)
     if midi is not None:
         found = found.join(midi, key, "left")
     settled = R.resolve_metadata(found, "midi" if midi is not None else None)

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INLINE_ROWS = 500
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 _own: list[str] = []
@@ -48,11 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; never reads more than that plus one."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, of at most ``size`` bytes as JSON; never reads more rows than that plus one."""
+    held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return held[0] <= rows and held[1] <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting it; beyond the bound the join shuffles."""
-    return F.broadcast(df) if small(df, rows) else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a side for broadcast only after measuring it; beyond the bounds the join shuffles."""
+    return F.broadcast(df) if small(df) else df

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import text as X
+from loomtone import workspace as W
 from loomtone.operators import lookup as L
 from loomtone.sources.files import name_glob, parse_extensions, path_parts
 
@@ -53,22 +54,41 @@ def test_programs_decide_only_without_a_name(spark):
     assert [r[0] for r in rows] == ["Drums", "Bass", "Other Instrument", "Other Instrument"]
 
 
-@pytest.mark.parametrize("gram", [1, 2, 4])
-def test_dictionary_join_equals_brute_force(spark, monkeypatch, gram):
-    words = ["a", "ab", "abc", "bca", "cab", "aaaa", "bcabc", "abcabcabcabc", "xyz", "c a"]
-    texts = {i: t for i, t in enumerate(["", "a", "abcabcabcabcabc" * 9, "xxaaaabx", "b c a b", "cabcabc", "zzz", "xy" + "z" * 40])}
-    monkeypatch.setattr(L, "INLINE_ROWS", 0)
+@pytest.mark.parametrize("gram, rows", [(1, 200_000), (2, 0), (4, 200_000)])
+def test_dictionary_join_equals_brute_force(spark, monkeypatch, gram, rows):
+    words = ["a", "ab", "abc", "bca", "cab", "aaaa", "bcabc", "abcabcabcabc", "xyz", "c a", "\u00e9t\u00e9"]
+    texts = {i: t for i, t in enumerate(["", "a", "abcabcabcabcabc" * 9, "xxaaaabx", "b c a b", "cabcabc", "zzz", "xy" + "z" * 40, "\u00e9t\u00e9t\u00e9"])}
     monkeypatch.setattr(L, "GRAM", gram)
     monkeypatch.setattr(L, "TEXT_BLOCK", 7)
+    monkeypatch.setattr(L, "small", lambda df: W.small(df, rows))
     dictionary = spark.createDataFrame([(w, i, w.upper()) for i, w in enumerate(words)], "keyword string, position int, v string")
     df = spark.createDataFrame(list(texts.items()), "id int, t string")
-    best = {r["id"]: r["v"] for r in L.dictionary_longest(df, "id", "t", dictionary, ["v"]).collect()}
+    best = {r["id"]: r["v"] for r in L.dictionary_longest(df, "t", dictionary, ["v"]).collect()}
     ranked = sorted(words, key=lambda w: -len(w))
     assert best == {i: next((w.upper() for w in ranked if w in t), None) for i, t in texts.items()}
     every = {(r["id"], r["v"]) for r in L.dictionary_all(df, "id", "t", dictionary, "v").collect()}
     assert every == {(i, w.upper()) for i, t in texts.items() for w in words if w in t}
 
 
+def test_dictionaries_of_any_size_answer_alike(spark):
+    """Same columns, types and rows for 3 and for 10,000 keywords, with null keys, repeated keys and empty texts and keywords."""
+    base = [("pad", 0, 7), ("padded", 1, 8), ("ape", 2, 9), ("", 3, 1), (None, 4, 2)]
+    df = spark.createDataFrame([("x", "a padded"), ("x", "ape pad"), (None, "pad"), ("y", ""), ("z", None)], "t_id string, t string")
+    seen = []
+    for more in (0, 495, 496, 9_995):
+        rows = base + [(f"#{i}#", 10 + i, i) for i in range(more)]
+        dictionary = spark.createDataFrame(rows, "keyword string, position int, v bigint")
+        out = L.dictionary_longest(df, "t", dictionary, ["v"])
+        every = L.dictionary_all(df, "t_id", "t", dictionary, "v")
+        seen.append((out.dtypes, every.dtypes, sorted(map(str, out.collect())), sorted(map(str, every.collect()))))
+    assert all(s == seen[0] for s in seen)
+    assert seen[0][0] == [("t_id", "string"), ("t", "string"), ("v", "bigint")]
+    got = {(r["t_id"], r["t"]): r["v"] for r in L.dictionary_longest(df, "t", dictionary, ["v"]).collect()}
+    assert got == {("x", "a padded"): 8, ("x", "ape pad"): 7, (None, "pad"): 7, ("y", ""): None, ("z", None): None}
+    nothing = L.dictionary_longest(df, "t", dictionary.limit(0), ["v"])
+    assert nothing.count() == 5 and nothing.where("v IS NOT NULL").count() == 0
+
+
 def test_key_argument(spark):
     one = spark.range(1)
     for text, want in {"Am": ("A", "minor"), "F# minor": ("F#", "minor"), "Bb": ("Bb", "major"), "xm": ("XM", "minor")}.items():
