@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import text as X
-from loomtone.functions.rows import struct_rows, value_rows
+from loomtone.functions.rows import let, struct_rows, value_rows
 from loomtone.operators.blocked import numbered
 from loomtone.workspace import broadcast_if_small, small
 
@@ -149,12 +149,11 @@ def rank_keywords(dictionary: DataFrame, out: str = "rank") -> DataFrame:
     return numbered(ordered, "_order", out, "_total").drop("_order", "_total")
 
 
-def _gram_slots(grams: DataFrame) -> bytes:
-    """One byte per slot of a hash table, 1 where a gram of the dictionary falls; about eight slots per gram up to ``SLOTS``.
+def _gram_slots(grams: DataFrame, many: int) -> bytes:
+    """One byte per slot of a hash table, 1 where one of about ``many`` grams falls; eight slots or more for each up to ``SLOTS``.
 
     A fuller table lets more positions through to the join, never fewer.
     """
-    many = grams.count()
     size = 1 << min(max(8, (8 * many).bit_length()), SLOTS.bit_length() - 1)
     taken = grams.select(F.pmod(F.xxhash64("_gram"), F.lit(size)).cast("int")).distinct()
     slots = bytearray(size)
@@ -171,9 +170,11 @@ def _occurrences(texts: DataFrame, keys: list[str], text: str, dictionary: DataF
     A dictionary of bounded bytes is broadcast; else grams are salted, so that a frequent one is spread over several tasks.
     """
     words = dictionary.where(F.length("keyword") > 0).withColumn("_gram", F.substring("keyword", 1, GRAM))
-    facts = words.agg(F.max(F.length("keyword")), F.sort_array(F.collect_set(F.length("_gram")))).first()
+    facts = words.agg(F.max(F.length("keyword")), F.sort_array(F.collect_set(F.length("_gram"))), F.approx_count_distinct("_gram")).first()
     longest, sizes = facts[0] or 0, facts[1]
-    slots = _gram_slots(words.select("_gram").distinct())
+    least = sizes[0] if sizes else 1
+    leads = words.select(F.explode(F.array("_gram", F.substring("_gram", 1, least))).alias("_gram")).distinct()
+    slots = _gram_slots(leads, 2 * facts[2])
     cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int"))
     parts = F.transform(cuts, lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)))
     blocks = value_rows(texts, keys, parts, "_part").filter(F.length("_part") > 0)
@@ -181,11 +182,10 @@ def _occurrences(texts: DataFrame, keys: list[str], text: str, dictionary: DataF
         blocks = blocks.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_part")
     starts = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(TEXT_BLOCK)))
     taken = lambda g: F.substring(F.lit(slots), F.pmod(F.xxhash64(g), F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    heads = F.flatten(
-        F.transform(F.lit(sizes).cast("array<int>"), lambda n: F.filter(
-            F.transform(starts, lambda i: F.struct(F.substring("_part", i, n).alias("gram"), i.alias("at"))), lambda h: taken(h["gram"])))
-    )
-    found = F.array_distinct(F.transform(heads, lambda h: F.struct(h["gram"].alias("_gram"), F.substring("_part", h["at"], F.lit(longest)).alias("_tail"))))
+    likely = F.filter(starts, lambda i: taken(F.substring("_part", i, F.lit(least))))
+    tails = lambda places, n: F.transform(places, lambda i: F.struct(
+        F.substring("_part", i, F.lit(n)).alias("_gram"), F.substring("_part", i, F.lit(longest)).alias("_tail")))
+    found = let(likely, lambda l: F.concat(*[F.filter(tails(l, n), lambda t: taken(t["_gram"])) if n > least else tails(l, n) for n in sizes or [1]]))
     grams = struct_rows(blocks, keys, found, "_gram")
     on = ["_gram"]
     if small(words):
