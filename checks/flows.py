@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import sqltext as S
 from checks.names import META, WITH_CATALOG, catalog
-from checks.views import KNOWN_LOOPS, TREE, library_tree, table
+from checks.loops import MIDI_FILES
+from checks.views import KNOWN_LOOPS, TREE, TREE_PATH, library_tree, table
 from loomtone.operators import sinks
-from loomtone.plans.convert import convert_library
+from loomtone.operators.stats import batch_stats
+from loomtone.plans.convert import convert_library, convert_run
 from loomtone.plans.decode import decode_library
 from loomtone.sources import files as Fs
 from loomtone.streaming import ingest, status
@@ -114,6 +116,45 @@ def _(spark, sf):
     return done.select(_rel(root).alias("rel"), "category", "subcategory", "genre", "tempo", "loop_type")
 
 
+RUN = f"""run AS (SELECT t.*, CASE WHEN kind = 5 THEN 'FAILED' WHEN hidden THEN 'SKIPPED' ELSE 'OK' END AS status,
+    CASE WHEN kind = 5 THEN 'empty file' WHEN hidden THEN 'hidden file' END AS error, CASE WHEN kind = 2 THEN 'midi' ELSE 'audio' END AS loop_type,
+    CASE WHEN kind = 2 THEN m.duration ELSE 4.0 END AS length,
+    CASE WHEN kind < 4 AND NOT hidden THEN CAST(round_even((90 + t.id % 50) * CASE WHEN kind = 2 THEN m.duration ELSE 4.0 END / 60.0, 0) AS INTEGER) END
+      AS beat_count FROM tree t LEFT JOIN midi_files m USING (id) WHERE kind <> 4),
+  heard AS (SELECT id, beat_count, l_orderkey % 200000 AS pos FROM run JOIN lineitem ON l_suppkey = id AND l_linenumber = 7 AND l_quantity < 15
+    WHERE status = 'OK' AND loop_type = 'audio'),
+  found AS (SELECT id, pos FROM heard WHERE pos > 0 AND pos < 176400 UNION SELECT id, unnest([0, 176400]) FROM heard),
+  short AS (SELECT id, beat_count FROM found JOIN (SELECT DISTINCT id, beat_count FROM heard) USING (id) GROUP BY ALL HAVING count(*) < beat_count + 1),
+  filled AS (SELECT * FROM found UNION SELECT id, CAST(round_even(i * (176400 / beat_count), 0) AS BIGINT) FROM short, unnest(range(beat_count + 1)) t(i)),
+  counted AS (SELECT id, count(*) AS n FROM filled GROUP BY id),
+  ran AS (SELECT rel, status, error, loop_type, beat_count, CAST(CASE WHEN status <> 'OK' THEN 0 ELSE coalesce(n,
+    CASE WHEN beat_count > 0 THEN 4 * beat_count + 1 WHEN loop_type = 'audio' THEN 2 ELSE 0 END) END AS BIGINT) AS markers
+    FROM run LEFT JOIN counted USING (id))"""
+WITH_RUN = S.with_(TREE, S.KEYS, MIDI_FILES, RUN)
+
+
+def run(spark, sf):
+    root = library_tree(spark, sf)
+    near = table(spark, sf, "lineitem").where("l_linenumber = 7 AND l_quantity < 15")
+    files = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit(f"file:{root}/" if root.startswith("/") else root + "/"), TREE_PATH(F.col("s_suppkey"))).alias("path"))
+    onsets = near.join(files, "l_suppkey").select("path", (F.col("l_orderkey") % 200000).alias("pos"))
+    return root, convert_run(spark, root, onsets=onsets)
+
+
+@query("convert_run", WITH_RUN + "SELECT * FROM ran")
+def _(spark, sf):
+    root, rows = run(spark, sf)
+    return rows.select(_rel(root).alias("rel"), "status", "error", "loop_type", "beat_count", "markers")
+
+
+@query("convert_run_stats", WITH_RUN + """SELECT count(*) AS total, count(*) FILTER (status = 'OK') AS converted, count(*) FILTER (status = 'SKIPPED')
+    AS skipped, count(*) FILTER (status = 'FAILED') AS errors, count(*) FILTER (status = 'OK' AND loop_type = 'audio') AS audio,
+    count(*) FILTER (status = 'OK' AND loop_type = 'midi') AS midi FROM ran""")
+def _(spark, sf):
+    return batch_stats(run(spark, sf)[1])
+
+
 @query("stream_ingest", WITH_TREE + TAKEN)
 def _(spark, sf):
     root, out = library_tree(spark, sf), scratch_path(spark, "ingest")
@@ -122,12 +163,18 @@ def _(spark, sf):
     return done.select(_rel(root).alias("rel"), "category", "subcategory", "genre", "tempo", "loop_type")
 
 
-@query("write_catalog", WITH_CATALOG + f"SELECT {META} FROM catalog WHERE loop_type = 'audio' AND category <> 'Drums'")
+@query("write_catalog", WITH_CATALOG + f"SELECT {META} FROM catalog")
+def _(spark, sf):
+    out = scratch_path(spark, "catalog")
+    sinks.write_catalog(catalog(spark, sf), out)
+    return spark.read.parquet(out).select(*META.split(", "))
+
+
+@query("write_catalog_pruned", WITH_CATALOG + f"SELECT {META} FROM catalog WHERE loop_type = 'audio' AND category <> 'Drums'")
 def _(spark, sf):
     out = scratch_path(spark, "catalog")
     sinks.write_catalog(catalog(spark, sf), out)
-    kept = spark.read.parquet(out).filter("loop_type = 'audio' AND category <> 'Drums'")
-    return kept.select(*META.split(", "))
+    return spark.read.parquet(out).filter("loop_type = 'audio' AND category <> 'Drums'").select(*META.split(", "))
 
 
 # ---- streams over the event table -----------------------------------------------------------------------------------

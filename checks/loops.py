@@ -135,12 +135,16 @@ def _(spark, sf):
     return counted.withColumns({c: F.col(c).cast("bigint") for c in ("total_size", "last_size")})
 
 
-@query("check_required_chunks", WITH_CHUNKS + "SELECT id, 'missing kuki' AS rule FROM known_loops")
+@query("check_required_chunks", WITH_CHUNKS + """, wanted AS (SELECT unnest(['desc', 'data', 'info', 'uuid', 'pakt', 'kuki']) AS type)
+  SELECT id, 'missing ' || w.type AS rule FROM known_loops, wanted w WHERE w.type = 'kuki' OR w.type = 'pakt' AND id % 4 IN (0, 1)
+    OR w.type IN ('info', 'uuid') AND id % 8 = 2 OR w.type IN ('desc', 'data', 'info', 'uuid') AND id % 4 = 0""")
 def _(spark, sf):
-    files = caf(spark, sf)
+    """Files 0 of 4 have no chunk at all, 1 of 4 lose ``pakt``, 2 of 8 their tags and markers."""
+    i, kind, files = F.col("id"), F.col("type"), caf(spark, sf)
     desc = C.caf_desc(C.last_payload(F.col("chunks"), "desc", 32))
     codec = files.select("id", desc["format_id"].alias("format_id"))
-    return Q.check_required_chunks(C.explode_chunks(files, "id"), "id", codec)
+    gone = (i % 4 == 0) | ((i % 4 == 1) & (kind == "pakt")) | ((i % 8 == 2) & kind.isin("info", "uuid"))
+    return Q.check_required_chunks(C.explode_chunks(files, "id").filter(~gone), "id", codec, files.select("id"))
 
 
 @query("caf_desc", WITH_LOOPS + "SELECT id, sample_rate, 'aac' AS format_id, channels, bits AS bits_per_sample FROM known_loops")
@@ -197,21 +201,29 @@ def _(spark, sf):
 
 @query(
     "check_markers",
-    WITH_LOOPS + "SELECT id, 'marker count differs' AS rule FROM known_loops WHERE id % 11 = 0",
+    WITH_LOOPS + """SELECT id, unnest([x FOR x IN [
+        CASE WHEN id % 13 = 0 THEN 'first marker not at zero' END, CASE WHEN id % 13 IN (0, 1) THEN 'last marker not at end' END,
+        CASE WHEN id % 13 = 2 AND num_frames > 0 THEN 'markers go back' END, CASE WHEN id % 11 = 0 THEN 'marker count differs' END] IF x IS NOT NULL]) AS rule FROM known_loops""",
 )
 def _(spark, sf):
+    """Markers of files 0 of 13 are moved by one, the last of files 1 of 13 lies beyond the end, the second of files 2 of 13 before the first."""
     marked = C.loop_markers(caf(spark, sf))
     frames = C.caf_pakt(C.last_payload(F.col("chunks"), "pakt", 24))["num_frames"]
     files = marked.select("id", frames.alias("num_frames"), F.col("markers.declared").alias("declared"))
-    return Q.check_markers(C.explode_markers(marked, "id"), files, "id")
+    i, idx, pos = F.col("id"), F.col("idx"), F.col("pos")
+    long = C.explode_markers(marked, "id").join(files.select("id", "num_frames"), "id")
+    moved = F.when(i % 13 == 0, pos + 1).when((i % 13 == 1) & (pos == F.col("num_frames")), pos + 5).when(
+        (i % 13 == 2) & (idx == 1), F.lit(-1).cast("bigint")).otherwise(pos)
+    return Q.check_markers(long.select("id", "idx", moved.alias("pos")), files, "id")
 
 
-@query("aiff_chunks", """SELECT o_orderkey AS id, CAST(c.ord AS INTEGER) AS ord, c.type AS type, CAST(c.size AS BIGINT) AS size
-  FROM orders, unnest([{'ord': 0, 'type': 'NAME', 'size': o_orderkey % 4 * 2 + 1}, {'ord': 1, 'type': 'COMM', 'size': 18},
-    {'ord': 2, 'type': 'basc', 'size': 84}, {'ord': 4, 'type': 'SSND', 'size': 16}]) t(c)""")
+@query("aiff_chunks", WITH_LOOPS + """SELECT id, ord, type, CAST(20 + 8 * ord + sum(size + size % 2) OVER (PARTITION BY id ORDER BY ord) - size - size % 2
+    AS BIGINT) AS off, size FROM (SELECT id, CAST(c.ord AS INTEGER) AS ord, c.type AS type, CAST(c.size AS BIGINT) AS size FROM known_loops, unnest([
+      {'ord': 0, 'type': 'NAME', 'size': id % 4 * 2 + 1}, {'ord': 1, 'type': 'COMM', 'size': 18}, {'ord': 2, 'type': 'basc', 'size': 84},
+      {'ord': 3, 'type': 'cate', 'size': length(category) + length(subcategory) + length(genre) + 9}, {'ord': 4, 'type': 'SSND', 'size': 16}]) t(c))""")
 def _(spark, sf):
-    long = C.explode_chunks(aiff(spark, sf), "id").filter("type <> 'cate'").drop("off")
-    return long.withColumn("size", F.col("size").cast("bigint"))
+    long = C.explode_chunks(aiff(spark, sf), "id")
+    return long.withColumns({c: F.col(c).cast("bigint") for c in ("off", "size")})
 
 
 @query("aiff_comm", WITH_LOOPS + "SELECT id, channels, num_frames, bits AS bits_per_sample, sample_rate FROM known_loops")
@@ -276,7 +288,7 @@ MIDI_FILES = """
 midi_files AS (SELECT id, tpb, notes, tempo_us, sf, mi, ts_num, round_even(60000000.0::DOUBLE / tempo_us, 0)::INTEGER AS tempo,
     notes * gap AS ticks, program, notes * gap * (tempo_us / 1e6) / tpb AS duration,
     CASE WHEN sf BETWEEN -7 AND 7 THEN k.key END AS key_signature, CASE WHEN sf BETWEEN -7 AND 7 THEN k.key_type END AS key_type
-  FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 480 ELSE 480 END AS tpb, o_orderkey % 5 + 1 AS notes,
+  FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 480 ELSE list_extract([96, 384, 480, 960], o_orderkey % 4 + 1) END AS tpb, o_orderkey % 5 + 1 AS notes,
     100 + o_orderkey % 400 AS gap, 300000 + o_orderkey % 700000 AS tempo_us, o_orderkey % 17 - 8 AS sf, o_orderkey % 2 AS mi,
     2 + o_orderkey % 5 AS ts_num, o_orderkey % 128 AS program FROM orders) LEFT JOIN d_key k USING (sf, mi))
 """
@@ -393,14 +405,18 @@ def _(spark, sf):
 
 @query(
     "midi_events",
-    S.with_(S.KEYS, MIDI_FILES) + """SELECT id, kind, count(*) AS events, CAST(sum(delta) AS BIGINT) AS ticks FROM (
-      SELECT id, 'note_on' AS kind, unnest([0, ticks // notes]) AS delta FROM midi_files, range(notes)
-      UNION ALL SELECT id, unnest(['header', 'set_tempo', 'time_signature', 'key_signature', 'program_change', 'meta', 'meta']), 0
-      FROM midi_files) GROUP BY id, kind""",
+    S.with_(S.KEYS, MIDI_FILES) + """SELECT id, CAST(track AS INTEGER) AS track, kind, CAST(channel AS INTEGER) AS channel, CAST(a AS BIGINT) AS a,
+      CAST(b AS BIGINT) AS b, count(*) AS events, CAST(sum(delta) AS BIGINT) AS ticks FROM (
+        SELECT id, 1 AS track, 'note_on' AS kind, 3 AS channel, 60 AS a, unnest([64, 0]) AS b, unnest([0, ticks // notes]) AS delta
+          FROM midi_files, range(notes)
+        UNION ALL SELECT id, 1, 'program_change', 3, program, 0, 0 FROM midi_files
+        UNION ALL SELECT id, 0, 'set_tempo', NULL, tempo_us, 0, 0 FROM midi_files
+        UNION ALL SELECT id, 0, 'time_signature', NULL, ts_num, 2, 0 FROM midi_files
+      ) GROUP BY ALL""",
 )
 def _(spark, sf):
-    events = midi.midi_events(midi_blob(spark, sf), "id")
-    return events.groupBy("id", "kind").agg(F.count("*").alias("events"), F.sum("delta").alias("ticks"))
+    shown = midi.midi_events(midi_blob(spark, sf), "id").filter("kind IN ('note_on', 'program_change', 'set_tempo', 'time_signature')")
+    return shown.groupBy("id", "track", "kind", "channel", "a", "b").agg(F.count("*").alias("events"), F.sum("delta").alias("ticks"))
 
 
 @query(
@@ -474,7 +490,7 @@ def _(spark, sf):
     return M.midi_last_meta(midi_like(spark, sf)).select("file_id", "tempo_us", "key_sf", "key_mi")
 
 
-@query("midi_header", """SELECT o_orderkey AS id, CAST(2 AS INTEGER) AS tracks, CAST(480 AS INTEGER) AS ticks_per_beat FROM orders""")
+@query("midi_header", S.with_(S.KEYS, MIDI_FILES) + "SELECT id, CAST(2 AS INTEGER) AS tracks, CAST(tpb AS INTEGER) AS ticks_per_beat FROM midi_files")
 def _(spark, sf):
     return M.midi_header(midi.midi_events(midi_blob(spark, sf), "id"), "id")
 

@@ -254,7 +254,7 @@ def midi_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(pair, (k % 5).cast("int")), F.lit("00FF2F00"),
     )
     track = lambda body: F.concat(_text("MTrk"), uint_hex(F.length(body) / 2, 4), body)
-    division = F.when(k % 10 == 0, F.lit("E728")).otherwise("01E0")
+    division = F.when(k % 10 == 0, F.lit("E728")).otherwise(_pick(["0060", "0180", "01E0", "03C0"], k % 4))
     whole = F.concat(_text("MThd"), F.lit("0000000600010002"), division, track(meta), track(notes))
     return d.select("id", F.unhex(whole).alias("content"))
 
@@ -281,14 +281,14 @@ def _tree(app: str, sf_dir: str) -> str:
 
 def TREE_PATH(k: Column) -> Column:
     """Where a supplier's file lies: six kinds, some folders hidden, mixed-case extensions."""
-    folder = F.when(k % 10 == 9, F.lit(".trash")).otherwise(_pick(["Jazz", "Hip_Hop/Loops", "Rock"], k % 3))
+    folder = F.when(k % 10 == 9, F.lit(".trash")).otherwise(_pick(["Jazz", "Hip Hop/Loops #1", "Rock 100%"], k % 3))
     ext = _pick(["CAF", "aif", "mid", "Wav", "txt", "caf"], k % 6)
     return F.concat(folder, F.lit("/synth_pad_"), (F.lit(90) + k % 50).cast("string"), F.lit("bpm_no"), k.cast("string"),
                     F.lit("."), ext)
 
 
 TREE = """tree AS (SELECT s_suppkey AS id, s_suppkey % 6 AS kind, s_suppkey % 10 = 9 AS hidden,
-  CASE WHEN s_suppkey % 10 = 9 THEN '.trash' ELSE list_extract(['Jazz', 'Hip_Hop/Loops', 'Rock'], s_suppkey % 3 + 1) END
+  CASE WHEN s_suppkey % 10 = 9 THEN '.trash' ELSE list_extract(['Jazz', 'Hip Hop/Loops #1', 'Rock 100%'], s_suppkey % 3 + 1) END
   || '/synth_pad_' || (90 + s_suppkey % 50) || 'bpm_no' || s_suppkey || '.' ||
   list_extract(['CAF', 'aif', 'mid', 'Wav', 'txt', 'caf'], s_suppkey % 6 + 1) AS rel FROM supplier)"""
 
@@ -297,11 +297,12 @@ def _write_files(batches):
     import os
 
     import pandas as pd
-    from pyarrow import fs
+
+    from loomtone.sources.files import open_store
 
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner, _ = open_store(path)
             system.create_dir(os.path.dirname(inner), recursive=True)
             with system.open_output_stream(inner) as out:
                 out.write(content)

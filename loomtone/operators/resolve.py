@@ -58,11 +58,12 @@ def detect(
     return found.withColumn("descriptors", F.array_join("descriptors", ",")).drop("_name", "_where")
 
 
-def resolve_metadata(df: DataFrame, midi: str | None = None) -> DataFrame:
+def resolve_metadata(df: DataFrame, midi: str | None = None, is_midi: Column | None = None) -> DataFrame:
     """Settle the metadata of detected files (see :func:`detect`).
 
     The tempo in the name beats the MIDI tempo; the MIDI key beats the key in the name; time signature, duration and
-    beats come from MIDI. Drums and percussion have no key. ``midi`` names a struct column, null for audio files.
+    beats come from MIDI. Drums and percussion have no key. ``midi`` names a struct column, null for audio files. ``is_midi``
+    tells the type of a file, as its suffix does; without it a file with MIDI facts is MIDI.
     """
     m = F.col(midi) if midi else F.lit(None).cast(MIDI_FACTS)
     by_program = lookup_program(m["programs"])
@@ -81,7 +82,7 @@ def resolve_metadata(df: DataFrame, midi: str | None = None) -> DataFrame:
             "time_signature": F.coalesce(m["time_signature"], F.lit(dims.DEFAULT_TIME_SIGNATURE)),
             "duration": m["duration"],
             "beat_count": F.coalesce(m["beat_count"], F.lit(0)),
-            "loop_type": F.when(m.isNotNull(), F.lit("midi")).otherwise(F.lit("audio")),
+            "loop_type": F.when(m.isNotNull() if is_midi is None else is_midi, F.lit("midi")).otherwise(F.lit("audio")),
         }
     )
     return settled.withColumns(

@@ -125,7 +125,7 @@ def detect_format(content: Column) -> Column:
     )
 
 
-def _open_store(path: str):
+def open_store(path: str):
     """``(filesystem, plain path, prefix)`` of a Hadoop path: names are taken as they are, with blanks, ``#`` and ``%``."""
     from pyarrow import fs
 
@@ -146,7 +146,7 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for folder in pdf["path"]:
-            system, inner, prefix = _open_store(folder)
+            system, inner, prefix = open_store(folder)
             found = system.get_file_info(fs.FileSelector(inner))
             for k in range(0, len(found), _LISTED_AT_ONCE):
                 rows = [(prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory) for i in found[k: k + _LISTED_AT_ONCE]]
@@ -177,7 +177,7 @@ def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path in pdf["path"]:
-            system, inner, _ = _open_store(path)
+            system, inner, _ = open_store(path)
             with system.open_input_stream(inner) as stream:
                 yield pd.DataFrame({"path": [path], "content": [stream.read()]})
 

@@ -22,9 +22,9 @@ def test_names_with_blanks_and_signs(spark, tmp_path):
 def test_stores_keep_their_scheme():
     import pyarrow.fs as fs
 
-    system, inner, prefix = files._open_store("/lib/a#b c%.caf")
+    system, inner, prefix = files.open_store("/lib/a#b c%.caf")
     assert isinstance(system, fs.LocalFileSystem) and (inner, prefix) == ("/lib/a#b c%.caf", "")
-    assert files._open_store("file:///lib/a")[1:] == ("/lib/a", "file://")
+    assert files.open_store("file:///lib/a")[1:] == ("/lib/a", "file://")
 
 
 def test_wide_ranges(spark):

@@ -5,7 +5,7 @@ import os
 from loomtone.operators import resolve as V
 from loomtone.operators import sinks
 from loomtone.operators.stats import batch_stats, progress
-from loomtone.plans.convert import convert_catalog, convert_library
+from loomtone.plans.convert import convert_catalog, convert_library, convert_run
 from loomtone.sources.files import list_tree, scan_loops, skipped_files
 from loomtone.streaming import ingest, status
 
@@ -75,6 +75,21 @@ def test_library_on_disk(spark, tmp_path):
     assert {(r["file_name"], r["error"]) for r in missed.collect()} == {("empty.caf", "empty file"), ("lead.caf", "hidden file")}
 
 
+def test_damaged_midi_is_midi_and_fails(spark, tmp_path):
+    root = str(tmp_path)
+    _write(root, "Hip Hop #1/pad_F#m_90bpm.mid", b"not MIDI at all")
+    _write(root, "Hip Hop #1/pad 100%_60bpm.wav", b"RIFF")
+    _write(root, "gone_90bpm.mid", b"")
+    rows = {r["stem"]: r for r in convert_run(spark, root).collect()}
+    bad = rows["pad_F#m_90bpm"]
+    assert (bad["loop_type"], bad["duration"], bad["beat_count"], bad["markers"], bad["status"]) == ("midi", None, 0, 0, "FAILED")
+    assert bad["error"] == "no MIDI header" and rows["gone_90bpm"]["error"] == "empty file"
+    good = rows["pad 100%_60bpm"]
+    assert (good["loop_type"], good["beat_count"], good["markers"], good["status"]) == ("audio", 4, 17, "OK")
+    stats = batch_stats(convert_run(spark, root)).first()
+    assert (stats["total"], stats["converted"], stats["errors"], stats["audio"], stats["midi"]) == (3, 1, 2, 1, 0)
+
+
 def test_stream_takes_new_files_once(spark, tmp_path):
     root, out, state = (str(tmp_path / d) for d in ("lib", "out", "state"))
     _write(root, "a_100bpm.wav", b"RIFF")
