@@ -409,7 +409,7 @@ def _(spark, sf):
       CAST(b AS BIGINT) AS b, count(*) AS events, CAST(sum(delta) AS BIGINT) AS ticks FROM (
         SELECT id, 1 AS track, 'note_on' AS kind, 3 AS channel, 60 AS a, unnest([64, 0]) AS b, unnest([0, ticks // notes]) AS delta
           FROM midi_files, range(notes)
-        UNION ALL SELECT id, 1, 'program_change', 3, program, 0, 0 FROM midi_files
+        UNION ALL SELECT id, 1, 'program_change', 3, program, NULL, 0 FROM midi_files
         UNION ALL SELECT id, 0, 'set_tempo', NULL, tempo_us, 0, 0 FROM midi_files
         UNION ALL SELECT id, 0, 'time_signature', NULL, ts_num, 2, 0 FROM midi_files
       ) GROUP BY ALL""",
