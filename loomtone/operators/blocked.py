@@ -1,8 +1,9 @@
 """Ordered computations over series of any length.
 
 A window over a whole series would put that series into one task. These helpers cut a series into blocks of its order
-column, keep one summary row per block, carry the summaries forward, and run the row-level window inside blocks only.
-The order column must be unique within a series, so a block never holds more than ``size`` rows.
+column, keep one summary row per block, carry the summaries forward in two levels (within spans of ``size`` blocks, then
+over spans), and run the row-level window inside blocks only. The order column must be unique within a series, so neither a
+block nor a span hands more than ``size`` rows to a window.
 """
 
 from __future__ import annotations
@@ -20,15 +21,25 @@ def with_block(df: DataFrame, order: str, size: int = BLOCK) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / F.lit(size)).cast("bigint"))
 
 
-def _carried(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+def _earlier(keys: list[str], order: str) -> Window:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_span(summaries: DataFrame, size: int) -> DataFrame:
+    """Spans of ``size`` blocks: blocks are cut by value, so a sparse order column makes about one block per row."""
+    return summaries.withColumn("_span", F.floor(F.col("_block") / F.lit(size)).cast("bigint"))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, size: int = BLOCK) -> DataFrame:
     """Add the running total of ``value`` within ``keys``, in ``order``."""
     blocks = with_block(df, order, size)
-    sums = blocks.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    offsets = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(_carried(keys)), F.lit(0)).alias("_before"))
+    sums = _with_span(blocks.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum")), size)
+    spans = sums.groupBy(*keys, "_span").agg(F.sum("_sum").alias("_sum"))
+    spans = spans.select(*keys, "_span", F.sum("_sum").over(_earlier(keys, "_span")).alias("_start"))
+    inside_span = F.sum("_sum").over(_earlier([*keys, "_span"], "_block"))
+    offsets = sums.withColumn("_in_span", inside_span).join(spans, [*keys, "_span"])
+    zero = F.lit(0)
+    offsets = offsets.select(*keys, "_block", (F.coalesce("_start", zero) + F.coalesce("_in_span", zero)).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocks.join(offsets, [*keys, "_block"])
@@ -42,10 +53,13 @@ def last_seen(
 ) -> DataFrame:
     """Add the latest non-null ``value`` at or before each row (``current``), or strictly before it."""
     blocks = with_block(df, order, size).withColumn("_value", value)
-    tails = blocks.groupBy(*keys, "_block").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_tail")
-    )
-    carried = tails.select(*keys, "_block", F.last("_tail", ignorenulls=True).over(_carried(keys)).alias("_carry"))
+    latest = lambda column, at: F.max_by(column, F.when(F.col(column).isNotNull(), F.col(at)))
+    tails = _with_span(blocks.groupBy(*keys, "_block").agg(latest("_value", order).alias("_tail")), size)
+    spans = tails.groupBy(*keys, "_span").agg(latest("_tail", "_block").alias("_tail"))
+    spans = spans.select(*keys, "_span", F.last("_tail", ignorenulls=True).over(_earlier(keys, "_span")).alias("_start"))
+    inside_span = F.last("_tail", ignorenulls=True).over(_earlier([*keys, "_span"], "_block"))
+    carried = tails.withColumn("_in_span", inside_span).join(spans, [*keys, "_span"])
+    carried = carried.select(*keys, "_block", F.coalesce("_in_span", "_start").alias("_carry"))
     end = 0 if current else -1
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     return (

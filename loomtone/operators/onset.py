@@ -16,6 +16,7 @@ from loomtone.functions.rows import value_rows
 from loomtone.operators.blocked import join_unique, last_seen, with_halo
 
 SPACING_BLOCK = 8_192
+SEGMENT_BLOCKS = 4_096
 
 
 @dataclass(frozen=True)
@@ -76,15 +77,34 @@ def _fold(hops, last, wait: int):
     )
 
 
+def _last_kept(hops, last, wait: int):
+    """The last hop that :func:`_fold` keeps, without the kept array."""
+    return F.aggregate(
+        hops, last.cast("bigint"), lambda kept, h: F.when(kept.isNull() | (h > kept + wait), h).otherwise(kept)
+    )
+
+
+def _walk(starts, exits, last: int | None, wait: int) -> list[int | None]:
+    """The last kept hop after each edge block in order, when ``last`` was kept before the first."""
+    handed_on = []
+    for start, exit_by_state in zip(starts, exits):
+        distance = int(start) - last if last is not None else 0
+        last = int(exit_by_state[distance if 0 < distance <= wait else 0])
+        handed_on.append(last)
+    return handed_on
+
+
 def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame:
     """Peaks kept in order such that each lies more than ``wait`` hops after the one kept before it.
 
     The choice depends on earlier blocks only through a kept hop within ``wait`` of the block's start. So only blocks
     with a peak that near their end hand anything on. Such a block works out its last kept hop for every state it may be
-    entered in; mostly they agree. Only series where they do not are walked, over those few rows, to find the states that
-    really occur. All blocks then finish on their own.
+    entered in; mostly they agree. Only series where they do not are walked, over those few rows: each segment of blocks
+    first for every state it may be entered in, then the segments of a series, then each segment again for the states
+    that really occur. All blocks then finish on their own.
     """
     size = max(SPACING_BLOCK, 4 * (wait + 1))
+    reach = size * SEGMENT_BLOCKS
     blocks = (
         peaks.select(key, F.col("hop").cast("bigint").alias("hop"))
         .withColumn("_start", F.floor(F.col("hop") / F.lit(size)).cast("bigint") * size)
@@ -96,25 +116,46 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
         key,
         "_start",
         F.transform(
-            states, lambda d: _fold(F.col("_hops"), F.when(d > 0, F.col("_start") - d), wait)["last"]
+            states, lambda d: _last_kept(F.col("_hops"), F.when(d > 0, F.col("_start") - d), wait)
         ).alias("_exits"),
     )
     open_keys = edges.filter(F.size(F.array_distinct("_exits")) > 1).select(key).distinct()
     settled = edges.join(open_keys, key, "left_anti").select(
         key, (F.col("_start") + size).alias("_start"), F.get("_exits", F.lit(0)).alias("_entry")
     )
-    schema = f"{key} {peaks.schema[key].dataType.simpleString()}, _start bigint, _entry bigint"
+    kind = peaks.schema[key].dataType.simpleString()
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_start")
+        segment = int(group["_segment"].iloc[0])
+        ends = [_walk(group["_start"], group["_exits"], segment - d if d else None, wait)[-1] for d in range(wait + 1)]
+        return pd.DataFrame({key: group[key].iloc[:1], "_segment": [segment], "_ends": [ends]})
+
+    def entered(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_segment")
+        lasts = [None, *_walk(group["_segment"], group["_ends"], None, wait)[:-1]]
+        gaps = [int(s) - last if last is not None else 0 for s, last in zip(group["_segment"], lasts)]
+        return pd.DataFrame(
+            {key: group[key], "_segment": group["_segment"], "_state": [g if 0 < g <= wait else 0 for g in gaps]}
+        )
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_start")
-        last, handed_on = None, []
-        for start, exit_by_state in zip(group["_start"], group["_exits"]):
-            distance = start - last if last is not None else 0
-            last = int(exit_by_state[distance if 0 < distance <= wait else 0])
-            handed_on.append(last)
-        return pd.DataFrame({key: group[key], "_start": group["_start"] + size, "_entry": handed_on})
-
-    walked = edges.join(open_keys, key, "left_semi").groupBy(key).applyInPandas(walk, schema)
+        state = int(group["_state"].iloc[0])
+        first = int(group["_segment"].iloc[0]) - state if state else None
+        return pd.DataFrame(
+            {key: group[key], "_start": group["_start"] + size, "_entry": _walk(group["_start"], group["_exits"], first, wait)}
+        )
+
+    segment = F.floor(F.col("_start") / F.lit(reach)).cast("bigint") * reach
+    linked = edges.join(open_keys, key, "left_semi").withColumn("_segment", segment)
+    ends = linked.groupBy(key, "_segment").applyInPandas(summed, f"{key} {kind}, _segment bigint, _ends array<bigint>")
+    entries = ends.groupBy(key).applyInPandas(entered, f"{key} {kind}, _segment bigint, _state int")
+    walked = (
+        linked.join(entries, [key, "_segment"])
+        .groupBy(key, "_segment")
+        .applyInPandas(walk, f"{key} {kind}, _start bigint, _entry bigint")
+    )
     entry = settled.unionByName(walked)
     done = blocks.join(entry, [key, "_start"], "left")
     return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait)["kept"], "hop")

@@ -12,6 +12,7 @@ from loomtone.operators.selection import row_progress
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(onset, "SPACING_BLOCK", 8)
+    monkeypatch.setattr(onset, "SEGMENT_BLOCKS", 3)
     for fn in (blocked.with_halo, blocked.last_seen):
         monkeypatch.setattr(fn, "__defaults__", tuple(8 if d == blocked.BLOCK else d for d in fn.__defaults__))
 
@@ -36,6 +37,21 @@ def test_wait(spark, small_blocks, wait):
     assert {tuple(r) for r in onset.onset_wait(df, wait).collect()} == want
 
 
+def test_carries_over_a_sparse_series(spark):
+    """Orders so far apart that each row is a block of its own and a span holds few of them."""
+    rng = random.Random(9)
+    orders = sorted(rng.sample(range(200_000), 1500))
+    values = [rng.randrange(-5, 9) for _ in orders]
+    df = spark.createDataFrame([(1, o, v, v if v > 5 else None) for o, v in zip(orders, values)], "k int, o bigint, v bigint, seen bigint")
+    summed = {r["o"]: r["s"] for r in blocked.running_sum(df, ["k"], "o", "v", "s", 16).collect()}
+    last = {r["o"]: r["l"] for r in blocked.last_seen(df, ["k"], "o", df["seen"], "l", False, 16).collect()}
+    total, seen = 0, None
+    for o, v in zip(orders, values):
+        total += v
+        assert (summed[o], last[o]) == (total, seen)
+        seen = v if v > 5 else seen
+
+
 def test_strength_peaks_and_backtrack(spark, small_blocks):
     data = series(5)
     df = spark.createDataFrame([(s, h, v) for s, hv in data.items() for h, v in hv.items()], "series_id int, hop bigint, v bigint")
