@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from loomtone.operators.blocked import join_unique
 from loomtone.operators.stats import decode_summary
+from loomtone.workspace import scratch_path
 
 
 def write_catalog(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 5_000_000) -> None:
     """Resolved metadata as Parquet partitioned by loop type and category.
 
-    Each task writes into the partitions of its own rows, so a category with most files is written by many tasks.
+    Rows are first rebalanced by those two columns: a small category becomes one file instead of one per task, and a large
+    one is split at runtime and written by many tasks.
     """
     (
-        df.write.mode(mode)
+        df.hint("rebalance", F.col("loop_type"), F.col("category"))
+        .write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("loop_type", "category")
         .parquet(path)
@@ -30,7 +33,10 @@ def split_errors(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export_json(decoded: DataFrame, path: str) -> None:
-    """The batch as three JSON datasets: ``files``, ``errors`` and ``summary``."""
+    """The batch as three JSON datasets: ``files``, ``errors`` and ``summary``; the decoded rows are computed once."""
+    kept = scratch_path(decoded.sparkSession, "decoded")
+    decoded.write.parquet(kept)
+    decoded = decoded.sparkSession.read.parquet(kept)
     good, bad = split_errors(decoded)
     good.write.mode("overwrite").json(f"{path}/files")
     bad.write.mode("overwrite").json(f"{path}/errors")

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomtone.plans.convert import convert_catalog, midi_facts
-from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, name_glob, path_parts
+from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, name_glob, path_parts, read_content
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_files(spark: SparkSession, root: str, extensions: Iterable[str] = LIBRARY_EXTENSIONS) -> DataFrame:
-    """New files below ``root``, each path once."""
+    """Path, time and length of new files below ``root``; the file source itself hands on each path once."""
     arriving = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -23,7 +23,7 @@ def stream_files(spark: SparkSession, root: str, extensions: Iterable[str] = LIB
         .option("pathGlobFilter", name_glob(extensions))
         .load(root)
     )
-    return arriving.dropDuplicates(["path"])
+    return arriving.select("path", "modificationTime", "length")
 
 
 def stream_catalog(
@@ -32,14 +32,15 @@ def stream_catalog(
     """Classify arriving files into a Parquet catalog.
 
     Each micro-batch runs the batch plan and overwrites its own ``batch=`` folder, so a repeated batch after a failure
-    leaves no duplicates.
+    leaves no duplicates. The stream carries names only; the tasks of a batch read the bytes of its MIDI files.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        files = path_parts(batch, "path", root)
-        facts = midi_facts(files.filter(is_midi(F.col("ext"))))
-        rows = convert_catalog(files.drop("content"), facts, root=root, **options).drop("midi")
+        files = path_parts(batch.persist(), "path", root)
+        facts = midi_facts(read_content(files.filter(is_midi(F.col("ext")))))
+        rows = convert_catalog(files, facts, root=root, **options).drop("midi")
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     writer = stream_files(spark, root).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

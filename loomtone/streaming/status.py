@@ -33,10 +33,42 @@ def keep_changes(df: DataFrame, out: str, checkpoint: str, mode: str = "update",
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current(spark: SparkSession, out: str, key: str | None = "file_id") -> DataFrame:
-    """The state a change log stands for: per key the row of its latest batch (without a key, the latest row)."""
-    log = spark.read.parquet(out)
+def _newest(log: DataFrame, key: str | None) -> DataFrame:
+    """Per key the row of its latest batch, with that batch (without a key, the latest row)."""
     columns = [c for c in log.columns if c not in (key, "batch")]
-    newest = F.max_by(F.struct(*columns), F.col("batch")).alias("s")
+    newest = F.max_by(F.struct(*columns, "batch"), F.col("batch")).alias("s")
     rows = log.groupBy(key).agg(newest) if key else log.agg(newest)
     return rows.select(*([key] if key else []), "s.*")
+
+
+def current(spark: SparkSession, out: str, key: str | None = "file_id", snapshot: str | None = None) -> DataFrame:
+    """The state a change log stands for: per key the row of its latest batch (without a key, the latest row).
+
+    With a ``snapshot`` folder written by :func:`compact`, only the batches after its newest snapshot are read.
+    """
+    log = spark.read.parquet(out)
+    if snapshot is None:
+        return _newest(log, key).drop("batch")
+    taken = spark.read.parquet(snapshot)
+    upto = taken.agg(F.max("upto")).first()[0]
+    rows = taken.filter(F.col("upto") == upto).drop("upto").unionByName(log.filter(F.col("batch") > upto))
+    return _newest(rows, key).drop("batch")
+
+
+def compact(
+    spark: SparkSession, out: str, snapshot: str, key: str | None = "file_id", last: str | None = None
+) -> None:
+    """Merge the change log into a new snapshot ``snapshot/upto=<newest batch>``; run it from time to time.
+
+    ``last``: the snapshot folder to start from, left out for the first one. A run that fails leaves the log and earlier
+    snapshots as they are, and a repeated one overwrites itself. Batches up to the snapshot may then be archived.
+    """
+    log = spark.read.parquet(out)
+    upto = log.agg(F.max("batch")).first()[0]
+    rows = log
+    if last is not None:
+        taken = spark.read.parquet(last)
+        before = taken.filter(F.col("upto") < upto).agg(F.max("upto")).first()[0]
+        if before is not None:
+            rows = taken.filter(F.col("upto") == before).drop("upto").unionByName(log.filter(F.col("batch") > before))
+    _newest(rows, key).write.mode("overwrite").parquet(f"{snapshot}/upto={upto}")

@@ -98,6 +98,7 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     ingest.stream_catalog(spark, root, out, state).awaitTermination()
     ingest.stream_catalog(spark, root, out, state).awaitTermination()
     assert sorted(r["tempo"] for r in spark.read.parquet(out).collect()) == [90, 100]
+    assert "content" not in ingest.stream_files(spark, root).columns
 
 
 def test_status_changes_over_batches(spark, tmp_path):
@@ -113,5 +114,16 @@ def test_status_changes_over_batches(spark, tmp_path):
 
     arrive([(1, 1, "queued", "NULL"), (2, 1, "queued", "NULL"), (1, 5, "completed", "NULL")])
     arrive([(1, 3, "converting", "NULL"), (2, 9, "failed", "'no space'")])
-    got = {r["file_id"]: (r["state"], r["error"]) for r in status.current(spark, out).collect()}
-    assert got == {1: ("completed", None), 2: ("failed", "no space")}
+    snapshot = str(tmp_path / "snapshot")
+
+    def held(**where):
+        return {r["file_id"]: (r["state"], r["error"]) for r in status.current(spark, out, **where).collect()}
+
+    assert held() == {1: ("completed", None), 2: ("failed", "no space")}
+    status.compact(spark, out, snapshot)
+    assert held(snapshot=snapshot) == held()
+    arrive([(3, 2, "queued", "NULL"), (2, 12, "queued", "NULL")])
+    assert held(snapshot=snapshot) == held() == {1: ("completed", None), 2: ("queued", None), 3: ("queued", None)}
+    for _ in range(2):
+        status.compact(spark, out, snapshot, last=snapshot)
+        assert held(snapshot=snapshot) == held()
