@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtone.functions.rows import value_rows
+from loomtone.functions.rows import let, struct_rows, value_rows
 from loomtone.operators.blocked import join_unique, last_seen, with_halo
 
 SPACING_BLOCK = 8_192
@@ -84,14 +83,20 @@ def _last_kept(hops, last, wait: int):
     )
 
 
-def _walk(starts, exits, last: int | None, wait: int) -> list[int | None]:
-    """The last kept hop after each edge block in order, when ``last`` was kept before the first."""
-    handed_on = []
-    for start, exit_by_state in zip(starts, exits):
-        distance = int(start) - last if last is not None else 0
-        last = int(exit_by_state[distance if 0 < distance <= wait else 0])
-        handed_on.append(last)
-    return handed_on
+def _handed_on(last, edge, wait: int):
+    """The last kept hop after an edge block that is entered with ``last``."""
+    gap = edge["_start"] - last
+    return F.get(edge["_exits"], F.when(gap.between(1, wait), gap).otherwise(F.lit(0)).cast("int"))
+
+
+def _walk(edges, last, wait: int):
+    """The last kept hop after each of the sorted edges, entered with ``last``."""
+    start = F.struct(last.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
+
+    def step(s, edge):
+        return let(_handed_on(s["last"], edge, wait), lambda h: F.struct(h.alias("last"), F.concat(s["all"], F.array(h)).alias("all")))
+
+    return F.aggregate(edges, start, step)["all"]
 
 
 def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame:
@@ -99,9 +104,8 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
 
     The choice depends on earlier blocks only through a kept hop within ``wait`` of the block's start. So only blocks
     with a peak that near their end hand anything on. Such a block works out its last kept hop for every state it may be
-    entered in; mostly they agree. Only series where they do not are walked, over those few rows: each segment of blocks
-    first for every state it may be entered in, then the segments of a series, then each segment again for the states
-    that really occur. All blocks then finish on their own.
+    entered in, and a segment of blocks does so from its blocks. Then the segments of a series are walked, each segment's
+    blocks are walked from the hop it is entered with, and all blocks finish on their own.
     """
     size = max(SPACING_BLOCK, 4 * (wait + 1))
     reach = size * SEGMENT_BLOCKS
@@ -112,52 +116,35 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
         .agg(F.array_sort(F.collect_list("hop")).alias("_hops"))
     )
     states = F.sequence(F.lit(0), F.lit(wait))
+    entered = lambda d: F.when(d > 0, F.col("_start") - d).cast("bigint")
+    edge = F.struct("_start", F.transform(states, lambda d: _last_kept(F.col("_hops"), entered(d), wait)).alias("_exits"))
     edges = blocks.filter(F.array_max("_hops") + wait >= F.col("_start") + size).select(
-        key,
-        "_start",
-        F.transform(
-            states, lambda d: _last_kept(F.col("_hops"), F.when(d > 0, F.col("_start") - d), wait)
-        ).alias("_exits"),
+        key, (F.floor(F.col("_start") / F.lit(reach)).cast("bigint") * reach).alias("_segment"), edge.alias("_edge")
+    )
+    segments = edges.groupBy(key, F.col("_segment").alias("_start")).agg(F.array_sort(F.collect_list("_edge")).alias("_edges"))
+    ends = F.transform(
+        states, lambda d: F.aggregate("_edges", entered(d), lambda last, e: _handed_on(last, e, wait))
+    )
+    series = (
+        segments.select(key, F.struct("_start", ends.alias("_exits")).alias("_edge"))
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list("_edge")).alias("_edges"))
     )
-    open_keys = edges.filter(F.size(F.array_distinct("_exits")) > 1).select(key).distinct()
-    settled = edges.join(open_keys, key, "left_anti").select(
-        key, (F.col("_start") + size).alias("_start"), F.get("_exits", F.lit(0)).alias("_entry")
+    firsts = let(
+        _walk(F.col("_edges"), F.lit(None), wait),
+        lambda lasts: F.transform(
+            "_edges", lambda e, i: F.struct(e["_start"].alias("_start"), F.get(lasts, i - 1).alias("_first"))
+        ),
     )
-    kind = peaks.schema[key].dataType.simpleString()
-
-    def summed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_start")
-        segment = int(group["_segment"].iloc[0])
-        ends = [_walk(group["_start"], group["_exits"], segment - d if d else None, wait)[-1] for d in range(wait + 1)]
-        return pd.DataFrame({key: group[key].iloc[:1], "_segment": [segment], "_ends": [ends]})
-
-    def entered(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_segment")
-        lasts = [None, *_walk(group["_segment"], group["_ends"], None, wait)[:-1]]
-        gaps = [int(s) - last if last is not None else 0 for s, last in zip(group["_segment"], lasts)]
-        return pd.DataFrame(
-            {key: group[key], "_segment": group["_segment"], "_state": [g if 0 < g <= wait else 0 for g in gaps]}
-        )
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_start")
-        state = int(group["_state"].iloc[0])
-        first = int(group["_segment"].iloc[0]) - state if state else None
-        return pd.DataFrame(
-            {key: group[key], "_start": group["_start"] + size, "_entry": _walk(group["_start"], group["_exits"], first, wait)}
-        )
-
-    segment = F.floor(F.col("_start") / F.lit(reach)).cast("bigint") * reach
-    linked = edges.join(open_keys, key, "left_semi").withColumn("_segment", segment)
-    ends = linked.groupBy(key, "_segment").applyInPandas(summed, f"{key} {kind}, _segment bigint, _ends array<bigint>")
-    entries = ends.groupBy(key).applyInPandas(entered, f"{key} {kind}, _segment bigint, _state int")
-    walked = (
-        linked.join(entries, [key, "_segment"])
-        .groupBy(key, "_segment")
-        .applyInPandas(walk, f"{key} {kind}, _start bigint, _entry bigint")
+    entries = struct_rows(series, [key], firsts, "_start")
+    entry = let(
+        _walk(F.col("_edges"), F.col("_first"), wait),
+        lambda lasts: F.transform(
+            "_edges", lambda e, i: F.struct((e["_start"] + size).alias("_start"), F.get(lasts, i).alias("_entry"))
+        ),
     )
-    entry = settled.unionByName(walked)
-    done = blocks.join(entry, [key, "_start"], "left")
+    handed = struct_rows(segments.join(entries, [key, "_start"]), [key], entry, "_start")
+    done = blocks.join(handed, [key, "_start"], "left")
     return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait)["kept"], "hop")
 
 
