@@ -1,41 +1,47 @@
 """A hierarchical Pitman-Yor language model of reports, seated by Gibbs sampling.
 
-The root restaurant serves words, over a uniform base of all words and one unknown. Each of the ``CONTEXTS`` most frequent words has a restaurant of
-its own for the words that follow it; all share the root as parent, and after any other word the root speaks. Customers are the training tokens. A table in a
-context restaurant is a customer of the root.
+The root restaurant serves words, over a uniform base of all words and one unknown. Every word of the training part, and the start of a text, has a restaurant
+of its own for the words that follow it; all share the root as parent, and after a word that training never saw the root speaks. Customers of a context
+restaurant are the training tokens. Its tables are the customers of the root.
 
 Seating is kept per dish (a word in a restaurant): its customers and its tables. A Gibbs step takes all customers of a dish away and seats them again, one
 after the other, given everybody else: a new table with weight (strength + discount x tables) x parent probability, an old one with
-(customers - discount x tables). The sum of weights along the way corrects the proposal (a Metropolis step), so the dish's conditional distribution is kept. Dishes
-with many customers are seated in blocks of at most 1/64 of those already there, at the weights of the block's start. Dishes of a sweep are updated side by side from the
-tables' totals of the sweep before. The probability of a word is averaged over the last ``SAMPLES`` sweeps.
-
-Work is dealt by word. The most frequent words (``FREQUENT``, a bounded table) are counted by context with partial sums and scored where the text is read. Every
-other word's training counts, by context, meet in one task, which seats its dishes; its occurrences are joined with their word's row of counts and
-tables. Counts cover the whole training part, whatever its size. Within a task words are told apart by 64-bit codes.
+(customers - discount x tables). The sum of weights along the way corrects the proposal (a Metropolis step). Dishes with many customers are seated in blocks of at
+most 1/64 of those already there, at the weights of the block's start. A sweep is a Spark step: it seats the dishes of all contexts side by side, given the root and the
+restaurants' totals of the sweep before, then sums their tables by word into the root's customers and by context into totals, and seats the root.
+All three are written to the shared folder for the next sweep. Two simplifications: dishes of one sweep do not see each other, and a seating keeps
+the weight it had in its own sweep. The root's dishes change customers with each sweep, so they are seated anew and corrected by one step.
+The probability of a word is averaged over the last ``SAMPLES`` sweeps.
+
+Words are told apart by 64-bit codes. (context, word) pairs of all texts are counted in Spark, whatever their number, and each occurrence is joined to its
+pair's row. A dish of one customer has one table, so sweeps carry the other dishes only, dealt by context and word. Frequent words and contexts, which would
+be hot keys, are joined by broadcast (``FREQUENT``, ``CONTEXTS``), all others by a shuffle: these bounds change the way of a row, never its result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, word_hash, words
 from loomtone.llm.shared import fold, keep
 
+#: Words, and contexts, whose rows are broadcast at most.
 FREQUENT = 131_072
-CONTEXTS = 64
-#: Unlisted words of one task.
+CONTEXTS = 131_072
+#: Dishes that one task seats, about.
 BUCKET_WORDS = 100_000
 DISCOUNT = 0.75
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 3
 _SEED = 11
+#: Codes of what stands before the first and after the last word.
+_START, _END = 1, 2
 
 
 def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -76,273 +82,125 @@ def _tokens(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return (text, *words(text, at, BLANK_WORDS))
 
 
-@dataclass
-class Vocabulary:
-    """The frequent words by code, with the place of each in the list; the first ones are contexts."""
-
-    code: np.ndarray
-    place: np.ndarray
-
-    @classmethod
-    def of(cls, listed: list[str]) -> Vocabulary:
-        held = [w.encode() for w in listed]
-        text = np.frombuffer(b"\n".join(held), np.uint8)
-        start, end, _ = words(text, np.array([0, len(text)]), BLANK_WORDS)
-        code = word_hash(text, start, end)
-        order = np.argsort(code, kind="stable")
-        return cls(code[order], order)
-
-    def find(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of each word in the list, by its code; -1 where it is not listed."""
-        if not len(self.code) or not len(start):
-            return np.full(len(start), -1, np.int64)
-        code = word_hash(text, start, end)
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where(self.code[at] == code, self.place[at], -1)
+def _steps(batch: pa.RecordBatch):
+    """Of each block of texts: context code, word code and text number of every token, the ends included."""
+    for first, stop, text, at in blocks(batch.column(0)):
+        text, start, end, owner = _tokens(text, at)
+        own = np.arange(stop - first)
+        code = word_hash(text, start, end).view(np.int64)
+        who = np.concatenate([owner, own])
+        order = np.argsort(who, kind="stable")  # each text's end after its words
+        who, word = who[order], np.concatenate([code, np.full(len(own), _END)])[order]
+        context = np.empty_like(word)
+        context[0], context[1:] = _START, np.where(who[1:] == who[:-1], word[:-1], _START)
+        yield context, word, first + who
 
 
-def _combined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """First place and summed count of each distinct code of ``(code, count)`` parts laid end to end."""
-    code, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    _, first, at = np.unique(code, return_index=True, return_inverse=True)
-    return first, np.bincount(at, count, minlength=len(first)).astype(np.int64)
-
-
-def _word_counts(batches):
-    """Training counts of each word, combined within a batch of reports."""
+def _pair_counts(batches):
+    """Training counts of the (context, word) pairs of all texts, 0 for those of other texts alone, combined within a batch."""
     for batch in batches:
-        parts, held = [], []
-        for _, _, text, at in blocks(batch.column(0)):
-            text, start, end, _ = _tokens(text, at)
-            code, first, count = np.unique(word_hash(text, start, end), return_index=True, return_counts=True)
-            whole = text.tobytes()
-            parts.append((code, count))
-            held += [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-        if held:
-            first, count = _combined(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([held[k].decode() for k in first.tolist()]), pa.array(count)], names=["word", "n"])
-
-
-def _places(vocabulary, contexts: int):
-    """Of each block: text number, place of each listed word, its context (-1 for none), and the rest."""
-
-    def run(column):
-        for first, stop, text, at in blocks(column):
-            text, start, end, owner = _tokens(text, at)
-            place = vocabulary.find(text, start, end)
-            before = np.full(len(place), -1, np.int64)
-            if len(place):
-                before[1:] = np.where(owner[1:] == owner[:-1], place[:-1], -1)
-            tail = np.full(stop - first, -1, np.int64)  # the context of each text's end
-            if len(place):
-                last = np.searchsorted(owner, np.arange(stop - first), "right") - 1
-                own = (last >= 0) & (owner[np.maximum(last, 0)] == np.arange(stop - first))
-                tail[own] = place[last[own]]
-            clip = lambda c: np.where(c < contexts, c, -1)
-            yield first, stop, text, start, end, owner, place, clip(before), clip(tail)
-
-    return run
-
-
-def _pair_counts(vocabulary, contexts: int):
-    """Counts of (context, listed word) in training texts; the end of a text is the word after the list."""
-
-    def run(batches):
-        total: dict[int, int] = {}
-        size = len(vocabulary.value.code) + 1
-        for batch in batches:
-            for _, _, _, _, _, _, place, before, tail in _places(vocabulary.value, contexts)(batch.column(0)):
-                pair = np.concatenate([(before * size + place)[(before >= 0) & (place >= 0)], (tail * size + size - 1)[tail >= 0]])
-                for k, n in zip(*(x.tolist() for x in np.unique(pair, return_counts=True))):
-                    total[k] = total.get(k, 0) + n
-        if total:
-            key = np.fromiter(total, np.int64, len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(key // size), pa.array(key % size), pa.array(list(total.values()), pa.int64())],
-                                             names=["context", "place", "n"])
-
-    return run
+        parts = list(_steps(batch))
+        if not parts:
+            continue
+        context, word, who = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[who]
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(context[new]), pa.array(word[new]), pa.array(np.add.reduceat(train[order], new))], names=["u", "w", "n"])
+
+
+def _occurrences(batches):
+    """Every token: context, word and report."""
+    for batch in batches:
+        for context, word, who in _steps(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(word), batch.column(1).take(pa.array(who))], names=["u", "w", "row"])
 
 
-def _rare_counts(vocabulary, contexts: int):
-    """Training counts of unlisted words by context, combined within a batch of reports."""
+def _seat_dishes(sweep: int):
+    """One Gibbs step for each context dish, in the order in which the rows come."""
 
     def run(batches):
+        rng = np.random.default_rng([_SEED, sweep, 0, TaskContext.get().partitionId()])
         for batch in batches:
-            parts, held, near = [], [], []
-            for _, _, text, start, end, _, place, before, _ in _places(vocabulary.value, contexts)(batch.column(0)):
-                at = np.flatnonzero(place < 0)
-                code = word_hash(text, start[at], end[at]) + (before[at] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                code, first, count = np.unique(code, return_index=True, return_counts=True)
-                whole, at = text.tobytes(), at[first]
-                parts.append((code, count))
-                near.append(before[at])
-                held += [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-            if held:
-                first, count = _combined(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([held[k].decode() for k in first.tolist()]), pa.array(np.concatenate(near)[first].astype(np.int32)), pa.array(count)],
-                    names=["word", "context", "n"])
+            n, tables, weight, parent, total = (batch.column(k).to_numpy() for k in range(2, 7))
+            tables, weight = gibbs(n, tables, weight, parent, total, rng)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tables), pa.array(weight), batch.column(7)], names=["u", "w", "n", "t", "weight", "kept"])
 
     return run
 
 
-def _rare_tokens(vocabulary, contexts: int):
-    """Occurrences of unlisted words: word, context and report."""
+def _seat_root(sweep: int, uniform: float, total: float):
+    """The root's dishes seated for their customers of this sweep, given ``total`` tables of the sweep before."""
 
     def run(batches):
+        rng = np.random.default_rng([_SEED, sweep, 1, TaskContext.get().partitionId()])
         for batch in batches:
-            for first, _, text, start, end, owner, place, before, _ in _places(vocabulary.value, contexts)(batch.column(0)):
-                at = np.flatnonzero(place < 0)
-                if len(at):
-                    whole = text.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([whole[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]), pa.array(before[at].astype(np.int32)),
-                         batch.column(1).take(pa.array(first + owner[at]))], names=["word", "context", "row"])
+            customers, before = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            flat, whole = np.full(len(customers), uniform), np.full(len(customers), total)
+            tables, weight = seat(customers, flat, np.maximum(whole - before, 0), rng)
+            tables, _ = gibbs(customers, tables, weight, flat, whole, rng)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tables)], names=["w", "customers", "t"])
 
     return run
 
 
-@dataclass
-class Model:
-    """What scoring shares: token counts, and per sweep the tables of the root, of the restaurants and of the listed dishes."""
-
-    tokens: int
-    kinds: int
-    context_customers: np.ndarray
-    listed: np.ndarray  # training count of each listed word, the end last
-    pair: np.ndarray  # context x (listed + end) codes, sorted
-    pair_count: np.ndarray
-    root_tables: list  # per sweep: of the root, whole
-    context_tables: list  # per sweep: by context
-    listed_tables: list  # per sweep: of the root's listed dishes
-    pair_tables: list  # per sweep: of the pairs
-
-    @property
-    def uniform(self) -> float:
-        return 1 / (self.kinds + 1)
-
-    def listed_log(self, place: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10 probabilities of listed words after contexts (-1 for none)."""
-        size = len(self.listed)
-        code = context * size + place
-        at = np.minimum(np.searchsorted(self.pair, code), max(0, len(self.pair) - 1))
-        known = (self.pair[at] == code) & (context >= 0) if len(self.pair) else np.zeros(len(place), bool)
-        total = np.zeros(len(place))
-        for k in range(len(self.root_tables)):
-            root = predict(self.listed[place], self.listed_tables[k][place], self.tokens, self.root_tables[k], self.uniform)
-            if len(self.context_customers):
-                count = np.where(known, self.pair_count[at], 0) if len(self.pair) else 0
-                tables = np.where(known, self.pair_tables[k][at], 0) if len(self.pair) else 0
-                near = predict(count, tables, self.context_customers[context], self.context_tables[k][context], root)
-                root = np.where(context >= 0, near, root)
-            total += root
-        return np.log10(total / len(self.root_tables))
-
-
-_DISH = "struct<context:int,n:bigint,tables:array<bigint>>"
-_SEATED = f"word string, n bigint, tables array<bigint>, dishes array<{_DISH}>"
-_LONGS = pa.list_(pa.int64())
-_DISHES = pa.list_(pa.struct([("context", pa.int32()), ("n", pa.int64()), ("tables", _LONGS)]))
-
-
-def _lists(values: np.ndarray) -> pa.Array:
-    """The rows of a matrix as lists."""
-    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
-
-
-def _seat_rare(shared):
-    """One row per unlisted word: its customers and tables at the root, and in each context restaurant where it has customers, for the kept sweeps."""
-
-    def run(table: pa.Table) -> pa.Table:
-        uniform, tokens, root_total, context_total, seed = shared.value
-        held = table.column("word").combine_chunks().dictionary_encode()
-        held = held if isinstance(held, pa.DictionaryArray) else held.combine_chunks()
-        names = held.dictionary
-        order = pc.sort_indices(names).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        word, context, n = rank[held.indices.to_numpy()], table.column("context").to_numpy().astype(np.int64), table.column("n").to_numpy()
-        customers = np.bincount(word, n, minlength=len(order)).astype(np.int64)
-        some = np.flatnonzero(context >= 0)
-        some = some[np.lexsort((context[some], word[some]))]
-        dish_word, dish_context, dish_n = word[some], context[some], n[some]
-        rng = np.random.default_rng([_SEED, seed, int(table.column("bucket")[0].as_py())])
-        flat, whole = np.full(len(customers), uniform), np.full(len(customers), root_total)
-        tables, weight = seat(customers, flat, whole, rng)
-        near, near_weight = None, None
-        kept, near_kept = [], []
-        for k in range(BURN_IN + SAMPLES):
-            parent = predict(customers, tables, tokens, root_total, uniform)[dish_word]
-            if near is None:
-                near, near_weight = seat(dish_n, parent, context_total[dish_context], rng)
-            else:
-                near, near_weight = gibbs(dish_n, near, near_weight, parent, context_total[dish_context], rng)
-                tables, weight = gibbs(customers, tables, weight, flat, whole, rng)
-            if k >= BURN_IN:
-                kept.append(tables)
-                near_kept.append(near)
-        bound = np.searchsorted(dish_word, np.arange(len(order) + 1)).astype(np.int32)
-        dishes = pa.StructArray.from_arrays(
-            [pa.array(dish_context.astype(np.int32)), pa.array(dish_n), _lists(np.stack(near_kept, 1))], names=["context", "n", "tables"])
-        return pa.table({"word": names.take(pa.array(order)), "n": customers, "tables": _lists(np.stack(kept, 1)),
-                         "dishes": pa.ListArray.from_arrays(pa.array(bound), dishes)})
+def _predictive(n: Column, t: Column, all_customers, all_tables, parent) -> Column:
+    """``predict`` as an expression."""
+    return (F.greatest(n - DISCOUNT * t, F.lit(0.0)) + (STRENGTH + DISCOUNT * all_tables) * parent) / (STRENGTH + all_customers)
 
-    return run
 
+def _marked(table: DataFrame, most: int) -> DataFrame:
+    """``table`` with ``hot``: at most ``most`` rows of the greatest ``n``, no ties cut."""
+    edge = table.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.count("*"), F.min("n")).first()
+    return table.withColumn("hot", F.col("n") > F.lit(edge[1] if edge[0] > most else -1))
 
-def _rare_scores(model):
-    """What unlisted words add to their reports, summed within a batch."""
 
-    def run(batches):
-        m: Model = model.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            context = batch.column(1).to_numpy().astype(np.int64)
-            count, near_count = (batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (2, 3))
-            total = np.zeros(len(batch))
-            for k in range(SAMPLES):
-                tables, near_tables = (batch.column(4 + 2 * k + j).fill_null(0).to_numpy(zero_copy_only=False) for j in (0, 1))
-                p = predict(count, tables, m.tokens, m.root_tables[k], m.uniform)
-                if len(m.context_customers):
-                    p = np.where(context >= 0, predict(near_count, near_tables, m.context_customers[context], m.context_tables[k][context], p), p)
-                total += p
-            row, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            sums = [np.bincount(at, x, minlength=len(row)) for x in (
-                (count > 0).astype(float), np.log10((count + 1) / (m.tokens + m.kinds + 1)), np.log10(total / SAMPLES))]
-            none = np.zeros(len(row), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(none), pa.array(none), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                names=["row", "copies", "n_tokens", "n_known", "base_score", "score"])
+def _attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The inner join with a table of one row per key, the hot keys by broadcast and the others by a shuffle."""
+    hot = F.broadcast(table.where("hot").drop("hot"))
+    near = rows.join(hot, key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where("not hot").drop("hot"), key)
+    return near.unionByName(far)
 
-    return run
 
+def _sweeps(dishes: DataFrame, words_: DataFrame, contexts: DataFrame, buckets: int, uniform: float, singles: int,
+            kept: Callable[[int], bool]) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, int]]]:
+    """Seat ``dishes(u, w, n)``, all of more than one customer, and the root's; ``singles`` words have one customer at the root.
 
-def _listed_scores(vocabulary, model, contexts: int):
-    """Of each report: tokens, and what its listed words and its end add."""
-
-    def run(batches):
-        for batch in batches:
-            n = len(batch)
-            tokens, known, score, base = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            m: Model = model.value
-            plain = np.log10((m.listed + 1) / (m.tokens + m.kinds + 1))
-            for first, stop, _, start, _, owner, place, before, tail in _places(vocabulary.value, contexts)(batch.column(0)):
-                own = place >= 0
-                who = np.concatenate([owner[own], np.arange(stop - first)])
-                at = np.concatenate([place[own], np.full(stop - first, len(m.listed) - 1)])
-                context = np.concatenate([before[own], tail])
-                size = stop - first
-                tokens[first:stop] += np.bincount(owner, minlength=size)
-                known[first:stop] = np.bincount(who, m.listed[at] > 0, minlength=size).astype(np.int64)
-                score[first:stop] = np.bincount(who, m.listed_log(at, context), minlength=size)
-                base[first:stop] = np.bincount(who, plain[at], minlength=size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(np.ones(n, np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)],
-                names=["row", "copies", "n_tokens", "n_known", "base_score", "score"])
-
-    return run
+    ``words_`` and ``contexts`` hold, by word and by context, ``s``: the dishes of one customer. Gives all three with ``kept``, their tables (of words:
+    customers and tables) in the kept sweeps, and the root's customers and tables in each of these.
+    """
+    none = "cast(array() as array<bigint>)"
+    dishes = keep(dishes.selectExpr("u", "w", "n", "1L t", "cast('-Infinity' as double) weight", f"{none} kept"), "lm-dishes")
+    words_ = words_.selectExpr("w", "s", "hot", "0L customers", "0L t", f"{none} kept")
+    contexts = contexts.selectExpr("u", "s", "hot", "0L t", f"{none} kept")
+    root_tables, totals = float(singles), []
+    for k in range(BURN_IN + SAMPLES + 1):
+        # what is kept is a whole state: the dishes, and root and totals summed from them
+        ours = kept(k)
+        by_word = words_.join(dishes.groupBy("w").agg(F.sum("t").alias("far")), "w", "left").withColumn("now", F.col("s") + F.coalesce("far", F.lit(0)))
+        if k == 0:
+            root_tables = float(singles + words_.count())
+        seated = by_word.select("w", F.col("now").alias("customers"), F.col("t").alias("before")).repartition(
+            buckets, "w").sortWithinPartitions("w").mapInArrow(_seat_root(k, uniform, root_tables), "w bigint, customers bigint, t bigint")
+        words_ = keep(words_.drop("customers", "t").join(seated, "w").withColumn(
+            "kept", F.concat("kept", F.array("customers", "t")) if ours else F.col("kept")), "lm-words")
+        customers, root = (int(x or 0) + singles for x in words_.agg(F.sum("customers"), F.sum("t")).first())
+        root_tables = float(root)
+        by_context = contexts.drop("t").join(dishes.groupBy("u").agg(F.sum("t").alias("far")), "u", "left").withColumn(
+            "t", F.col("s") + F.coalesce("far", F.lit(0))).drop("far")
+        contexts = keep(by_context.withColumn("kept", F.concat("kept", F.array("t")) if ours else F.col("kept")), "lm-contexts")
+        if ours:
+            totals.append((customers, root))
+            dishes = dishes.withColumn("kept", F.concat("kept", F.array("t")))
+        if k == BURN_IN + SAMPLES:
+            break
+        parent = words_.select("w", "hot", _predictive(F.col("customers"), F.col("t"), customers, root, uniform).alias("parent"))
+        given = _attach(_attach(dishes, parent, "w"), contexts.select("u", "hot", F.col("t").cast("double").alias("total")), "u")
+        dishes = keep(given.select("u", "w", "n", "t", "weight", "parent", "total", "kept").repartition(buckets, "u", "w").sortWithinPartitions("u", "w").mapInArrow(
+            _seat_dishes(k), "u bigint, w bigint, n bigint, t bigint, weight double, kept array<bigint>"), "lm-dishes")
+    return dishes, words_, contexts, totals
 
 
 def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str = "report", frequent: int = FREQUENT, contexts: int = CONTEXTS,
@@ -354,71 +212,40 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
     log10 probability of the text. A null or empty text is the end alone. Rows that repeat are reports of their own; a null id counts as the empty
     text in its fold. Without training reports nothing is known and every token has probability 1. Further columns are not looked at.
     """
-    spark = loops.sparkSession
     rows = loops.select(id_column, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_lt_text"))
     rows = rows.withColumns({"_lt_train": fold(id_column, 7) != 2, "_lt_row": F.xxhash64(F.col(id_column).cast("string"), "_lt_text")})
-    texts, training = rows.select("_lt_text", "_lt_row"), rows.where("_lt_train").select("_lt_text")
-    counts = training.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = keep(counts, "word-counts")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = training.count()
-    unlisted = max(0, kinds - frequent)
-    tokens, kinds = tokens + ends, kinds + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.of(top["word"].to_pylist()))
-    contexts = min(contexts, len(top))
-    listed = np.append(top["n"].to_numpy(), ends).astype(np.int64)
-    # at most contexts x (frequent + 1) pairs
-    pairs = training.mapInArrow(_pair_counts(vocabulary, contexts), "context bigint, place bigint, n bigint").groupBy(
-        "context", "place").agg(F.sum("n").alias("n")).toArrow()
-    code = pairs["context"].to_numpy() * len(listed) + pairs["place"].to_numpy()
-    order = np.argsort(code, kind="stable")
-    pair, pair_count = code[order], pairs["n"].to_numpy()[order]
-    pair_context, pair_place = pair // len(listed), pair % len(listed)
-    # a task seats its dishes against these totals of the others: tables grow about as customers ** discount
-    customers, uniform = listed[:contexts], 1 / (kinds + 1)
-    root_total, context_total = float(kinds), np.maximum(1.0, customers.astype(np.float64) ** DISCOUNT)
-    shared = spark.sparkContext.broadcast((uniform, float(tokens), root_total, context_total, 1))
-    buckets = max(1, -(-unlisted // bucket_words))
-    rare = training.mapInArrow(_rare_counts(vocabulary, contexts), "word string, context int, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    rare = rare.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets))).groupBy("bucket").applyInArrow(_seat_rare(shared), _SEATED)
-    rare = keep(rare, "seated-words")
-    per_sweep = [F.sum(F.col("tables")[k]) for k in range(SAMPLES)]
-    root_rare = [x or 0 for x in rare.agg(*per_sweep).first()]
-    near_rare = rare.select(F.explode("dishes").alias("d")).select("d.*").groupBy("context").agg(*per_sweep).collect()
-    rng = np.random.default_rng([_SEED, 0])
-    live, flat = listed > 0, np.full(len(listed), uniform)
-    tables, weight = seat(listed, flat, np.full(len(listed), root_total), rng)
-    near = near_weight = None
-    sweeps: list[tuple] = []
-    for k in range(BURN_IN + SAMPLES):
-        parent = predict(listed, np.where(live, tables, 0), tokens, root_total, uniform)[pair_place]
-        if near is None:
-            near, near_weight = seat(pair_count, parent, context_total[pair_context], rng)
-        else:
-            near, near_weight = gibbs(pair_count, near, near_weight, parent, context_total[pair_context], rng)
-            tables, weight = gibbs(listed, tables, weight, flat, np.full(len(listed), root_total), rng)
-        if k >= BURN_IN:
-            s = k - BURN_IN
-            held = np.where(live, tables, 0)
-            by = np.bincount(pair_context, near, minlength=contexts)[:contexts].astype(np.float64)
-            for r in near_rare:
-                by[r[0]] += r[1 + s]
-            sweeps.append((float(held.sum() + root_rare[s]), by, held.astype(np.int32), near.astype(np.int32)))
-    model = spark.sparkContext.broadcast(Model(
-        int(tokens), int(kinds), customers, listed, pair, pair_count, *([s[j] for s in sweeps] for j in range(4))))
-    fields = "row bigint, copies bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    near_part = texts.mapInArrow(_listed_scores(vocabulary, model, contexts), fields)
-    tokens_seen = texts.mapInArrow(_rare_tokens(vocabulary, contexts), "word string, context int, row bigint").join(rare, "word", "left")
-    dish = F.get(F.filter("dishes", lambda d: d["context"] == F.col("context")), 0)
-    tokens_seen = tokens_seen.withColumn("dish", dish).select(
-        "row", "context", "n", F.col("dish.n").alias("near"),
-        *(c for k in range(SAMPLES) for c in (F.col("tables")[k].alias(f"t{k}"), F.col("dish.tables")[k].alias(f"d{k}"))))
-    far_part = tokens_seen.mapInArrow(_rare_scores(model), fields)
+    pairs = rows.select("_lt_text", "_lt_train").mapInArrow(_pair_counts, "u bigint, w bigint, n bigint")
+    pairs = keep(pairs.groupBy("u", "w").agg(F.sum("n").alias("n")), "lm-pairs")
+    sums = [F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("s")]
+    by_word = _marked(keep(pairs.groupBy("w").agg(*sums), "lm-word-counts"), frequent)
+    by_context = _marked(keep(pairs.groupBy("u").agg(*sums), "lm-context-counts"), contexts)
+    tokens, kinds, singles = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
+    uniform = 1 / (kinds + 1)
+    several = pairs.where("n > 1")
+    buckets = max(1, -(-several.count() // bucket_words))
+    dishes, seated, served, totals = _sweeps(several, by_word.where("n > 1"), by_context.where("n > 0"), buckets, uniform, singles, lambda k: k > BURN_IN)
+    # what a word adds wherever it stands, and its probability at the root in each kept sweep
+    at = F.col("kept")
+    single = F.when(F.col("n") > 0, 1).otherwise(0)
+    root = [_predictive(F.coalesce(F.get(at, 2 * k), single), F.coalesce(F.get(at, 2 * k + 1), single), c, t, uniform) for k, (c, t) in enumerate(totals)]
+    word_rows = by_word.join(seated.select("w", "kept"), "w", "left").select(
+        "w", "hot", F.log10((F.col("n") + 1) / (tokens + kinds + 1)).alias("base"), (F.col("n") > 0).cast("int").alias("known"),
+        *(p.alias(f"p{k}") for k, p in enumerate(root)))
+    context_rows = by_context.join(served.select("u", "kept"), "u", "left").select(
+        "u", "hot", F.col("n").alias("c"), *(F.coalesce(F.get(at, k), F.lit(0)).alias(f"c{k}") for k in range(SAMPLES)))
+    # a pair of one customer has one table in every sweep, one of none has no table
+    held = pairs.where("n <= 1").select("u", "w", "n", *(F.col("n").alias(f"t{k}") for k in range(SAMPLES))).unionByName(
+        dishes.select("u", "w", "n", *(F.get(at, k).alias(f"t{k}") for k in range(SAMPLES))))
+    near = [_predictive(F.col("n"), F.col(f"t{k}"), F.col("c"), F.col(f"c{k}"), F.col(f"p{k}")) for k in range(SAMPLES)]
+    whole = _attach(_attach(held, word_rows, "w"), context_rows, "u").select(
+        F.xxhash64("u", "w").alias("pair"), "base", "known", (F.col("w") == _END).cast("int").alias("ends"),
+        F.log10(sum(near[1:], near[0]) / SAMPLES).alias("gain"))
+    whole = keep(whole, "lm-scored-pairs")
+    seen = rows.select("_lt_text", "_lt_row").mapInArrow(_occurrences, "u bigint, w bigint, row bigint").select(F.xxhash64("u", "w").alias("pair"), "row")
     # reports that agree in id and text share a row key: what they add together is dealt out evenly
-    added = near_part.union(far_part).groupBy(F.col("row").alias("_lt_row")).agg(
-        F.sum("copies").alias("copies"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    whole = [(F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")]
+    added = seen.join(whole, "pair").groupBy(F.col("row").alias("_lt_row")).agg(
+        F.sum("ends").alias("copies"), F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("score"))
+    counts = [(F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")]
     return rows.select(id_column, "_lt_row", "_lt_train").join(added, "_lt_row").select(
-        id_column, (~F.col("_lt_train")).alias("held_out"), *whole, F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
+        id_column, (~F.col("_lt_train")).alias("held_out"), *counts, F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
         (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))

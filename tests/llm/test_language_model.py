@@ -77,3 +77,24 @@ def test_edge_rows(spark):
     held = [k for k in range(50) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
     unknown = lm.score_reports(spark.createDataFrame([(k, "a b") for k in held], "file_id bigint, report string")).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 and r.base_score == 0 for r in unknown)
+
+
+def test_every_context_has_a_restaurant(spark):
+    # 200 contexts, each with a word of its own: after any of them that word is nearly certain, the others are not
+    texts = [f"a{k} b{k}" for k in range(200)]
+    learnt = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][:2000]
+    held = [i for i in range(4000, 8000) if zlib.crc32(str(i).encode()) % 7 == 2][:400]
+    rows = [(i, texts[j % 200]) for j, i in enumerate(learnt)]
+    rows += [(i, texts[j] if j < 200 else f"a{j - 200} b{(j - 199) % 200}") for j, i in enumerate(held)]
+    got = {r.file_id: r.score for r in lm.score_reports(spark.createDataFrame(rows, "file_id bigint, report string")).collect()}
+    assert min(got[i] for i in held[:200]) > max(got[i] for i in held[200:]) + 1
+
+
+def test_the_root_counts_tables(spark):
+    # "x" is frequent after one word only, "y" comes once after each of many: after an unknown word "y" is likelier
+    learnt = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, "one x" if j < 400 else f"c{j} y") for j, i in enumerate(learnt[:500])] + [(held[0], "new x"), (held[1], "new y")]
+    for settings in ({}, {"frequent": 3, "contexts": 3, "bucket_words": 2}):
+        got = {r.file_id: r.score for r in lm.score_reports(spark.createDataFrame(rows, "file_id bigint, report string"), **settings).collect()}
+        assert got[held[1]] > got[held[0]]
