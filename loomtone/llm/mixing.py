@@ -6,7 +6,7 @@ deadline. So after any number of slots a folder has had its weight's share of th
 a folder has no block left, the others go on by their weights from there: no file is dropped or repeated.
 
 Rows are numbered within their folder by one range sort of hashes, so a folder of any size is spread over tasks. The plan is made of block numbers
-only, ``MOST_BLOCKS`` at most: blocks grow with the library.
+only, ``MOST_BLOCKS`` at most and one per folder: blocks grow with the library. Every folder keeps its weight, whatever their number.
 """
 
 from __future__ import annotations
@@ -17,64 +17,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtone.llm.shared import keep
+from loomtone.workspace import broadcast_if_small
 
 BLOCK_ROWS = 64
 #: Blocks of full size at most; each folder may add one that is not full.
 MOST_BLOCKS = 200_000
-#: Folders with a weight of their own at most; all others are mixed as one.
-MOST_FOLDERS = 10_000
 _LOW = (1 << 33) - 1
 
 
 def pfair(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int]]:
-    """The folder and block of each slot, by earliest deadline among released blocks; phases end as a folder runs out."""
-    left, done, plan = dict(blocks), dict.fromkeys(blocks, 0), []
-    while left := {k: n for k, n in left.items() if n > 0}:
-        total = sum(weights[k] for k in left)
-        waiting = [(0, -(-total // weights[k]), k, 1) for k in left]
-        heapq.heapify(waiting)
+    """The folder and block of each slot, by earliest deadline among released blocks; phases end as a folder runs out.
+
+    Folders without a slot in the phase wait by weight, so that a phase costs its slots and not all folders.
+    """
+    left, done, plan = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), []
+    total = sum(weights[k] for k in left)
+    fresh: dict[int, list[str]] = {}
+    for k in sorted(left):
+        fresh.setdefault(weights[k], []).append(k)
+    alive = {w: len(held) for w, held in fresh.items()}
+    classes = sorted(fresh, reverse=True)  # first deadlines ascend
+    while left:
+        front: list[tuple[int, str, int]] = []  # the next folder of a weight without a slot yet
+        waiting: list[tuple[int, int, str, int]] = []
         ready: list[tuple[int, str, int]] = []
-        slot = 0
-        while all(left.values()):
+        had, at, slot = [], 0, 0
+        while True:
             while waiting and waiting[0][0] <= slot:
-                _, deadline, k, i = heapq.heappop(waiting)
-                heapq.heappush(ready, (deadline, k, i))
-            _, k, i = heapq.heappop(ready)
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            while at < len(classes) and (not front or -(-total // classes[at]) <= front[0][0]):
+                w = classes[at]
+                if fresh[w]:
+                    heapq.heappush(front, (-(-total // w), fresh[w][0], w))
+                at += 1
+            if front and (not ready or front[0][:2] < ready[0][:2]):
+                deadline, k, w = heapq.heappop(front)
+                heapq.heappop(fresh[w])
+                if fresh[w]:
+                    heapq.heappush(front, (deadline, fresh[w][0], w))
+                had.append(k)
+                i = 1
+            else:
+                _, k, i = heapq.heappop(ready)
+                w = weights[k]
             plan.append((k, done[k]))
             done[k] += 1
             left[k] -= 1
-            heapq.heappush(waiting, (i * total // weights[k], -(-(i + 1) * total // weights[k]), k, i + 1))
-            slot += 1
             if not left[k]:
                 break
+            heapq.heappush(waiting, (i * total // w, -(-(i + 1) * total // w), k, i + 1))
+            slot += 1
+        del left[k]
+        total -= w
+        alive[w] -= 1
+        if not alive[w]:
+            classes.remove(w)
+        for k in had:
+            if k in left:
+                heapq.heappush(fresh[weights[k]], k)
     return plan
 
 
 def damped_weights(loops: DataFrame, folder_column: str = "folder") -> DataFrame:
-    """``(folder, weight bigint)``: target weights that grow with the square root of a folder's rows, at most ``MOST_FOLDERS`` of the largest."""
-    sized = loops.where(F.col(folder_column).isNotNull()).groupBy(F.col(folder_column).cast("string").alias("folder")).agg(F.count("*").alias("n"))
-    return sized.orderBy(F.desc("n"), "folder").limit(MOST_FOLDERS).select(
-        "folder", F.greatest(F.lit(1), F.round(F.sqrt("n"))).cast("bigint").alias("weight"))
+    """``(folder, weight bigint, unnamed)``: target weights that grow with the square root of a folder's rows; rows of no folder are one of their own, ``unnamed``."""
+    sized = loops.groupBy(F.col(folder_column).cast("string").alias("folder")).agg(F.count("*").alias("n"))
+    return sized.select("folder", F.greatest(F.lit(1), F.round(F.sqrt("n"))).cast("bigint").alias("weight"), F.col("folder").isNull().alias("unnamed"))
 
 
 def mix(loops: DataFrame, weights: DataFrame, id_column: str = "file_id", folder_column: str = "folder", rest_weight: int = 1,
         block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``loops`` with three more columns: ``block`` (of the folder), ``slot`` (of the block in the mix) and ``place`` (in the block), from 0 on.
 
-    ``weights(folder, weight)`` holds positive whole numbers, one row per folder, at most ``MOST_FOLDERS``; a repeated folder counts with its
-    greatest weight, weights that are null or not positive are left out. Rows of other folders, or of none, are mixed as one folder of ``rest_weight``. Rows
+    ``weights(folder, weight)`` holds positive whole numbers, one row per folder, as many as there are; a repeated folder counts with its
+    greatest weight, weights that are null or not positive are left out. Where it has a third column ``unnamed``, the row of null folder that is true there holds
+    for rows of no folder. Rows of other folders, and of none without such a row, are mixed as one folder of ``rest_weight``. Rows
     of a folder are ordered by a hash of the id, then by the id; equal rows keep places of their own. Columns of ``loops`` that are
     named like the new ones are replaced. An empty table gives no rows.
     """
-    given = weights.where("weight > 0 and folder is not null").groupBy("folder").agg(F.max("weight").alias("weight")).limit(MOST_FOLDERS + 1).collect()
-    if len(given) > MOST_FOLDERS:
-        raise ValueError(f"more than {MOST_FOLDERS} folders with a weight of their own")
+    unnamed = F.coalesce("unnamed", F.lit(False)) if "unnamed" in weights.columns else F.lit(False)
+    given = weights.select("folder", "weight", unnamed.alias("unnamed")).where("weight > 0 and (folder is null) = unnamed")
+    given = given.groupBy("folder").agg(F.max("weight").alias("weight")).collect()
     spark = loops.sparkSession
-    names = {r.folder: k for k, r in enumerate(sorted(given))}
-    known = spark.createDataFrame([(f, k) for f, k in names.items()], "_lt_folder string, _lt_mix int")
+    names = {r.folder: k for k, r in enumerate(sorted(given, key=lambda r: (r.folder is None, r.folder or "")))}
+    known = spark.createDataFrame([(f, k) for f, k in names.items() if f is not None], "_lt_folder string, _lt_mix int")
     columns = [c for c in loops.columns if c not in ("block", "slot", "place")]
     rows = loops.select(*columns, F.col(folder_column).cast("string").alias("_lt_folder"))
-    rows = rows.join(F.broadcast(known), "_lt_folder", "left").drop("_lt_folder").withColumn("_lt_mix", F.coalesce("_lt_mix", F.lit(-1)))
+    rows = rows.join(broadcast_if_small(known), "_lt_folder", "left").withColumn(
+        "_lt_mix", F.when(F.col("_lt_folder").isNull(), names.get(None, -1)).otherwise(F.coalesce("_lt_mix", F.lit(-1)))).drop("_lt_folder")
     keys = ["_lt_mix", "_lt_hash", id_column]
     ranged = rows.withColumn("_lt_hash", F.xxhash64(id_column)).repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumn("_lt_row", F.monotonically_increasing_id())
@@ -91,7 +120,6 @@ def mix(loops: DataFrame, weights: DataFrame, id_column: str = "file_id", folder
     offsets = spark.createDataFrame(starts, "_lt_part int, _lt_mix int, _lt_shift bigint")
     slots = spark.createDataFrame([(k, b, t) for t, (k, b) in enumerate(plan)], "_lt_mix int, block bigint, slot bigint")
     nth = F.col("_lt_at") + F.col("_lt_shift")
-    placed = ranged.join(F.broadcast(offsets), ["_lt_part", "_lt_mix"]).withColumns(
+    placed = ranged.join(broadcast_if_small(offsets), ["_lt_part", "_lt_mix"]).withColumns(
         {"block": F.floor(nth / size), "place": nth % size})
-    # at most MOST_BLOCKS rows and one per folder: 24 bytes each
-    return placed.join(F.broadcast(slots), ["_lt_mix", "block"]).select(*columns, "block", "slot", "place")
+    return placed.join(broadcast_if_small(slots), ["_lt_mix", "block"]).select(*columns, "block", "slot", "place")

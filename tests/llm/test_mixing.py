@@ -58,3 +58,18 @@ def test_edge_rows(spark):
     assert mixing.mix(loops.limit(0), weights).count() == 0
     fewer = mixing.mix(loops, weights, block_rows=1, most_blocks=2).collect()
     assert len(fewer) == len(rows) and max(r.place for r in fewer) == 3
+
+
+def test_every_source_has_its_weight(spark):
+    # more sources than any list held before, and a third of the rows without one
+    named = [(k, f"s{k:05d}") for k in range(10_200)] + [(20_000 + k, "big") for k in range(900)]
+    loops = spark.createDataFrame(named + [(40_000 + k, None) for k in range(5_000)], "file_id bigint, folder string")
+    weights = mixing.damped_weights(loops)
+    held = {r.folder: r.weight for r in weights.collect()}
+    assert len(held) == 10_202 and held[None] == 71 and held["big"] == 30 and held["s10199"] == 1
+    got = mixing.mix(loops, weights, block_rows=10).collect()
+    assert Counter(r.file_id for r in got) == Counter(r.file_id for r in loops.collect())
+    sizes = Counter(r.folder for r in got)
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    plan = mixing.pfair({k: -(-sizes[n] // 10) for k, n in enumerate(names)}, {k: held[n] for k, n in enumerate(names)})
+    assert {(r.slot, r.folder, r.block) for r in got} == {(t, names[k], b) for t, (k, b) in enumerate(plan)}
