@@ -5,7 +5,8 @@ then after three and after two with the class's continuation counts. Below that
 reports together, so that an expression which is rare or new in either class is smoothed alike. A report's score compares the two
 log-likelihoods per letter: a logistic curve, fitted on judged reports that gave no counts, turns the difference into 0 to 1.
 
-Both classes give the same number of letters to the counts, so that neither is favoured for having been seen more. The model is one table of
+Whole texts give counts, summed in tasks by run of letters. Neither class is favoured for having been seen more: the counts of the longer one are those expected
+of a random part as long as the other, with the discount due there, so all its letters have a say. The model is one table of
 log-ratios over all five-letter runs of a 32-letter alphabet, 32 MB whatever the data.
 """
 
@@ -21,12 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtone.llm.blocks import blocks
-from loomtone.llm.shared import fold, judged_sample
+from loomtone.llm.shared import fold, judged_sample, keep
 
 #: Judged reports per class that the model is fitted on at most, taken in the order of a hash of the text.
 SAMPLE_ROWS = 1_500
-#: Letters of one report that give counts at most; scoring always reads whole texts.
-SAMPLE_LETTERS = 12_000
 DISCOUNT = 0.95
 ORDER = 5
 #: Orders up to this one are shared by the classes.
@@ -60,35 +59,52 @@ def _runs(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counts:
-    """Counts of runs by order: plain counts of the longest, below them how many different letters precede a run."""
+    """Counts of runs by order: plain counts of the longest, below them how many different letters precede a run.
 
-    def __init__(self, codes: np.ndarray):
-        self.code, self.count = np.unique(codes, return_counts=True)
-        self.lower = {}
-        code = self.code
-        for order in range(ORDER - 1, 0, -1):
-            self.lower[order] = np.bincount(code & ((1 << _BITS * order) - 1), minlength=1 << _BITS * order).astype(np.float32)
-            code = np.flatnonzero(self.lower[order])
+    With a ``rate`` below 1 they are expectations over a random part of the letters: each run is taken with that chance. ``here`` is the
+    chance that a run is met at all, kept as the log of the chance that it is not.
+    """
 
-    def smoothed(self, count: np.ndarray, below: np.ndarray) -> np.ndarray:
+    def __init__(self, codes: np.ndarray, count: np.ndarray | None = None, rate: float | np.ndarray = 1.0):
+        if count is None:
+            codes, count = np.unique(codes, return_counts=True)
+        with np.errstate(divide="ignore"):
+            missing = np.log1p(-np.broadcast_to(np.asarray(rate, np.float64), count.shape))
+        self.code, at = np.unique(codes, return_inverse=True)
+        self.count = np.bincount(at, count * rate, minlength=len(self.code))
+        missing = np.bincount(at, count * missing, minlength=len(self.code))
+        self.met = -np.expm1(missing)
+        self.lower, self.here = {}, {}
+        code, met = self.code, self.met
+        for order in range(ORDER - 1, 0, -1):
+            size = 1 << _BITS * order
+            self.lower[order] = np.bincount(code & (size - 1), met, minlength=size).astype(np.float32)
+            missing = np.bincount(code & (size - 1), missing, minlength=size)
+            met = -np.expm1(missing)
+            self.here[order] = met.astype(np.float32)
+            code = np.arange(size)
+
+    def smoothed(self, count: np.ndarray, here: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Kneser-Ney probabilities of all runs of one order, given those of the order below for the same last letters."""
-        by = count.reshape(-1, 1 << _BITS)
-        total, kinds = by.sum(1, keepdims=True), (by > 0).sum(1, keepdims=True)
-        seen = np.maximum(total, 1)
-        out = np.maximum(by - DISCOUNT, 0) / seen + np.where(total > 0, DISCOUNT * kinds / seen, 1) * below.reshape(by.shape)
+        by, off = count.reshape(-1, 1 << _BITS), DISCOUNT * here.reshape(-1, 1 << _BITS)
+        total = by.sum(1, keepdims=True)
+        seen = np.where(total > 0, total, 1)
+        out = np.maximum(by - off, 0) / seen + np.where(total > 0, off.sum(1, keepdims=True) / seen, 1) * below.reshape(by.shape)
         return out.ravel()
 
     def up_to(self, order: int, start: int, below: np.ndarray) -> np.ndarray:
         for k in range(start, order + 1):
-            below = self.smoothed(self.lower[k], np.tile(below, len(self.lower[k]) // len(below)))
+            below = self.smoothed(self.lower[k], self.here[k], np.tile(below, len(self.lower[k]) // len(below)))
         return below
 
 
-def _table(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log-ratios of toxic to ordinary for every run of ``ORDER`` letters, in steps of ``STEP``."""
-    even = min(len(ordinary), len(toxic))
-    classes = [_Counts(ordinary[:even]), _Counts(toxic[:even])]
-    shared = _Counts(np.concatenate([ordinary[:even], toxic[:even]])).up_to(SHARED_ORDER, 1, np.full(1 << _BITS, 1 / (1 << _BITS), np.float32))
+def _table(ordinary: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-ratios of toxic to ordinary for every run of ``ORDER`` letters, in steps of ``STEP``, from the runs of each class and their counts."""
+    letters = [int(n.sum()) for _, n in (ordinary, toxic)]
+    rates = [min(letters) / max(1, n) for n in letters]
+    classes = [_Counts(code, n, rate) for (code, n), rate in zip((ordinary, toxic), rates)]
+    both = [np.concatenate(x) for x in zip(ordinary, toxic)]
+    shared = _Counts(*both, np.repeat(rates, [len(ordinary[0]), len(toxic[0])])).up_to(SHARED_ORDER, 1, np.full(1 << _BITS, 1 / (1 << _BITS), np.float32))
     below = [c.up_to(ORDER - 1, SHARED_ORDER + 1, shared) for c in classes]
     part = 1 << _BITS * (ORDER - 1)
     out = np.zeros(1 << _BITS * ORDER, np.int8)
@@ -96,9 +112,10 @@ def _table(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         logs = []
         for c, low in zip(classes, below):
             a, b = np.searchsorted(c.code, [k * part, (k + 1) * part])
-            count = np.zeros(part, np.float32)
-            count[c.code[a:b] - k * part] = c.count[a:b]
-            logs.append(np.log(c.smoothed(count, low)))
+            count, here = np.zeros((2, part), np.float32)
+            at = c.code[a:b] - k * part
+            count[at], here[at] = c.count[a:b], c.met[a:b]
+            logs.append(np.log(c.smoothed(count, here, low)))
         out[k * part: (k + 1) * part] = np.clip(np.rint((logs[1] - logs[0]) / STEP), -127, 127)
     return out
 
@@ -124,14 +141,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(column) + self.offset, -30, 30)))
 
 
-def _sample_runs(batches):
+def _run_counts(batches):
+    """Counts of the runs of each label's whole texts, combined within a batch."""
     for batch in batches:
-        runs = []
-        for _, _, text, at in blocks(batch.column(0)):
-            code, _ = _runs(text, at)
-            runs += [code[a: min(b, a + SAMPLE_LETTERS)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), batch.column(1), batch.column(2), batch.column(0)],
-                                         names=["runs", "label", "place", "text"])
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, _, text, at in blocks(batch.column(0)):
+            code, owner = _runs(text, at)
+            key, n = np.unique(label[first + owner] << (_BITS * ORDER) | code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+
+def _differences(model):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.difference(batch.column(0))), batch.column(1), batch.column(2)], names=["difference", "label", "place"])
+
+    return run
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -156,14 +181,22 @@ def fit(loops: DataFrame, judged: DataFrame, id_column: str = "file_id", text_co
     Only rows whose id has a ``fold`` of 5 other than 0 are learnt from; null labels and ids are left out.
     """
     taken = judged_sample(loops, judged, id_column, text_column, label_column, sample_rows, each_label=True)
-    got: pd.DataFrame = taken.repartition(8).mapInArrow(_sample_runs, "runs binary, label int, place bigint, text string").toPandas()
-    got = got.sort_values(["label", "place"], kind="stable").assign(rest=lambda d: d["place"] % 4 == 0)
-    if min(got.groupby("rest")["label"].nunique().reindex([False, True], fill_value=0)) < 2:
-        got["rest"] = False  # too few to set some apart: the same reports give counts and curve
-    codes = [np.frombuffer(b"".join(got.loc[~got["rest"] & (got["label"] == label), "runs"]), np.int32) for label in (0, 1)]
-    model = ToxicityModel(_table(*codes))
-    rest = got[got["rest"]] if got["rest"].any() else got
-    model.slope, model.offset = _curve(model.difference(pa.array(rest["text"], pa.string())), rest["label"].to_numpy(np.float64))
+    taken = keep(taken, "toxicity-sample").repartition(8)
+    marks: pd.DataFrame = taken.select("label", "place").toPandas()
+    rest = marks["place"] % 4 == 0
+    apart = min(marks["label"].groupby(rest).nunique().reindex([False, True], fill_value=0)) == 2
+    # too few to set some apart: the same reports give counts and curve
+    learnt, rest = (taken.where("pmod(place, 4) <> 0"), taken.where("pmod(place, 4) = 0")) if apart else (taken, taken)
+    # at most 32 ** 5 runs a label, whatever the texts' length
+    counts = learnt.mapInArrow(_run_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (counts[c].to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    cut = np.searchsorted(key, 1 << (_BITS * ORDER))
+    model = ToxicityModel(_table((key[:cut], n[:cut]), (key[cut:] - (1 << (_BITS * ORDER)), n[cut:])))
+    shared = loops.sparkSession.sparkContext.broadcast(model)
+    got = rest.mapInArrow(_differences(shared), "difference double, label int, place bigint").toPandas().sort_values(["label", "place"], kind="stable")
+    model = ToxicityModel(model.ratio, *_curve(got["difference"].to_numpy(), got["label"].to_numpy(np.float64)))
     return model
 
 

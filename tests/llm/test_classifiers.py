@@ -73,3 +73,25 @@ def test_model_of_one_class_calls_nothing_toxic(spark):
 def test_keep_good_keeps_columns(spark, loops, judged):
     kept = quality.keep_good(loops, judged, 0.3)
     assert kept.columns == loops.columns and 0 < kept.count() <= loops.count()
+
+
+def test_late_passages_of_long_texts_are_learnt(spark):
+    calm, rude = "a calm and warm pad loop ", "clown idiot "
+    rows = [(i, calm * 900 + (rude * 300 if i % 2 else "")) for i in range(60)] + [(100, rude * 9), (101, calm * 9)]
+    loops = spark.createDataFrame(rows, "file_id bigint, report string")
+    judged = spark.createDataFrame([(i, i % 2) for i in range(60)], "file_id bigint, toxic int")
+    by = {r.file_id: r.score for r in toxicity.score_toxicity(loops, judged).collect()}
+    assert by[100] > 0.5 > by[101]
+
+
+def test_counts_of_a_part_are_expectations():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 40, 300).astype(np.int32)
+    code, n = np.unique(codes, return_counts=True)
+    part = toxicity._Counts(code, n, 0.4)
+    drawn = [toxicity._Counts(codes[rng.random(300) < 0.4]) for _ in range(2000)]
+    assert np.isclose(part.count.sum(), 120)
+    for k in (1, 3):
+        assert np.allclose(part.lower[k], np.mean([d.lower[k] for d in drawn], 0), atol=0.1)
+    flat = np.full(32, 1 / 32, np.float32)
+    assert np.allclose(part.up_to(3, 1, flat).reshape(-1, 32).sum(1), 1, atol=1e-3)
