@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, word_hash, words
-from loomtone.llm.shared import fold, keep
+from loomtone.llm.shared import fold, forget, keep
 
 #: Words, and contexts, whose rows are broadcast at most.
 FREQUENT = 131_072
@@ -178,7 +178,7 @@ def _sweeps(dishes: DataFrame, words_: DataFrame, contexts: DataFrame, buckets:
     root_tables, totals = float(singles), []
     for k in range(BURN_IN + SAMPLES + 1):
         # what is kept is a whole state: the dishes, and root and totals summed from them
-        ours = kept(k)
+        ours, before = kept(k), [words_, contexts] if k else []
         by_word = words_.join(dishes.groupBy("w").agg(F.sum("t").alias("far")), "w", "left").withColumn("now", F.col("s") + F.coalesce("far", F.lit(0)))
         if k == 0:
             root_tables = float(singles + words_.count())
@@ -191,6 +191,8 @@ def _sweeps(dishes: DataFrame, words_: DataFrame, contexts: DataFrame, buckets:
         by_context = contexts.drop("t").join(dishes.groupBy("u").agg(F.sum("t").alias("far")), "u", "left").withColumn(
             "t", F.col("s") + F.coalesce("far", F.lit(0))).drop("far")
         contexts = keep(by_context.withColumn("kept", F.concat("kept", F.array("t")) if ours else F.col("kept")), "lm-contexts")
+        for table in before:
+            forget(table)
         if ours:
             totals.append((customers, root))
             dishes = dishes.withColumn("kept", F.concat("kept", F.array("t")))
@@ -198,8 +200,10 @@ def _sweeps(dishes: DataFrame, words_: DataFrame, contexts: DataFrame, buckets:
             break
         parent = words_.select("w", "hot", _predictive(F.col("customers"), F.col("t"), customers, root, uniform).alias("parent"))
         given = _attach(_attach(dishes, parent, "w"), contexts.select("u", "hot", F.col("t").cast("double").alias("total")), "u")
+        before = dishes
         dishes = keep(given.select("u", "w", "n", "t", "weight", "parent", "total", "kept").repartition(buckets, "u", "w").sortWithinPartitions("u", "w").mapInArrow(
             _seat_dishes(k), "u bigint, w bigint, n bigint, t bigint, weight double, kept array<bigint>"), "lm-dishes")
+        forget(before)
     return dishes, words_, contexts, totals
 
 
@@ -240,7 +244,6 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
     whole = _attach(_attach(held, word_rows, "w"), context_rows, "u").select(
         F.xxhash64("u", "w").alias("pair"), "base", "known", (F.col("w") == _END).cast("int").alias("ends"),
         F.log10(sum(near[1:], near[0]) / SAMPLES).alias("gain"))
-    whole = keep(whole, "lm-scored-pairs")
     seen = rows.select("_lt_text", "_lt_row").mapInArrow(_occurrences, "u bigint, w bigint, row bigint").select(F.xxhash64("u", "w").alias("pair"), "row")
     # reports that agree in id and text share a row key: what they add together is dealt out evenly
     added = seen.join(whole, "pair").groupBy(F.col("row").alias("_lt_row")).agg(
