@@ -28,6 +28,11 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold(id_column: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     ident = F.col(id_column) if isinstance(id_column, str) else id_column
