@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from checks import sqltext as S
 from checks.names import META, WITH_CATALOG, catalog
-from checks.loops import MIDI_FILES
+from checks.loops import MIDI_FILES, RECORDS, TEMPO, mixed_files
 from checks.views import KNOWN_LOOPS, TREE, TREE_PATH, library_tree, table
 from loomtone.operators import sinks
 from loomtone.operators.stats import batch_stats
 from loomtone.plans.convert import convert_library, convert_run
-from loomtone.plans.decode import decode_library
+from loomtone.plans.decode import decode_files, decode_library
 from loomtone.sources import files as Fs
+from loomtone.sources.listing import list_library
+from loomtone.sources.ranged import scan_loops
 from loomtone.streaming import ingest, status
 from loomtone.workspace import scratch_path
 
@@ -49,12 +51,28 @@ def _(spark, sf):
     return found.select(F.regexp_extract("rel", r"no(\d+)\.", 1).cast("bigint").alias("id"), "rel")
 
 
-@query("scan_loops", WITH_TREE + "SELECT rel, CASE kind WHEN 0 THEN 'CAF' WHEN 1 THEN 'AIFF' ELSE 'MIDI' END AS format FROM tree "
-       "WHERE kind < 3 AND NOT hidden")
+LISTED = """listed AS (SELECT *, CASE WHEN kind = 5 THEN 'empty file' WHEN hidden THEN 'hidden file' END AS error,
+  CASE WHEN kind < 3 AND NOT hidden THEN list_extract(['CAF', 'AIFF', 'MIDI'], kind + 1) END AS format FROM tree)"""
+
+
+@query("scan_loops", S.with_(TREE, LISTED) + "SELECT rel, format, error FROM listed WHERE kind IN (0, 1, 2, 5)")
+def _(spark, sf):
+    root = library_tree(spark, sf)
+    return scan_loops(spark, root, recursive=True).select(_rel(root).alias("rel"), "format", "error")
+
+
+@query("scan_loops_chunks", S.with_(TREE, LISTED) + """SELECT rel, unnest(list_extract([['desc', 'pakt', 'data', 'info', 'uuid', 'uuid'],
+      ['COMM', 'basc', 'cate', 'SSND']], kind + 1)) AS type FROM listed WHERE error IS NULL AND kind < 2""")
+def _(spark, sf):
+    root = library_tree(spark, sf)
+    found = scan_loops(spark, root, recursive=True).select(_rel(root).alias("rel"), F.explode("chunks.type").alias("type"))
+    return found.where("type <> 'NAME'")  # in some files only
+
+
+@query("list_library", S.with_(TREE, LISTED) + "SELECT rel, error AS reason FROM listed WHERE kind <> 4")
 def _(spark, sf):
     root = library_tree(spark, sf)
-    found = Fs.scan_loops(spark, root, recursive=True)
-    return found.select(_rel(root).alias("rel"), Fs.detect_format(F.col("content")).alias("format"))
+    return list_library(spark, root, Fs.LIBRARY_EXTENSIONS, width=7).select(_rel(root).alias("rel"), "reason")
 
 
 @query("list_tree", WITH_TREE + "SELECT rel, kind = 5 AS empty FROM tree")
@@ -67,7 +85,7 @@ def _(spark, sf):
        "WHERE kind IN (0, 1, 2, 5) AND (hidden OR kind = 5)")
 def _(spark, sf):
     root = library_tree(spark, sf)
-    scanned = Fs.scan_loops(spark, root, recursive=True).select("path")
+    scanned = Fs.scan_library(spark, root, ["caf", "aif", "mid"]).select("path")
     listing = Fs.list_tree(spark, root)
     return Fs.skipped_files(listing, scanned, ["caf", "aif", "mid"]).select(_rel(root).alias("rel"), "error")
 
@@ -80,28 +98,47 @@ def _(spark, sf):
     return Fs.read_content(hidden).select(_rel(root).alias("rel"), Fs.detect_format(F.col("content")).alias("format"))
 
 
-DECODED = """decoded AS (SELECT t.rel, t.kind, CASE WHEN kind = 2 THEN '' ELSE l.category END AS category,
-  CASE WHEN kind = 2 THEN '' ELSE l.subcategory END AS subcategory FROM tree t JOIN known_loops l USING (id)
-  WHERE kind < 3 AND NOT hidden)"""
+DECODED = f"""decoded AS (SELECT rel, l.format, CASE WHEN error IS NULL THEN CASE WHEN r = 2 THEN 'midi' ELSE 'audio' END END AS loop_type, error, sample_rate,
+    num_frames, codec, category, subcategory, genre, CAST(beats AS BIGINT) AS beat_count, key_signature, key_type, {TEMPO} AS tempo, marker_count,
+    CASE WHEN r = 2 THEN midi_key END AS midi_key, CASE WHEN r = 2 THEN CAST(notes AS BIGINT) END AS notes, CASE WHEN r = 2 THEN length END AS midi_duration
+    FROM listed l JOIN records USING (id) WHERE kind < 3 AND error IS NULL
+  UNION ALL SELECT rel, NULL, NULL, error, NULL, NULL, NULL, '', '', '', 0, '', '', NULL, NULL, NULL, NULL, NULL
+    FROM listed WHERE kind IN (0, 1, 2, 5) AND error IS NOT NULL)"""
+WITH_DECODED = S.with_(TREE, LISTED, KNOWN_LOOPS, S.KEYS, MIDI_FILES, RECORDS, DECODED)
+
+
+def _record(root: str, *more):
+    return [
+        _rel(root, "file_path").alias("rel"), "format", "loop_type", "audio.sample_rate", "audio.num_frames", "audio.codec", "metadata.category",
+        "metadata.subcategory", "metadata.genre", "metadata.beat_count", "metadata.key_signature", "metadata.key_type", "metadata.tempo",
+        "beat_markers.marker_count", F.col("midi.key_signature").alias("midi_key"), "midi.notes", F.col("midi.duration").alias("midi_duration"), *more]
+
+
+@query("decode_library", WITH_DECODED + "SELECT * FROM decoded")
+def _(spark, sf):
+    root = library_tree(spark, sf)
+    return decode_library(spark, root, recursive=True).select(*_record(root, "error"))
 
 
-@query("decode_library", S.with_(TREE, KNOWN_LOOPS, DECODED) + "SELECT rel, category, subcategory FROM decoded")
+@query("split_errors", S.with_(TREE, LISTED, KNOWN_LOOPS, S.KEYS, MIDI_FILES, RECORDS) + """SELECT rel AS file, error FROM listed
+      WHERE kind IN (0, 1, 2, 5) AND error IS NOT NULL
+    UNION ALL SELECT file_path, 'Unknown file format: ' || file_path FROM records WHERE broken""")
 def _(spark, sf):
     root = library_tree(spark, sf)
-    done = decode_library(spark, root, recursive=True)
-    return done.select(_rel(root, "file_path").alias("rel"), "metadata.category", "metadata.subcategory")
+    on_disk = sinks.split_errors(decode_library(spark, root, recursive=True))[1]
+    given = sinks.split_errors(decode_files(mixed_files(spark, sf)))[1]
+    return on_disk.select(_rel(root, "file").alias("file"), "error").unionByName(given)
 
 
-@query("export_json", S.with_(TREE, KNOWN_LOOPS, DECODED) + "SELECT rel, category, subcategory, "
-       "(SELECT count(*) FROM decoded) AS total_files FROM decoded")
+@query("export_json", WITH_DECODED + """SELECT * EXCLUDE error, (SELECT count(*) FROM decoded) AS total_files, (SELECT count(error) FROM decoded) AS failed
+      FROM decoded WHERE error IS NULL""")
 def _(spark, sf):
     root, out = library_tree(spark, sf), scratch_path(spark, "json")
-    sinks.export_json(decode_library(spark, root, recursive=True), out)
-    files = spark.read.schema("file_path string, metadata struct<category:string,subcategory:string>").json(f"{out}/files")
-    total = spark.read.schema("total_files bigint").json(f"{out}/summary").first()["total_files"]
-    return files.select(
-        _rel(root, "file_path").alias("rel"), "metadata.category", "metadata.subcategory", F.lit(total).cast("bigint").alias("total_files")
-    )
+    decoded = decode_library(spark, root, recursive=True)
+    sinks.export_json(decoded, out)
+    files = spark.read.schema(decoded.drop("error").schema).json(f"{out}/files")
+    sums = spark.read.schema("total_files bigint, failed bigint").json(f"{out}/summary").first()
+    return files.select(*_record(root, *(F.lit(sums[c]).cast("bigint").alias(c) for c in ("total_files", "failed"))))
 
 
 TAKEN = """SELECT rel, 'Keyboards' AS category, 'Synthesizer' AS subcategory, CASE WHEN starts_with(rel, 'Jazz') THEN 'Jazz'

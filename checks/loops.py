@@ -335,12 +335,6 @@ def _(spark, sf):
     )
 
 
-@query("split_errors", WITH_RECORDS + "SELECT file_path AS file, 'Unknown file format: ' || file_path AS error FROM records "
-       "WHERE broken")
-def _(spark, sf):
-    return sinks.split_errors(decode.decode_files(mixed_files(spark, sf)))[1]
-
-
 @query("decode_summary", WITH_RECORDS + "SELECT count(*) AS total_files, count(*) FILTER (NOT broken) AS successful, "
        "count(*) FILTER (broken) AS failed FROM records")
 def _(spark, sf):

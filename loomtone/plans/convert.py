@@ -9,9 +9,10 @@ from loomtone import dims
 from loomtone.operators import markers as M
 from loomtone.operators import resolve as R
 from loomtone.operators.midi_stats import midi_summary
-from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, list_tree, path_parts, scan_library, skipped_files
+from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, path_parts, read_content
+from loomtone.sources.listing import list_library
 from loomtone.sources.midi import midi_events
-from loomtone.workspace import cut
+from loomtone.workspace import keep
 
 
 def midi_facts(files: DataFrame, key: str = "path") -> DataFrame:
@@ -76,11 +77,15 @@ def convert_catalog(
     return settled
 
 
+def convert_listed(listed: DataFrame, root: str, **options) -> DataFrame:
+    """Catalog of the good files of a listing; bytes are read for MIDI files only."""
+    files = path_parts(listed.where(F.col("reason").isNull()).drop("reason"), "path", root)
+    return convert_catalog(files, midi_facts(read_content(files.where(is_midi(F.col("ext"))))), root=root, **options)
+
+
 def convert_library(spark: SparkSession, root: str, recursive: bool = True, **options) -> DataFrame:
-    """Catalog of a library on disk; bytes are read for MIDI files only."""
-    listed = scan_library(spark, root, recursive=recursive)
-    midi_files = scan_library(spark, root, ["mid", "midi", "smf"], recursive, content=True)
-    return convert_catalog(path_parts(listed, "path", root), midi_facts(midi_files), root=root, **options)
+    """Catalog of a library on disk, listed once by tasks when this is called."""
+    return convert_listed(list_library(spark, root, LIBRARY_EXTENSIONS, recursive), root, **options)
 
 
 def run_markers(catalog: DataFrame, onsets: DataFrame | None = None, key: str = "path") -> DataFrame:
@@ -106,12 +111,12 @@ def convert_run(
 ) -> DataFrame:
     """One row per convertible file below ``root``, also those that could not be read, with its marker count.
 
-    ``status``: ``OK``; ``FAILED`` for damaged MIDI, empty and unlisted files; ``SKIPPED`` for hidden ones. ``error`` tells why.
+    The library is listed once. ``status``: ``OK``; ``FAILED`` for damaged MIDI, empty and unreadable files; ``SKIPPED`` for hidden ones. ``error`` tells why.
     :func:`loomtone.operators.stats.batch_stats` of the rows gives the counts of the run.
     """
-    catalog = cut(convert_library(spark, root, recursive, **options))
-    listing = list_tree(spark, root, recursive)
-    missed = skipped_files(listing, catalog.select("path"), LIBRARY_EXTENSIONS, root).select("path", "error")
+    listed = list_library(spark, root, LIBRARY_EXTENSIONS, recursive)
+    catalog = keep(convert_listed(listed, root, **options), "catalog")
+    missed = listed.where(F.col("reason").isNotNull()).select("path", F.col("reason").alias("error"))
     missed = path_parts(missed, "path", root).withColumns({
         "loop_type": F.when(is_midi(F.col("ext")), F.lit("midi")).otherwise(F.lit("audio")), "markers": F.lit(0).cast("bigint")})
     rows = report_rows(catalog, markers=run_markers(catalog, onsets)).unionByName(missed, allowMissingColumns=True)

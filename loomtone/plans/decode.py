@@ -1,6 +1,6 @@
 """The decode job: read loop files back into one nested record each.
 
-Everything but MIDI is read from the file's own row without a shuffle. MIDI bytes become event rows, are aggregated, and
+Files are listed and read by ranges in tasks; everything but MIDI comes from the file's own row without a shuffle. MIDI bytes become event rows, are aggregated, and
 only the small summary is joined back.
 """
 
@@ -13,9 +13,10 @@ from loomtone.functions import binary as B
 from loomtone.functions import numbers as N
 from loomtone.operators.midi_stats import midi_summary
 from loomtone.sources import containers as C
-from loomtone.sources.files import detect_format, scan_loops
+from loomtone.sources.files import detect_format
 from loomtone.sources.midi import midi_events
-from loomtone.workspace import cut
+from loomtone.sources.ranged import scan_loops
+from loomtone.workspace import keep
 
 
 def _last_wins(pairs: Column, key: str, value: str) -> Column:
@@ -113,17 +114,23 @@ def _audio() -> dict[str, Column]:
     }
 
 
-def decode_files(files: DataFrame, read_once: bool = False) -> DataFrame:
+def decode_files(files: DataFrame) -> DataFrame:
+    """Records of ``(path, length, content)`` rows, see :func:`decode_chunked`; for bytes that are in a table already."""
+    return _records(_facts(decode_chunks(files)))
+
+
+def decode_chunked(chunked: DataFrame) -> DataFrame:
     """One record per file: ``file_path, format, loop_type, error, audio, midi, metadata, beat_markers, spotlight,
-    raw_chunks``. A file that cannot be read gives a row with ``error`` set; it never stops the batch.
+    raw_chunks``, from ``(path, length, format, error, chunks, content)`` rows as :func:`scan_loops` gives them.
 
-    The record and its MIDI bytes are needed twice. ``read_once`` keeps that small intermediate result in the shared
-    folder, so that large file contents are read a single time.
+    A file that cannot be read gives a row with ``error`` set; it never stops the batch. The small facts of the files are kept in the shared
+    folder, since the record and its MIDI bytes are needed apart.
     """
-    slim = _facts(decode_chunks(files))
-    if read_once:
-        slim = cut(slim)
-    with_midi = slim.filter(F.col("format").isin("MIDI", "CAF"))
+    return _records(keep(_facts(chunked), "loop-facts"))
+
+
+def _records(slim: DataFrame) -> DataFrame:
+    with_midi = slim.filter(F.col("_midi_bytes").isNotNull())
     midi = midi_summary(midi_events(with_midi, "path", "_midi_bytes"), "path").withColumnsRenamed(
         {c: f"_m_{c}" for c in ("tracks", "ticks_per_beat", "notes", "tempo_us", "tempo", "duration", "programs",
                                 "key_signature", "key_type", "time_signature")}
@@ -193,5 +200,8 @@ def decode_files(files: DataFrame, read_once: bool = False) -> DataFrame:
 
 
 def decode_library(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """Decode every loop file below ``root``."""
-    return decode_files(scan_loops(spark, root, recursive), read_once=True)
+    """Decode every loop file below ``root``: headers and decoded chunks are read, audio data is not.
+
+    Every listed file has a record, also empty, hidden and unreadable ones, with the reason in ``error``.
+    """
+    return decode_chunked(scan_loops(spark, root, recursive))

@@ -5,16 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtone import dims
-from loomtone.workspace import scratch_path
+from loomtone.sources.listing import list_library, open_store
 
 LIBRARY_EXTENSIONS = dims.AUDIO_EXTENSIONS + dims.MIDI_EXTENSIONS
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-LISTING = "path string, length bigint, modificationTime timestamp, is_dir boolean"
 
 
 def parse_extensions(text: str | None = None, audio_only: bool = False, midi_only: bool = False) -> list[str]:
@@ -36,7 +35,10 @@ def name_glob(extensions: Iterable[str]) -> str:
 
 
 def scan(spark: SparkSession, root: str, extensions: Iterable[str], recursive: bool, content: bool = False) -> DataFrame:
-    """Files below ``root`` by extension: path, length and time, and ``content`` only when asked for."""
+    """Files below ``root`` by extension through Spark's own file source: path, length and time, and ``content`` only when asked for.
+
+    That source lists on the driver and leaves out empty and hidden files; :func:`scan_library` and ``ranged.scan_loops`` do neither.
+    """
     df = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
@@ -47,20 +49,13 @@ def scan(spark: SparkSession, root: str, extensions: Iterable[str], recursive: b
     return df.select(*columns)
 
 
-def scan_library(
-    spark: SparkSession,
-    root: str,
-    extensions: Iterable[str] | None = None,
-    recursive: bool = True,
-    content: bool = False,
-) -> DataFrame:
-    """The files of a library that can become loops: audio and MIDI."""
-    return scan(spark, root, extensions or LIBRARY_EXTENSIONS, recursive, content)
-
+def scan_library(spark: SparkSession, root: str, extensions: Iterable[str] | None = None, recursive: bool = True) -> DataFrame:
+    """The files of a library that can become loops, audio and MIDI: path, length and time.
 
-def scan_loops(spark: SparkSession, root: str, recursive: bool = False, content: bool = True) -> DataFrame:
-    """Finished loops and MIDI files, with their bytes."""
-    return scan(spark, root, dims.LOOP_EXTENSIONS, recursive, content)
+    Tasks do the listing, once, when this is called; empty, hidden and unreadable files are left out, :func:`list_library` has them with the reason.
+    """
+    listed = list_library(spark, root, extensions or LIBRARY_EXTENSIONS, recursive)
+    return listed.where(F.col("reason").isNull()).drop("reason")
 
 
 def filter_extensions(df: DataFrame, extensions: Iterable[str], path: str = "path") -> DataFrame:
@@ -125,66 +120,49 @@ def detect_format(content: Column) -> Column:
     )
 
 
-def open_store(path: str):
-    """``(filesystem, plain path, prefix)`` of a Hadoop path: names are taken as they are, with blanks, ``#`` and ``%``."""
-    from pyarrow import fs
+def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """Every file below ``root`` with its length and time, also the empty and hidden ones that Spark's file source leaves out."""
+    return list_library(spark, root, None, recursive).select("path", "length", "modificationTime")
 
-    scheme, authority, inner = re.match(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(.*)$", path, re.DOTALL).groups()
-    if scheme in (None, "file"):
-        return fs.LocalFileSystem(), inner, path[: len(path) - len(inner)]
-    bucket = scheme in ("s3", "s3a", "s3n", "gs")
-    system, _ = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority or ''}/")
-    return system, f"{authority}{inner}" if bucket else inner, f"{scheme}://" if bucket else f"{scheme}://{authority or ''}"
 
+#: Bytes of files that are handed on at a time, and most of one file.
+_FLUSH, MOST_CONTENT = 32 << 20, 1 << 30
+#: Files that one task reads.
+_FILES_PER_TASK = 2_000
 
-#: Files of a folder that a listing task hands on at a time.
-_LISTED_AT_ONCE = 10_000
 
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths, contents, held = [], [], 0
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
 
-    for pdf in batches:
-        for folder in pdf["path"]:
-            system, inner, prefix = open_store(folder)
-            found = system.get_file_info(fs.FileSelector(inner))
-            for k in range(0, len(found), _LISTED_AT_ONCE):
-                rows = [(prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory) for i in found[k: k + _LISTED_AT_ONCE]]
-                frame = pd.DataFrame(rows, columns=["path", "length", "modificationTime", "is_dir"])
-                frame["length"] = frame["length"].astype("Int64")
-                frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True).dt.tz_localize(None)
-                yield frame
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                system, inner, _ = open_store(path)
+                with system.open_input_stream(inner) as stream:
+                    content = stream.read(MOST_CONTENT + 1)
+            except OSError:
+                content = None
+            paths.append(path)
+            contents.append(None if content is None or len(content) > MOST_CONTENT else content)
+            held += len(content or b"")
+            if held >= _FLUSH:
+                yield pack()
+                paths, contents, held = [], [], 0
+    if paths:
+        yield pack()
 
 
-def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Every file below ``root``, also the empty and hidden ones that Spark's file source leaves out.
+def read_content(paths: DataFrame, files_per_task: int = _FILES_PER_TASK) -> DataFrame:
+    """``(path, content)`` of listed files, read by the tasks; null content where a file cannot be read or has more than a GB.
 
-    Folders are listed by tasks, one level of the tree per job; the driver only sees whether another level exists.
+    Rows of a listing are small and would share few tasks: they are counted and dealt anew.
     """
-    base = scratch_path(spark, "listing")
-    level, depth, saved = spark.createDataFrame([(root,)], "path string"), 0, []
-    while True:
-        target = f"{base}/level{depth}"
-        level.repartition("path").mapInPandas(_list_folders, LISTING).write.parquet(target)
-        saved.append(target)
-        level = spark.read.schema(LISTING).parquet(target).filter("is_dir").select("path")
-        depth += 1
-        if not recursive or level.isEmpty():
-            break
-    return spark.read.schema(LISTING).parquet(*saved).filter("NOT is_dir").drop("is_dir")
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path in pdf["path"]:
-            system, inner, _ = open_store(path)
-            with system.open_input_stream(inner) as stream:
-                yield pd.DataFrame({"path": [path], "content": [stream.read()]})
-
-
-def read_content(paths: DataFrame) -> DataFrame:
-    """``(path, content)`` of listed files, read by the tasks; for files the built-in source would skip."""
-    return paths.select("path").mapInPandas(_read_files, "path string, content binary")
+    only = paths.select("path")
+    tasks = -(-only.count() // files_per_task)
+    return only.repartition(max(tasks, 1), "path").mapInArrow(_read_files, "path string, content binary")
 
 
 def skipped_files(listing: DataFrame, scanned: DataFrame, extensions: Iterable[str], root: str | None = None) -> DataFrame:

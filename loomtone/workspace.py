@@ -40,6 +40,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Have the folder removed when the session's process ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back, so that later uses neither recompute nor lose it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    forget_later(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``: computed once, kept in the shared folder, safe against lost executors."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ def test_names_with_blanks_and_signs(spark, tmp_path):
         listed = files.list_tree(spark, top)
         got = {r.path.rsplit("lib/", 1)[1]: bytes(r.content) for r in files.read_content(listed).collect()}
         assert got == {"Hip Hop/pad_F#m_90bpm.caf": b"caff", "100%.caf": b"x", "empty.caf": b"", "_kept.caf": b"y", "é ü.caf": b"z"}
-        scanned = files.scan_loops(spark, str(root), recursive=True)
+        scanned = files.scan_library(spark, str(root))
         assert scanned.count() == files.read_content(scanned).count() == 3
         skipped = {r.file_name: r.error for r in files.skipped_files(listed, scanned, ["caf"], top).collect()}
         assert skipped == {"empty.caf": "empty file", "_kept.caf": "hidden file"}

@@ -6,7 +6,7 @@ from loomtone.operators import resolve as V
 from loomtone.operators import sinks
 from loomtone.operators.stats import batch_stats, progress
 from loomtone.plans.convert import convert_catalog, convert_library, convert_run
-from loomtone.sources.files import list_tree, scan_loops, skipped_files
+from loomtone.sources.files import list_tree, scan_library, skipped_files
 from loomtone.streaming import ingest, status
 
 MIDI = "midi struct<tempo:int,key_signature:string,key_type:string,time_signature:string,duration:double,beat_count:int,programs:array<int>>"
@@ -71,7 +71,7 @@ def test_library_on_disk(spark, tmp_path):
     _write(root, "notes.txt", b"no")
     got = convert_library(spark, root).collect()
     assert [(r["stem"], r["genre"], r["rel_parent"]) for r in got] == [("bass_100bpm", "Jazz", "Jazz")]
-    missed = skipped_files(list_tree(spark, root), scan_loops(spark, root, True), ["caf"])
+    missed = skipped_files(list_tree(spark, root), scan_library(spark, root), ["caf"])
     assert {(r["file_name"], r["error"]) for r in missed.collect()} == {("empty.caf", "empty file"), ("lead.caf", "hidden file")}
 
 
