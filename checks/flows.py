@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import sqltext as S
 from checks.names import META, WITH_CATALOG, catalog
-from checks.loops import MIDI_FILES, RECORDS, TEMPO, mixed_files
+from checks.loops import AIFF_CHUNKS, CAF_CHUNKS, MIDI_FILES, RECORDS, TEMPO, mixed_files
 from checks.views import KNOWN_LOOPS, TREE, TREE_PATH, library_tree, table
 from loomtone.operators import sinks
 from loomtone.operators.stats import batch_stats
 from loomtone.plans.convert import convert_library, convert_run
 from loomtone.plans.decode import decode_files, decode_library
+from loomtone.sources import containers as C
 from loomtone.sources import files as Fs
 from loomtone.sources.listing import list_library
 from loomtone.sources.ranged import scan_loops
@@ -61,12 +62,12 @@ def _(spark, sf):
     return scan_loops(spark, root, recursive=True).select(_rel(root).alias("rel"), "format", "error")
 
 
-@query("scan_loops_chunks", S.with_(TREE, LISTED) + """SELECT rel, unnest(list_extract([['desc', 'pakt', 'data', 'info', 'uuid', 'uuid'],
-      ['COMM', 'basc', 'cate', 'SSND']], kind + 1)) AS type FROM listed WHERE error IS NULL AND kind < 2""")
+@query("scan_loops_chunks", S.with_(TREE, LISTED, KNOWN_LOOPS, CAF_CHUNKS, AIFF_CHUNKS) + """SELECT rel, CAST(ord AS INTEGER) AS ord, type, off, CAST(size AS BIGINT) AS size
+      FROM listed JOIN (SELECT *, 0 AS kind FROM caf_chunks UNION ALL SELECT *, 1 FROM aiff_chunks) USING (id, kind) WHERE error IS NULL""")
 def _(spark, sf):
     root = library_tree(spark, sf)
-    found = scan_loops(spark, root, recursive=True).select(_rel(root).alias("rel"), F.explode("chunks.type").alias("type"))
-    return found.where("type <> 'NAME'")  # in some files only
+    found = scan_loops(spark, root, recursive=True).where("format <> 'MIDI'").select(_rel(root).alias("rel"), "chunks")
+    return C.explode_chunks(found, "rel").withColumn("size", F.col("size").cast("bigint"))
 
 
 @query("list_library", S.with_(TREE, LISTED) + "SELECT rel, error AS reason FROM listed WHERE kind <> 4")

@@ -217,10 +217,13 @@ def _(spark, sf):
     return Q.check_markers(long.select("id", "idx", moved.alias("pos")), files, "id")
 
 
-@query("aiff_chunks", WITH_LOOPS + """SELECT id, ord, type, CAST(20 + 8 * ord + sum(size + size % 2) OVER (PARTITION BY id ORDER BY ord) - size - size % 2
+AIFF_CHUNKS = """aiff_chunks AS (SELECT id, ord, type, CAST(20 + 8 * ord + sum(size + size % 2) OVER (PARTITION BY id ORDER BY ord) - size - size % 2
     AS BIGINT) AS off, size FROM (SELECT id, CAST(c.ord AS INTEGER) AS ord, c.type AS type, CAST(c.size AS BIGINT) AS size FROM known_loops, unnest([
       {'ord': 0, 'type': 'NAME', 'size': id % 4 * 2 + 1}, {'ord': 1, 'type': 'COMM', 'size': 18}, {'ord': 2, 'type': 'basc', 'size': 84},
-      {'ord': 3, 'type': 'cate', 'size': length(category) + length(subcategory) + length(genre) + 9}, {'ord': 4, 'type': 'SSND', 'size': 16}]) t(c))""")
+      {'ord': 3, 'type': 'cate', 'size': length(category) + length(subcategory) + length(genre) + 9}, {'ord': 4, 'type': 'SSND', 'size': 16}]) t(c)))"""
+
+
+@query("aiff_chunks", S.with_(KNOWN_LOOPS, AIFF_CHUNKS) + "SELECT * FROM aiff_chunks")
 def _(spark, sf):
     long = C.explode_chunks(aiff(spark, sf), "id")
     return long.withColumns({c: F.col(c).cast("bigint") for c in ("off", "size")})
