@@ -16,7 +16,7 @@ from loomtone.sources import containers as C
 from loomtone.sources import files as Fs
 from loomtone.sources.listing import list_library
 from loomtone.sources.ranged import scan_loops
-from loomtone.streaming import ingest, status
+from loomtone.streaming import ingest, status, transitions
 from loomtone.workspace import scratch_path
 
 QUERIES: dict = {}
@@ -247,6 +247,41 @@ def _(spark, sf):
     return status.current(spark, f"{out}/log").select("file_id", "state", "error")
 
 
+FOLLOWED = """late AS (SELECT *, seq % 7 = 3 AS second FROM states),
+  placed AS (SELECT *, second AND seq < max(seq) FILTER (NOT second) OVER (PARTITION BY file_id) AS overtaken FROM late),
+  accepted AS (SELECT *, lag(state) OVER (PARTITION BY file_id ORDER BY seq) AS previous FROM placed WHERE NOT coalesce(overtaken, false)),
+  overtook AS (SELECT p.*, arg_max(b.state, b.seq) AS previous FROM placed p JOIN late b ON b.file_id = p.file_id AND NOT b.second WHERE p.overtaken GROUP BY ALL),
+  followed AS (SELECT file_id, ts, seq, state, error, previous, CASE WHEN previous IS NULL AND state IN ('pending', 'queued') OR
+      previous || '>' || state IN ('pending>queued', 'queued>converting', 'converting>completed', 'converting>failed', 'completed>queued', 'failed>queued')
+      THEN 'ok' ELSE 'illegal' END AS verdict FROM accepted
+    UNION ALL SELECT file_id, ts, seq, state, error, previous, 'late' FROM overtook)"""
+
+
+def followed(spark, sf):
+    """The log of transitions of a stream of two batches; one event in seven comes with the second, most of them late."""
+    out, rows = scratch_path(spark, "followed"), states(spark, sf, streaming=False)
+    for part, here in enumerate((F.col("seq") % 7 != 3, F.col("seq") % 7 == 3)):
+        rows.where(here).write.parquet(f"{out}/in/part={part}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{out}/in")
+        transitions.follow_status(stream, f"{out}/log", f"{out}/state", lateness="60 days").awaitTermination()
+    return spark.read.parquet(f"{out}/log").drop("batch")
+
+
+@query("status_transitions", S.with_(STATES, FOLLOWED) + "SELECT * FROM followed")
+def _(spark, sf):
+    return followed(spark, sf)
+
+
+@query("status_violations", S.with_(STATES, FOLLOWED) + "SELECT verdict, previous, state, count(*) AS events FROM followed WHERE verdict <> 'ok' GROUP BY ALL")
+def _(spark, sf):
+    return followed(spark, sf).where("verdict <> 'ok'").groupBy("verdict", "previous", "state").agg(F.count("*").alias("events"))
+
+
+@query("states_of", S.with_(STATES) + "SELECT file_id, arg_max(state, seq) AS state, arg_max({'e': error}, seq).e AS error, max(ts) AS ts FROM states GROUP BY file_id")
+def _(spark, sf):
+    return transitions.states_of(followed(spark, sf))
+
+
 PROGRESS = """SELECT total, success_count, failure_count, (success_count + failure_count) / total AS percentage FROM (SELECT
   count(*) FILTER (state = 'queued') AS total, count(*) FILTER (state = 'completed') AS success_count,
   count(*) FILTER (state = 'failed') AS failure_count FROM states)"""
