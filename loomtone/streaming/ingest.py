@@ -9,30 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomtone.plans.convert import convert_catalog, midi_facts
-from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, name_glob, path_parts, read_content
-
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def stream_files(spark: SparkSession, root: str, extensions: Iterable[str] = LIBRARY_EXTENSIONS) -> DataFrame:
-    """Path, time and length of new files below ``root``; the file source itself hands on each path once."""
-    arriving = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob(extensions))
-        .load(root)
-    )
-    return arriving.select("path", "modificationTime", "length")
+from loomtone.sources.files import LIBRARY_EXTENSIONS, is_midi, path_parts, read_content
+from loomtone.streaming.arrivals import read_arrivals
 
 
 def stream_catalog(
-    spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True, **options
+    spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True, extensions: Iterable[str] = LIBRARY_EXTENSIONS,
+    source: dict | None = None, **options
 ) -> StreamingQuery:
     """Classify arriving files into a Parquet catalog.
 
     Each micro-batch runs the batch plan and overwrites its own ``batch=`` folder, so a repeated batch after a failure
-    leaves no duplicates. The stream carries names only; the tasks of a batch read the bytes of its MIDI files.
+    leaves no duplicates. The stream carries names only; the tasks of a batch read the bytes of its MIDI files. ``source``: options of
+    :func:`loomtone.streaming.arrivals.read_arrivals`. With ``once`` all files that are there are worked off, in batches, before the call returns.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -42,5 +31,11 @@ def stream_catalog(
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.unpersist()
 
-    writer = stream_files(spark, root).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    arriving = read_arrivals(spark, root, checkpoint, tuple(extensions), **(source or {}))
+    query = arriving.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).start()
+    if once:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query

@@ -7,7 +7,7 @@ from loomtone.operators import sinks
 from loomtone.operators.stats import batch_stats, progress
 from loomtone.plans.convert import convert_catalog, convert_library, convert_run
 from loomtone.sources.files import list_tree, scan_library, skipped_files
-from loomtone.streaming import ingest, status
+from loomtone.streaming import arrivals, ingest, status
 
 MIDI = "midi struct<tempo:int,key_signature:string,key_type:string,time_signature:string,duration:double,beat_count:int,programs:array<int>>"
 
@@ -98,7 +98,7 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     ingest.stream_catalog(spark, root, out, state).awaitTermination()
     ingest.stream_catalog(spark, root, out, state).awaitTermination()
     assert sorted(r["tempo"] for r in spark.read.parquet(out).collect()) == [90, 100]
-    assert "content" not in ingest.stream_files(spark, root).columns
+    assert "content" not in arrivals.read_arrivals(spark, root, state).columns
 
 
 def test_status_changes_over_batches(spark, tmp_path):
