@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from checks import sqltext as S
@@ -142,6 +144,20 @@ def _(spark, sf):
     return files.select(*_record(root, *(F.lit(sums[c]).cast("bigint").alias(c) for c in ("total_files", "failed"))))
 
 
+@query("export_document", WITH_DECODED + """SELECT rel, error, category, tempo, (SELECT count(*) FROM decoded) AS total_files, (SELECT count(error) FROM decoded) AS failed
+      FROM decoded WHERE error IS NULL UNION ALL SELECT rel, error, NULL, NULL, (SELECT count(*) FROM decoded), (SELECT count(error) FROM decoded) FROM decoded WHERE error IS NOT NULL""")
+def _(spark, sf):
+    """The fragments of the document, line by line; joined bytes are parsed as one document in the tests."""
+    root, out = library_tree(spark, sf), scratch_path(spark, "document")
+    sums = sinks.export_document(decode_library(spark, root, recursive=True), out)
+    line = F.ltrim("value", F.lit(","))
+    good = spark.read.text(f"{out}/files").select(F.from_json(line, "file_path string, metadata struct<category:string,tempo:double>").alias("r"))
+    bad = spark.read.text(f"{out}/errors").select(F.from_json(line, "file string, error string").alias("r"))
+    told = good.select(_rel(root, "r.file_path").alias("rel"), F.lit(None).cast("string").alias("error"), "r.metadata.category", "r.metadata.tempo").unionByName(
+        bad.select(_rel(root, "r.file").alias("rel"), "r.error"), allowMissingColumns=True)
+    return told.select("*", *(F.lit(sums[c]).cast("bigint").alias(c) for c in ("total_files", "failed")))
+
+
 TAKEN = """SELECT rel, 'Keyboards' AS category, 'Synthesizer' AS subcategory, CASE WHEN starts_with(rel, 'Jazz') THEN 'Jazz'
     WHEN starts_with(rel, 'Hip') THEN 'Hip Hop' ELSE 'Rock/Blues' END AS genre, CAST(90 + id % 50 AS INTEGER) AS tempo,
     CASE WHEN kind = 2 THEN 'midi' ELSE 'audio' END AS loop_type FROM tree WHERE kind < 4 AND NOT hidden"""
@@ -193,6 +209,13 @@ def _(spark, sf):
     return batch_stats(run(spark, sf)[1])
 
 
+@query("write_run", SQL["convert_run_stats"])
+def _(spark, sf):
+    """The totals that are counted while the run is written."""
+    told = sinks.write_run(run(spark, sf)[1], scratch_path(spark, "run"))
+    return spark.createDataFrame([told], ", ".join(f"{name} bigint" for name in ("total", "converted", "skipped", "errors", "audio", "midi")))
+
+
 @query("stream_ingest", WITH_TREE + TAKEN)
 def _(spark, sf):
     root, out = library_tree(spark, sf), scratch_path(spark, "ingest")
@@ -295,6 +318,23 @@ def _(spark, sf):
     return status.current(spark, f"{out}/log", None)
 
 
+@query("observed_progress", S.with_(STATES) + PROGRESS)
+def _(spark, sf):
+    """What a listener adds up while another query, the current states, runs over the same stream."""
+    out, heard = scratch_path(spark, "observed"), status.ProgressListener("progress")
+    spark.streams.addListener(heard)
+    try:
+        seen = states(spark, sf).observe("progress", *status.progress_figures())
+        query = status.keep_changes(status.latest_status(seen), f"{out}/log", f"{out}/state")
+        query.awaitTermination()
+        until = time.time() + 60
+        while not heard.batches and time.time() < until:
+            time.sleep(0.05)  # listeners are told after the batch
+    finally:
+        spark.streams.removeListener(heard)
+    return spark.createDataFrame([heard.totals()], "total bigint, success_count bigint, failure_count bigint, percentage double")
+
+
 @query("latest_status", S.with_(STATES) + "SELECT file_id, arg_max(state, seq) AS state, max(ts) AS ts FROM states GROUP BY file_id")
 def _(spark, sf):
     return status.latest_status(states(spark, sf, streaming=False)).select("file_id", "state", "ts")

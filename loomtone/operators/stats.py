@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def batch_stats(results: DataFrame, by_type: bool = False) -> DataFrame:
-    """Totals of a batch from ``(loop_type, status)`` rows; ``by_type`` adds one row per loop type to the grand total.
+def batch_figures() -> list[Column]:
+    """The totals of a batch as aggregates over ``(loop_type, status)`` rows.
 
     Status ``OK`` is converted, ``SKIPPED`` skipped, anything else an error; audio and midi count converted files.
     """
     ok = F.col("status") == "OK"
     skipped = F.col("status") == "SKIPPED"
-    figures = [
+    return [
         F.count("*").alias("total"),
         F.count_if(ok).alias("converted"),
         F.count_if(skipped).alias("skipped"),
@@ -21,7 +21,30 @@ def batch_stats(results: DataFrame, by_type: bool = False) -> DataFrame:
         F.count_if(ok & (F.col("loop_type") == "audio")).alias("audio"),
         F.count_if(ok & (F.col("loop_type") == "midi")).alias("midi"),
     ]
-    return results.rollup("loop_type").agg(*figures) if by_type else results.agg(*figures)
+
+
+def decode_figures() -> list[Column]:
+    """Files read, decoded and failed, as aggregates over the ``error`` column."""
+    return [
+        F.count("*").alias("total_files"),
+        F.count_if(F.col("error").isNull()).alias("successful"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    ]
+
+
+def observed(df: DataFrame, figures: list[Column]) -> tuple[DataFrame, Observation]:
+    """``df``, and the figures that come about while it is written: no second pass, no second plan.
+
+    Observe the last stage of a plan, after its last shuffle: tasks of that stage count once however often they are repeated, those of earlier
+    ones may count twice when an executor is lost.
+    """
+    seen = Observation()
+    return df.observe(seen, *figures), seen
+
+
+def batch_stats(results: DataFrame, by_type: bool = False) -> DataFrame:
+    """Totals of a batch, see :func:`batch_figures`; ``by_type`` adds one row per loop type to the grand total."""
+    return results.rollup("loop_type").agg(*batch_figures()) if by_type else results.agg(*batch_figures())
 
 
 def scan_counts(files: DataFrame) -> DataFrame:
@@ -31,11 +54,7 @@ def scan_counts(files: DataFrame) -> DataFrame:
 
 def decode_summary(decoded: DataFrame) -> DataFrame:
     """Files read, decoded and failed, from the ``error`` column."""
-    return decoded.agg(
-        F.count("*").alias("total_files"),
-        F.count_if(F.col("error").isNull()).alias("successful"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"),
-    )
+    return decoded.agg(*decode_figures())
 
 
 def run_result(events: DataFrame) -> DataFrame:

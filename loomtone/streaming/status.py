@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def latest_status(events: DataFrame, key: str = "file_id") -> DataFrame:
@@ -13,15 +13,49 @@ def latest_status(events: DataFrame, key: str = "file_id") -> DataFrame:
     return events.groupBy(key).agg(newest.alias("s")).select(key, "s.state", "s.error", "s.ts")
 
 
-def running_progress(events: DataFrame) -> DataFrame:
-    """Files finished and failed so far, and the share of starts that have finished."""
+def progress_figures() -> list[Column]:
+    """Starts, finished and failed files as aggregates over status events."""
     started = F.count_if(F.col("state") == "queued")
     done, failed = F.count_if(F.col("state") == "completed"), F.count_if(F.col("state") == "failed")
-    counts = events.agg(started.alias("total"), done.alias("success_count"), failed.alias("failure_count"))
+    return [started.alias("total"), done.alias("success_count"), failed.alias("failure_count")]
+
+
+def running_progress(events: DataFrame) -> DataFrame:
+    """Files finished and failed so far, and the share of starts that have finished."""
+    counts = events.agg(*progress_figures())
     share = (F.col("success_count") + F.col("failure_count")) / F.nullif("total", F.lit(0))
     return counts.withColumn("percentage", F.coalesce(share, F.lit(0.0)))
 
 
+class ProgressListener(StreamingQueryListener):
+    """Adds up what the micro-batches of observed streams have counted, without a query or state of its own.
+
+    Use with ``events.observe(name, *progress_figures())`` in any stream over status events, and ``spark.streams.addListener``. A batch that is told
+    again, or repeated after a restart with the same checkpoint, counts once.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress
+        row = told.observedMetrics.get(self.name)
+        if row is not None and told.numInputRows:
+            self.batches[str(told.id), told.batchId] = row.asDict()
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def totals(self) -> dict:
+        """The sums so far, and the share of starts that have finished."""
+        names = ("total", "success_count", "failure_count")
+        sums = {n: sum(b[n] for b in self.batches.values()) for n in names}
+        return sums | {"percentage": (sums["success_count"] + sums["failure_count"]) / sums["total"] if sums["total"] else 0.0}
+
+
 def keep_changes(df: DataFrame, out: str, checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:
     """Write each batch's changed rows to its own ``batch=`` folder; only what changed is written, and a repeated batch
     overwrites itself."""
