@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 
 from loomtone import dims
 from loomtone.functions import text as X
-from loomtone.functions.rows import let, struct_rows, value_rows
+from loomtone.functions.automaton import find_keywords
 from loomtone.operators.blocked import numbered
-from loomtone.workspace import broadcast_if_small, small
-
-GRAM = 5
-SLOTS = 1 << 20
-TEXT_BLOCK = 128
-SALTS = 16
+from loomtone.workspace import broadcast_if_small
 
 
 def folder_and_name(stem: str, path: str) -> Column:
@@ -149,53 +144,9 @@ def rank_keywords(dictionary: DataFrame, out: str = "rank") -> DataFrame:
     return numbered(ordered, "_order", out, "_total").drop("_order", "_total")
 
 
-def _gram_slots(grams: DataFrame, many: int) -> bytes:
-    """One byte per slot of a hash table, 1 where one of about ``many`` grams falls; eight slots or more for each up to ``SLOTS``.
-
-    A fuller table lets more positions through to the join, never fewer.
-    """
-    size = 1 << min(max(8, (8 * many).bit_length()), SLOTS.bit_length() - 1)
-    taken = grams.select(F.pmod(F.xxhash64("_gram"), F.lit(size)).cast("int")).distinct()
-    slots = bytearray(size)
-    for (slot,) in taken.collect():
-        slots[slot] = 1
-    return bytes(slots)
-
-
-def _occurrences(texts: DataFrame, keys: list[str], text: str, dictionary: DataFrame, spread: bool) -> DataFrame:
-    """``(keys, keyword...)`` of every dictionary keyword contained in a text, exactly, without pairing all with all.
-
-    Each text is cut into overlapping blocks. Inside a block's array, positions whose leading grams fall into no slot of the dictionary go
-    first; what is left becomes rows, meets the keywords that begin with its gram in an equi-join, and the rest of the keyword is compared.
-    A dictionary of bounded bytes is broadcast; else grams are salted, so that a frequent one is spread over several tasks.
-    """
-    words = dictionary.where(F.length("keyword") > 0).withColumn("_gram", F.substring("keyword", 1, GRAM))
-    facts = words.agg(F.max(F.length("keyword")), F.sort_array(F.collect_set(F.length("_gram"))), F.approx_count_distinct("_gram")).first()
-    longest, sizes = facts[0] or 0, facts[1]
-    least = sizes[0] if sizes else 1
-    leads = words.select(F.explode(F.array("_gram", F.substring("_gram", 1, least))).alias("_gram")).distinct()
-    slots = _gram_slots(leads, 2 * facts[2])
-    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(TEXT_BLOCK)).cast("int"))
-    parts = F.transform(cuts, lambda b: F.substring(F.col(text), b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK + longest)))
-    blocks = value_rows(texts, keys, parts, "_part").filter(F.length("_part") > 0)
-    if spread:
-        blocks = blocks.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_part")
-    starts = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(TEXT_BLOCK)))
-    taken = lambda g: F.substring(F.lit(slots), F.pmod(F.xxhash64(g), F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    likely = F.filter(starts, lambda i: taken(F.substring("_part", i, F.lit(least))))
-    tails = lambda places, n: F.transform(places, lambda i: F.struct(
-        F.substring("_part", i, F.lit(n)).alias("_gram"), F.substring("_part", i, F.lit(longest)).alias("_tail")))
-    found = let(likely, lambda l: F.concat(*[F.filter(tails(l, n), lambda t: taken(t["_gram"])) if n > least else tails(l, n) for n in sizes or [1]]))
-    grams = struct_rows(blocks, keys, found, "_gram")
-    on = ["_gram"]
-    if small(words):
-        words = F.broadcast(words)
-    else:
-        on = ["_gram", "_salt"]
-        words = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        grams = grams.withColumn("_salt", F.pmod(F.xxhash64(*keys, "_tail"), F.lit(SALTS)).cast("int"))
-    hit = grams.join(words, on).filter(F.startswith("_tail", F.col("keyword")))
-    return hit.drop("_gram", "_salt", "_tail")
+def _spread(texts: DataFrame, spread: bool) -> DataFrame:
+    """Texts dealt evenly over the tasks, repeated ones too."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if spread else texts
 
 
 def dictionary_longest(
@@ -204,13 +155,14 @@ def dictionary_longest(
     """Add the values of the longest keyword of a dictionary table contained in ``text``; null where none is, and for a null text.
 
     ``dictionary``: ``keyword``, ``position`` (breaks ties between equal lengths) and the value columns; null and empty keywords match
-    nothing. Columns of ``texts`` that are called like a value are replaced. The way is the same for dictionaries of any size. ``spread``
-    deals blocks of texts over the tasks; switch it off for texts that already come in many even partitions.
+    nothing. Columns of ``texts`` that are called like a value are replaced. The way is the same for dictionaries of any size: each shard's automaton
+    tells one keyword per text, and the best of these is joined back. ``spread`` deals texts over the tasks; switch it off for texts that already
+    come in many even partitions.
     """
     kept = texts.drop(*values)
     order = F.struct(-F.length("keyword"), F.col("position"), F.col("keyword"))
-    marked = texts.select(F.col(text).alias("_text"), F.md5(text).alias("_mark"))
-    best = _occurrences(marked, ["_mark"], "_text", dictionary.select("keyword", "position", F.struct(*values).alias("_values")), spread)
+    marked = _spread(texts.select(F.col(text).alias("_text"), F.md5(text).alias("_mark")), spread)
+    best = find_keywords(marked, ["_mark"], "_text", dictionary.select("keyword", "position", F.struct(*values).alias("_values")), best=True)
     best = best.groupBy("_mark").agg(F.min_by("_values", order).alias("_values"))
     return kept.withColumn("_mark", F.md5(text)).join(best, "_mark", "left").select(
         *kept.columns, *[F.col("_values")[v].alias(v) for v in values])
@@ -218,6 +170,6 @@ def dictionary_longest(
 
 def dictionary_all(texts: DataFrame, key: str, text: str, dictionary: DataFrame, value: str, spread: bool = True) -> DataFrame:
     """Long ``(key, value)``: every distinct value whose keyword is contained in a text of that key; null and empty keywords match nothing."""
-    marked = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    hit = _occurrences(marked, ["_key"], "_text", dictionary.select("keyword", F.col(value).alias("_value")), spread)
+    marked = _spread(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), spread)
+    hit = find_keywords(marked, ["_key"], "_text", dictionary.select("keyword", F.col(value).alias("_value")))
     return hit.select(F.col("_key").alias(key), F.col("_value").alias(value)).distinct()

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtone import dims
+from loomtone.functions import automaton
 from loomtone.functions import text as X
-from loomtone import workspace as W
 from loomtone.operators import lookup as L
 from loomtone.sources.files import name_glob, parse_extensions, path_parts
 
@@ -54,13 +54,12 @@ def test_programs_decide_only_without_a_name(spark):
     assert [r[0] for r in rows] == ["Drums", "Bass", "Other Instrument", "Other Instrument"]
 
 
-@pytest.mark.parametrize("gram, rows", [(1, 200_000), (2, 0), (4, 200_000)])
-def test_dictionary_join_equals_brute_force(spark, monkeypatch, gram, rows):
-    words = ["a", "ab", "abc", "bca", "cab", "aaaa", "bcabc", "abcabcabcabc", "xyz", "c a", "\u00e9t\u00e9"]
-    texts = {i: t for i, t in enumerate(["", "a", "abcabcabcabcabc" * 9, "xxaaaabx", "b c a b", "cabcabc", "zzz", "xy" + "z" * 40, "\u00e9t\u00e9t\u00e9"])}
-    monkeypatch.setattr(L, "GRAM", gram)
-    monkeypatch.setattr(L, "TEXT_BLOCK", 7)
-    monkeypatch.setattr(L, "small", lambda df: W.small(df, rows))
+@pytest.mark.parametrize("shard, block", [(1, 1), (60, 50), (1 << 20, 1 << 20)])
+def test_dictionary_search_equals_brute_force(spark, monkeypatch, shard, block):
+    words = ["a", "ab", "abc", "bca", "cab", "aaaa", "bcabc", "abcabcabcabc", "xyz", "c a", "\u00e9t\u00e9", "\U0001f3b9\u00e9"]
+    texts = {i: t for i, t in enumerate(["", "a", "abcabcabcabcabc" * 9, "xxaaaabx", "b c a b", "cabcabc", "zzz", "xy" + "z" * 40, "\u00e9t\u00e9t\u00e9", "\U0001f3b9\u00e9"])}
+    monkeypatch.setattr(automaton, "SHARD_BYTES", shard)
+    monkeypatch.setattr(automaton, "TEXT_BYTES", block)
     dictionary = spark.createDataFrame([(w, i, w.upper()) for i, w in enumerate(words)], "keyword string, position int, v string")
     df = spark.createDataFrame(list(texts.items()), "id int, t string")
     best = {r["id"]: r["v"] for r in L.dictionary_longest(df, "t", dictionary, ["v"]).collect()}
@@ -70,6 +69,30 @@ def test_dictionary_join_equals_brute_force(spark, monkeypatch, gram, rows):
     assert every == {(i, w.upper()) for i, t in texts.items() for w in words if w in t}
 
 
+def test_keywords_with_several_rows_and_ties(spark, monkeypatch):
+    rows = [("pad", 2, "b"), ("pad", 1, "a"), ("pad", None, "n"), ("bad", 0, "z"), ("pad", 1, "a"), ("lead", 5, "l")]
+    dictionary = spark.createDataFrame(rows, "keyword string, position int, v string")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a pad bad", "bad", "pad lead", None])], "id int, t string")
+    for shard in (1, 1 << 20):
+        monkeypatch.setattr(automaton, "SHARD_BYTES", shard)
+        assert {r["id"]: r["v"] for r in L.dictionary_longest(df, "t", dictionary, ["v"]).collect()} == {0: "n", 1: "z", 2: "l", 3: None}
+        every = sorted((r["id"], r["v"]) for r in L.dictionary_all(df, "id", "t", dictionary, "v").collect())
+        assert every == [(0, "a"), (0, "b"), (0, "n"), (0, "z"), (1, "z"), (2, "a"), (2, "b"), (2, "l"), (2, "n")]
+
+
+def test_many_shards_of_a_large_dictionary(spark, monkeypatch):
+    """Text positions do not become rows: what leaves the tasks is at most one row per text and shard."""
+    monkeypatch.setattr(automaton, "SHARD_BYTES", 1 << 20)
+    dictionary = spark.range(100_000).selectExpr("concat('k', hex(id * 7919 % 1000003), '.') AS keyword", "id AS position", "id AS v")
+    df = spark.range(200).selectExpr("id", "concat('text k', hex((id * 37) * 7919 % 1000003), '. and more k k k k1 ', repeat('k.', 300)) AS t")
+    shards = len(automaton.write_shards(dictionary))
+    assert shards > 4
+    out = L.dictionary_longest(df, "t", dictionary, ["v"])
+    assert {r["id"]: r["v"] for r in out.collect()} == {k: 37 * k for k in range(200)}
+    hits = automaton.find_keywords(df, ["id"], "t", dictionary, best=True)
+    assert 200 <= hits.count() <= 200 * shards
+
+
 def test_dictionaries_of_any_size_answer_alike(spark):
     """Same columns, types and rows for 3 and for 10,000 keywords, with null keys, repeated keys and empty texts and keywords."""
     base = [("pad", 0, 7), ("padded", 1, 8), ("ape", 2, 9), ("", 3, 1), (None, 4, 2)]
