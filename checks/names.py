@@ -11,6 +11,7 @@ from loomtone.functions import display as D
 from loomtone.functions import numbers as N
 from loomtone.functions import text as X
 from loomtone.operators import lookup as L
+from loomtone.operators import postings as P
 from loomtone.operators import quality as Q
 from loomtone.operators import reports as R
 from loomtone.operators import resolve as V
@@ -695,6 +696,39 @@ def _(spark, sf):
     return T.genre_index(catalog(spark, sf), "id")
 
 
+def _postings(spark, sf):
+    words = F.filter(F.split("descriptors", ","), lambda d: d != "")
+    numbered = catalog(spark, sf).withColumns({"number": F.col("id") + 1, "descriptors": words})
+    return P.tag_postings(numbered, "number", ["genre", "category", "descriptors"])
+
+
+WORDS = "list_filter(string_split(descriptors, ','), lambda d: d <> '')"
+
+@query("tag_postings", WITH_CATALOG + f"""SELECT 'genre' AS tag, genre AS value, count(*) AS files FROM catalog GROUP BY genre
+    UNION ALL SELECT 'category', category, count(*) FROM catalog GROUP BY category
+    UNION ALL SELECT 'descriptors', v, count(*) FROM (SELECT unnest({WORDS}) AS v FROM catalog) GROUP BY v""")
+def _(spark, sf):
+    return P.file_count(_postings(spark, sf), "tag", "value")
+
+
+@query("tag_members", WITH_CATALOG + "SELECT genre, id FROM catalog")
+def _(spark, sf):
+    genres = _postings(spark, sf).where("tag = 'genre'")
+    return P.members(genres, "value").select(F.col("value").alias("genre"), (F.col("number") - 1).alias("id"))
+
+
+@query("tag_matching", WITH_CATALOG + f"""SELECT id FROM catalog WHERE genre IN ('Jazz', 'Other Genre') AND category = 'Drums' AND list_contains({WORDS}, 'Dark')""")
+def _(spark, sf):
+    found = P.matching(_postings(spark, sf), ("genre", ["Jazz", "Other Genre"]), ("category", ["Drums"]), ("descriptors", ["Dark"]))
+    return P.members(found).select((F.col("number") - 1).alias("id"))
+
+
+@query("tag_facets", WITH_CATALOG + """SELECT category AS value, count(*) AS files FROM catalog WHERE genre IN ('Jazz', 'World/Ethnic') GROUP BY category""")
+def _(spark, sf):
+    lists = _postings(spark, sf)
+    return P.facet_counts(lists, "category", P.matching(lists, ("genre", ["Jazz", "World/Ethnic"])))
+
+
 STATUS = "CASE WHEN id % 7 = 3 THEN 'FAILED' ELSE 'OK' END"
 
 
