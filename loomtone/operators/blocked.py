@@ -15,6 +15,8 @@ from loomtone.functions.rows import value_rows
 
 BLOCK = 65_536
 SALTS = 16
+#: Rows of one key beyond which a join deals them to several tasks.
+HOT_ROWS = 2_000_000
 
 
 def with_block(df: DataFrame, order: str, size: int = BLOCK) -> DataFrame:
@@ -83,15 +85,19 @@ def with_halo(df: DataFrame, order: str, before: int, after: int, size: int = BL
     return spread.withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", hot: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Join rows of any number per ``key`` to a side with one row per key.
 
-    Rows are salted by the ``spread`` column and the unique side is repeated per salt, so a key with very many rows is
-    joined by several tasks.
+    Rows are counted by key first. Only keys of more than ``hot`` rows are salted, by the ``spread`` column, and only their rows of the unique side are
+    repeated per salt; all others meet in a plain join. There is at most one such key per ``hot`` rows, so the list of them is broadcast.
+    ``counted``: rows to count in place of ``rows``, cheaper ones with at least as many per key.
     """
-    salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return placed_rows.join(salted, [key, "_salt"], how).drop("_salt")
+    busy = F.broadcast((rows if counted is None else counted).groupBy(key).count().where(F.col("count") > hot).select(F.col(key).alias("_hot")))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    placed = rows.join(busy, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    repeated = unique.join(busy, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return placed.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def explode_count(df: DataFrame, count: Column, out: str, size: int = BLOCK) -> DataFrame:

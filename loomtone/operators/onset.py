@@ -16,6 +16,7 @@ from loomtone.operators.blocked import join_unique, last_seen, with_halo
 
 SPACING_BLOCK = 8_192
 SEGMENT_BLOCKS = 4_096
+TRACE_STEPS = 64
 
 
 @dataclass(frozen=True)
@@ -62,18 +63,30 @@ def onset_peaks(strength: DataFrame, rule: OnsetRule, key: str = "series_id", va
     return flagged.filter("_peak AND NOT _halo").select(key, "hop")
 
 
+def _trace(items, last, each):
+    """What ``each(last, item)``, a ``struct<last, told array>``, tells of all items in order, one item's ``last`` handed on to the next.
+
+    An array that grows is copied at every step; so items are taken in groups of ``TRACE_STEPS``, and only short arrays grow.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def group(part, entered):
+        start = F.struct(entered.cast("bigint").alias("last"), none.alias("told"))
+        return F.aggregate(part, start, lambda s, item: let(
+            each(s["last"], item), lambda r: F.struct(r["last"].alias("last"), F.concat(s["told"], r["told"]).alias("told"))))
+
+    groups = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / F.lit(TRACE_STEPS)).cast("int"))
+    parts = F.transform(groups, lambda k: F.slice(items, k * TRACE_STEPS + 1, F.lit(TRACE_STEPS)))
+    start = F.struct(last.cast("bigint").alias("last"), F.array().cast("array<array<bigint>>").alias("told"))
+    return F.flatten(F.aggregate(parts, start, lambda s, part: let(
+        group(part, s["last"]), lambda r: F.struct(r["last"].alias("last"), F.concat(s["told"], F.array(r["told"])).alias("told"))))["told"])
+
+
 def _fold(hops, last, wait: int):
     """Hops kept greedily from a sorted array when the previously kept hop is ``last`` (null: none)."""
-    kept = F.array().cast("array<bigint>")
-    start = F.struct(last.cast("bigint").alias("last"), kept.alias("kept"))
-    return F.aggregate(
-        hops,
-        start,
-        lambda s, h: F.when(
-            s["last"].isNull() | (h > s["last"] + wait),
-            F.struct(h.alias("last"), F.concat(s["kept"], F.array(h)).alias("kept")),
-        ).otherwise(s),
-    )
+    none = F.array().cast("array<bigint>")
+    return _trace(hops, last, lambda kept, h: F.when(
+        kept.isNull() | (h > kept + wait), F.struct(h.alias("last"), F.array(h).alias("told"))).otherwise(F.struct(kept.alias("last"), none.alias("told"))))
 
 
 def _last_kept(hops, last, wait: int):
@@ -91,12 +104,8 @@ def _handed_on(last, edge, wait: int):
 
 def _walk(edges, last, wait: int):
     """The last kept hop after each of the sorted edges, entered with ``last``."""
-    start = F.struct(last.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
-
-    def step(s, edge):
-        return let(_handed_on(s["last"], edge, wait), lambda h: F.struct(h.alias("last"), F.concat(s["all"], F.array(h)).alias("all")))
-
-    return F.aggregate(edges, start, step)["all"]
+    return _trace(edges, last, lambda before, edge: let(
+        _handed_on(before, edge, wait), lambda h: F.struct(h.alias("last"), F.array(h).alias("told"))))
 
 
 def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame:
@@ -145,7 +154,7 @@ def onset_wait(peaks: DataFrame, wait: int, key: str = "series_id") -> DataFrame
     )
     handed = struct_rows(segments.join(entries, [key, "_start"]), [key], entry, "_start")
     done = blocks.join(handed, [key, "_start"], "left")
-    return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait)["kept"], "hop")
+    return value_rows(done, [key], _fold(F.col("_hops"), F.col("_entry"), wait), "hop")
 
 
 def onset_backtrack(onsets: DataFrame, energy: DataFrame, key: str = "series_id") -> DataFrame:
@@ -163,7 +172,7 @@ def onset_backtrack(onsets: DataFrame, energy: DataFrame, key: str = "series_id"
     marked = marked.filter("_low OR _onset")
     first = energy.groupBy(key).agg(F.min("hop").alias("_first"))
     back = last_seen(marked, [key], "hop", F.when(F.col("_low"), F.col("hop")), "_min", current=True)
-    found = join_unique(back.filter("_onset"), first, key, "hop")
+    found = join_unique(back.filter("_onset"), first, key, "hop", counted=energy)
     return found.select(key, "hop", F.coalesce("_min", "_first").alias("start_hop"))
 
 

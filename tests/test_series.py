@@ -102,3 +102,24 @@ def test_row_progress_numbers_every_file(spark):
     df = spark.createDataFrame([(p,) for p in paths + paths[:10]], "path string")
     got = {r["path"]: r["position"] for r in row_progress(df).collect()}
     assert got == {p: i + 1 for i, p in enumerate(sorted(set(paths)))}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("hot", [0, 50, 10**6])
+def test_join_unique_with_hot_keys(spark, how, hot):
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 40)) AS key", "id AS pos")
+    unique = spark.createDataFrame([("hot", 1), *((f"k{k}", k) for k in range(0, 40, 2))], "key string, v int")
+    got = blocked.join_unique(rows, unique, "key", "pos", how, hot)
+    want = rows.join(unique, "key", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_long_runs_of_onsets_in_one_block(spark):
+    hops = list(range(0, 3000, 2)) + [7001, 7004, 8191]
+    df = spark.createDataFrame([(1, h) for h in hops], "series_id int, hop bigint")
+    want, last = [], None
+    for h in hops:
+        if last is None or h > last + 3:
+            want.append(h)
+            last = h
+    assert sorted(r.hop for r in onset.onset_wait(df, 3).collect()) == want
