@@ -400,20 +400,37 @@ def _(spark, sf):
 # ---- MIDI -----------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "midi_events",
-    S.with_(S.KEYS, MIDI_FILES) + """SELECT id, CAST(track AS INTEGER) AS track, kind, CAST(channel AS INTEGER) AS channel, CAST(a AS BIGINT) AS a,
-      CAST(b AS BIGINT) AS b, count(*) AS events, CAST(sum(delta) AS BIGINT) AS ticks FROM (
-        SELECT id, 1 AS track, 'note_on' AS kind, 3 AS channel, 60 AS a, unnest([64, 0]) AS b, unnest([0, ticks // notes]) AS delta
-          FROM midi_files, range(notes)
-        UNION ALL SELECT id, 1, 'program_change', 3, program, NULL, 0 FROM midi_files
-        UNION ALL SELECT id, 0, 'set_tempo', NULL, tempo_us, 0, 0 FROM midi_files
-        UNION ALL SELECT id, 0, 'time_signature', NULL, ts_num, 2, 0 FROM midi_files
-      ) GROUP BY ALL""",
-)
+ALL_EVENTS = """all_events AS (
+  SELECT id, -1 AS track, 0 AS ord, 0 AS delta, 'header' AS kind, NULL AS channel, 2 AS a, CASE WHEN id % 10 = 0 THEN 59176 ELSE tpb END AS b FROM midi_files
+  UNION ALL SELECT id, 0, 0, 0, 'set_tempo', NULL, tempo_us, 0 FROM midi_files
+  UNION ALL SELECT id, 0, 1, 0, 'time_signature', NULL, ts_num, 2 FROM midi_files
+  UNION ALL SELECT id, 0, 2, 0, 'key_signature', NULL, sf, mi FROM midi_files
+  UNION ALL SELECT id, 0, 3, 0, 'meta', NULL, 47, 0 FROM midi_files
+  UNION ALL SELECT id, 1, 0, 0, 'program_change', 3, program, NULL FROM midi_files
+  UNION ALL SELECT id, 1, 2 * i + 1, 0, 'note_on', 3, 60, 64 FROM midi_files, unnest(range(notes)) t(i)
+  UNION ALL SELECT id, 1, 2 * i + 2, ticks // notes, 'note_on', 3, 60, 0 FROM midi_files, unnest(range(notes)) t(i)
+  UNION ALL SELECT id, 1, 2 * notes + 1, 0, 'meta', NULL, 47, 0 FROM midi_files)"""
+EVENT_COLUMNS = """SELECT id, CAST(track AS INTEGER) AS track, CAST(ord AS BIGINT) AS ord, CAST(delta AS BIGINT) AS delta, kind, CAST(channel AS INTEGER) AS channel,
+  CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM all_events"""
+
+
+@query("midi_events", S.with_(S.KEYS, MIDI_FILES, ALL_EVENTS) + EVENT_COLUMNS)
+def _(spark, sf):
+    return midi.midi_events(midi_blob(spark, sf), "id")
+
+
+@query("midi_events_table", S.with_(S.KEYS, MIDI_FILES, ALL_EVENTS) + EVENT_COLUMNS)
+def _(spark, sf):
+    """The same rows from SQL, batch by batch."""
+    midi.register_midi_events(spark, "bigint")
+    return spark.sql("SELECT file AS id, * EXCEPT (file) FROM midi_events(TABLE(SELECT id, content FROM {files}))", files=midi_blob(spark, sf))
+
+
+@query("midi_events_lateral", S.with_(S.KEYS, MIDI_FILES, ALL_EVENTS) + EVENT_COLUMNS)
 def _(spark, sf):
-    shown = midi.midi_events(midi_blob(spark, sf), "id").filter("kind IN ('note_on', 'program_change', 'set_tempo', 'time_signature')")
-    return shown.groupBy("id", "track", "kind", "channel", "a", "b").agg(F.count("*").alias("events"), F.sum("delta").alias("ticks"))
+    """The same rows from SQL, file by file."""
+    midi.register_midi_events(spark, "bigint")
+    return spark.sql("SELECT f.id, e.* FROM {files} f, LATERAL midi_events_of(f.content) e", files=midi_blob(spark, sf))
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FLUSH_ROWS = 20_000
@@ -103,10 +104,56 @@ def file_events(data: bytes) -> Iterator[tuple]:
         pos = end
 
 
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+
+
+class MidiEvents:
+    """Event rows of a table of ``(key, content)``, a bounded number at a time."""
+
+    def eval(self, files: pa.RecordBatch) -> Iterator[pa.Table]:
+        keys, rows = [], []
+        for key, data in zip(files.column(0), files.column(1)):
+            for event in file_events(data.as_py() or b""):
+                keys.append(key.as_py())
+                rows.append(event)
+                if len(rows) >= FLUSH_ROWS:
+                    yield self.pack(files, keys, rows)
+                    keys, rows = [], []
+        if rows:
+            yield self.pack(files, keys, rows)
+
+    @staticmethod
+    def pack(files: pa.RecordBatch, keys: list, rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(keys, files.schema.field(0).type), *_columns(rows)], names=["file", *(f.name for f in FIELDS)])
+
+
+class FileEvents:
+    """Event rows of one file's bytes."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        yield from file_events(content or b"")
+
+
+def register_midi_events(spark: SparkSession, key_type: str = "string", prefix: str = "midi_events") -> None:
+    """Make the event rows available to SQL, with the columns ``track, ord, delta, kind, channel, a, b``.
+
+    ``SELECT * FROM midi_events(TABLE(SELECT path, content FROM files))`` takes whole batches and tells the first column, of ``key_type``, as ``file``;
+    ``SELECT f.path, e.* FROM files f, LATERAL midi_events_of(f.content) e`` goes row by row, since Arrow table functions cannot stand in a lateral join. Bytes that
+    are null or no MIDI give no row.
+    """
+    fields = T.StructType(FIELDS)
+    with_key = T.StructType([T.StructField("file", T.DataType.fromDDL(key_type)), *FIELDS])
+    spark.udtf.register(prefix, F.arrow_udtf(MidiEvents, returnType=with_key))
+    spark.udtf.register(f"{prefix}_of", F.udtf(FileEvents, returnType=fields))
+
+
 def midi_events(df: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
     """Long table ``(key, track, ord, delta, kind, channel, a, b)`` of MIDI bytes; one bounded batch at a time."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *FIELDS])
-    names = [f.name for f in FIELDS]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +170,7 @@ def midi_events(df: DataFrame, key: str = "file_id", content: str = "content") -
             if rows:
                 yield pack(ids, rows, arrow_key)
 
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-
     def pack(ids: list, rows: list, key_type: pa.DataType) -> pa.RecordBatch:
-        columns = [pa.array(ids, key_type)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        return pa.RecordBatch.from_arrays(columns, names=[key, *names])
+        return pa.RecordBatch.from_arrays([pa.array(ids, key_type), *_columns(rows)], names=[key, *(f.name for f in FIELDS)])
 
     return df.select(key, content).mapInArrow(split, schema)

@@ -72,3 +72,18 @@ def test_running_ticks_do_not_depend_on_block_size(spark):
     for size in (1, 7, 64, 10_000):
         got = running_sum(df, ["file_id", "track"], "ord", "delta", "tick", size)
         assert {(r[0], r[1], r[2]): r["tick"] for r in got.collect()} == want
+
+
+def test_events_from_sql(spark):
+    midi.register_midi_events(spark, prefix="events")
+    track = b"MTrk" + (8).to_bytes(4, "big") + bytes.fromhex("00903C40 00FF2F00")
+    whole = b"MThd" + bytes.fromhex("00000006 0000 0001 0060") + track
+    long = b"MThd" + bytes.fromhex("00000006 0000 0001 0060") + b"MTrk" + (4 * 50_000).to_bytes(4, "big") + bytes.fromhex("00903C40") * 50_000
+    spark.createDataFrame([("a", whole), ("b", None), ("c", b"no MIDI"), ("d", long)], "path string, content binary").createOrReplaceTempView("midi_texts")
+    got = spark.sql("SELECT path, e.* FROM midi_texts f, LATERAL events_of(f.content) e")
+    counts = {r.path: (r.n, r.k) for r in got.groupBy("path").agg({"ord": "count", "kind": "max"}).toDF("path", "n", "k").collect()}
+    assert counts == {"a": (3, "note_on"), "d": (50_001, "note_on")}
+    same = midi.midi_events(spark.table("midi_texts"), "path")
+    assert sorted(map(str, got.collect())) == sorted(map(str, same.collect()))
+    table = spark.sql("SELECT file AS path, * EXCEPT (file) FROM events(TABLE(SELECT path, content FROM midi_texts))")
+    assert table.columns == same.columns and sorted(map(str, table.collect())) == sorted(map(str, same.collect()))
