@@ -10,7 +10,7 @@ from checks import sqltext as S
 from checks.names import META, WITH_CATALOG, catalog
 from checks.loops import AIFF_CHUNKS, CAF_CHUNKS, MIDI_FILES, RECORDS, TEMPO, mixed_files
 from checks.views import KNOWN_LOOPS, TREE, TREE_PATH, library_tree, table
-from loomtone.operators import sinks
+from loomtone.operators import sinks, upsert
 from loomtone.operators.stats import batch_stats
 from loomtone.plans.convert import convert_library, convert_run
 from loomtone.plans.decode import decode_files, decode_library
@@ -238,6 +238,20 @@ def _(spark, sf):
     return spark.read.parquet(out).filter("loop_type = 'audio' AND category <> 'Drums'").select(*META.split(", "))
 
 
+MERGED = """changed AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN 'Moved' ELSE category END AS category, tempo + 1 AS tempo) FROM catalog WHERE id % 3 = 0),
+  merged AS (SELECT * FROM changed WHERE id % 5 <> 0 UNION ALL SELECT * FROM catalog WHERE id % 4 <> 0 AND id % 3 <> 0)"""
+
+
+@query("upsert_catalog", WITH_CATALOG.rstrip() + ", " + MERGED + f" SELECT {META} FROM merged")
+def _(spark, sf):
+    """Two runs: the second has new, changed, moved and removed files."""
+    out, rows = scratch_path(spark, "upsert"), catalog(spark, sf).select(*META.split(", "))
+    upsert.upsert_catalog(rows.where("id % 4 <> 0"), out, "id")
+    moved = rows.where("id % 3 = 0").withColumns({"category": F.when(F.col("id") % 2 == 0, "Moved").otherwise(F.col("category")), "tempo": F.col("tempo") + 1})
+    upsert.upsert_catalog(moved, out, "id", removed=F.col("id") % 5 == 0)
+    return upsert.read_catalog(spark, out).select(*META.split(", "))
+
+
 # ---- streams over the event table -----------------------------------------------------------------------------------
 
 STATES = """states AS (SELECT user_id AS file_id, ts, event_id AS seq, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN
