@@ -157,9 +157,21 @@ def _(spark, sf):
     return caf(spark, sf).select("id", C.caf_pakt(C.last_payload(F.col("chunks"), "pakt", 24)).alias("p")).select("id", "p.*")
 
 
-@query("caf_info_kv", "SELECT o_orderkey AS id, CAST(0 AS INTEGER) AS pos, 'genre' AS key, 'Other Genre' AS value FROM orders")
-def _(spark, sf):
-    return struct_rows(caf(spark, sf), ["id"], C.caf_info_kv(F.col("chunks")), "pos")
+@query("caf_info_kv", WITH_LOOPS + """SELECT id, pos, key, value FROM (SELECT id, unnest([
+      {'pos': 0, 'key': 'genre', 'value': genre, 'declared': 1}, {'pos': 1, 'key': 'comments', 'value': 'take ' || id, 'declared': 2},
+      {'pos': 0, 'key': 'artist', 'value': category, 'declared': 0}], recursive := true) FROM known_loops) WHERE declared <= id % 4""")
+def _(spark, sf):
+    """Two info chunks per file: one declares none to three pairs and holds two, the other, after a chunk of another kind, holds one and a cut-off one."""
+    def info(count, *texts, cut=""):
+        body = F.concat(B.uint_hex(count, 4), *(F.concat(F.hex(F.encode(t, "UTF-8")), F.lit("00")) for t in texts), F.lit(cut))
+        return F.concat(F.lit("696E666F"), B.uint_hex(F.length(body) / 2, 8), body)
+
+    take = F.concat(F.lit("take "), F.col("id").cast("string"))
+    first = info(F.col("id") % 4, F.lit("genre"), F.col("genre"), F.lit("comments"), take)
+    second = info(F.lit(2), F.lit("artist"), F.col("category"), cut="6B6579")
+    content = F.unhex(F.concat(F.lit("6361666600010000"), first, F.lit("66726565000000000000000100"), second))
+    files = known_loops(spark, sf).select("id", content.alias("content"))
+    return struct_rows(files, ["id"], C.caf_info_kv(C.caf_chunks(F.col("content"))), "pos")
 
 
 @query(
