@@ -76,7 +76,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.drop_repeats(_loops(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["first"])
     return cut.select(F.col("file_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("repeated"))
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
