@@ -93,10 +93,10 @@ def test_damaged_midi_is_midi_and_fails(spark, tmp_path):
 def test_stream_takes_new_files_once(spark, tmp_path):
     root, out, state = (str(tmp_path / d) for d in ("lib", "out", "state"))
     _write(root, "a_100bpm.wav", b"RIFF")
-    ingest.stream_catalog(spark, root, out, state).awaitTermination()
+    ingest.stream_catalog(spark, root, out, state, source={"settle": 0.05}).awaitTermination()
     _write(root, "b_90bpm.wav", b"RIFF")
-    ingest.stream_catalog(spark, root, out, state).awaitTermination()
-    ingest.stream_catalog(spark, root, out, state).awaitTermination()
+    ingest.stream_catalog(spark, root, out, state, source={"settle": 0.05}).awaitTermination()
+    ingest.stream_catalog(spark, root, out, state, source={"settle": 0.05}).awaitTermination()
     assert sorted(r["tempo"] for r in spark.read.parquet(out).collect()) == [90, 100]
     assert "content" not in arrivals.read_arrivals(spark, root, state).columns
 
