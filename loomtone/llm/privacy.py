@@ -60,7 +60,8 @@ _SIGNS = re.compile(
     rf"|(?<={_NAME})\s{{1,4}}(?:{_AT})\s{{1,4}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{0,4}}{_OPEN}\s{{0,4}}(?:{_DOT}|\.)\s{{0,4}}{_SHUT}\s{{0,4}}|\s{{1,4}}(?:{_DOT})\s{{1,4}}|\.)[A-Za-z]))"
     rf"|(?P<dot>(?<={_NAME})\s{{0,4}}{_OPEN}\s{{0,4}}(?:{_DOT}|\.)\s{{0,4}}{_SHUT}\s{{0,4}}(?={_NAME})|(?<={_NAME})\s{{1,4}}(?:{_DOT})\s{{1,4}}(?={_NAME}))",
     re.IGNORECASE)
-_SIGN_HINTS = ("@", "[.", "(.", "{.", "<.", *(f"{word}{end}" for word in _DOT_WORDS + _AT_WORDS for end in (" ", "]", ")", "}", ">", "\n")))
+#: Where nothing of this stands, ``_SIGNS`` finds nothing: what each of its branches needs, without the surroundings.
+_SIGN_HINT = re.compile(rf"@|{_OPEN}\s{{0,4}}(?:{_AT}|\.)|\s(?:{_AT})\s|{_DOT}", re.IGNORECASE)
 _DIGIT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _TOKEN = rf"(?:{_DIGIT}|{'|'.join(_PLUS_WORDS)}|{_DOT}|\+?[0-9]+)"
 _SPELLED = re.compile(rf"(?<!\w)(?:{_TOKEN})(?:[\s.,-]{{1,3}}(?:{_TOKEN})){{3,}}(?!\w)", re.IGNORECASE)
@@ -178,8 +179,7 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     edits = _spelled(tape.text)
     if edits:
         tape, changed = tape.rewrite(edits), True
-    low = tape.text.lower()
-    if any(hint in low for hint in _SIGN_HINTS):
+    if _SIGN_HINT.search(tape.text):
         edits = [(m.start(), m.end(), "@" if m.lastgroup == "at" else ".") for m in _SIGNS.finditer(tape.text)]
         if edits:
             tape, changed = tape.rewrite(edits), True

@@ -55,6 +55,19 @@ def test_disguises_map_back_to_their_source(source, kind):
         assert [(text[a:b]) for a, _, b, _ in found] == [source]
 
 
+@pytest.mark.parametrize("source, kind", [
+    ("10 [ . ] 0 [ . ] 0 [ . ] 1", "ip"), ("jo\tat\tsite\tdot\tcom", "email"), ("jo (\tat\t) site ( . ) com", "email"), ("jo\u00a0at\u00a0site\u00a0dot\u00a0com", "email"),
+    ("jo {\n@ } site < . > com", "email"), ("10 dot\t0\u2003dot 0\tdot\t1", "ip")])
+def test_blanks_of_any_kind_inside_disguises(source, kind):
+    assert [(privacy.KINDS[k], source[a:b]) for a, k, b, _ in privacy.all_spans(source) if privacy.KINDS[k] == kind] == [(kind, source)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "1", "AT", "at", "dot", "Punkt", ".", "@", "(", "]", "<", "{", " ", "\t", "\n", "\u2003"]), max_size=14).map("".join))
+def test_the_hint_is_needed_by_every_sign(text):
+    assert privacy._SIGN_HINT.search(text) or not privacy._SIGNS.search(text)
+
+
 @pytest.mark.parametrize("text", ["Look at this. Dot com era", "one two three", "we met at noon dot", "five at a time. Then six", "the and attion at ounre dotted"])
 def test_prose_is_left_alone(text):
     assert privacy.all_spans(text) == []
