@@ -2,40 +2,43 @@
 
 The root restaurant serves words, over a uniform base of all words and one unknown. Every word of the training part, and the start of a text, has a restaurant
 of its own for the words that follow it; all share the root as parent, and after a word that training never saw the root speaks. Customers of a context
-restaurant are the training tokens. Its tables are the customers of the root.
+restaurant are the training tokens. Its tables are the customers of the root. There are these two levels; discount and strength are fixed, not sampled.
 
 Seating is kept per dish (a word in a restaurant): its customers and its tables. A Gibbs step takes all customers of a dish away and seats them again, one
 after the other, given everybody else: a new table with weight (strength + discount x tables) x parent probability, an old one with
 (customers - discount x tables). The sum of weights along the way corrects the proposal (a Metropolis step). Dishes with many customers are seated in blocks of at
-most 1/64 of those already there, at the weights of the block's start. A sweep is a Spark step: it seats the dishes of all contexts side by side, given the root and the
-restaurants' totals of the sweep before, then sums their tables by word into the root's customers and by context into totals, and seats the root.
-All three are written to the shared folder for the next sweep. Two simplifications: dishes of one sweep do not see each other, and a seating keeps
+most 1/64 of those already there, at the weights of the block's start. Two simplifications: dishes of one sweep do not see each other, and a seating keeps
 the weight it had in its own sweep. The root's dishes change customers with each sweep, so they are seated anew and corrected by one step.
 The probability of a word is averaged over the last ``SAMPLES`` sweeps.
 
-Words are told apart by 64-bit codes. (context, word) pairs of all texts are counted in Spark, whatever their number, and each occurrence is joined to its
-pair's row. A dish of one customer has one table, so sweeps carry the other dishes only, dealt by context and word. Frequent words and contexts, which would
-be hot keys, are joined by broadcast (``FREQUENT``, ``CONTEXTS``), all others by a shuffle: these bounds change the way of a row, never its result.
+Words are told apart by 64-bit codes. Contexts are dealt once, whole, to slots of about ``BUCKET_WORDS`` tokens, so a restaurant's totals are local; contexts
+of more than a quarter of a slot are cut by word over all slots, and their totals (at most four contexts a slot) are summed in Spark and sent along. Words are
+dealt to slots of their own. A sweep is two Spark steps that exchange packed rows: word slots sum the tables of their words, seat the root and answer with its
+customers and tables; context slots seat their dishes and send the tables on. Dishes of one customer have one table and take no part but in the sums.
+
+Scoring deals the tokens of all texts to the context slots, packed as (context, word) pairs with the reports they stand in, and adds up per report. Only pairs that
+stand twice or more, once of them in training, are looked up: any other pair has one customer if its report is of the training part, else none. A slot that one pair fills
+gets several tasks for its tokens. A slot holds its dishes and one packed row of tokens at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, word_hash, words
+from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, mix, word_hash, words
 from loomtone.llm.shared import fold, forget, keep
 
-#: Words, and contexts, whose rows are broadcast at most.
-FREQUENT = 131_072
-CONTEXTS = 131_072
-#: Dishes that one task seats, about.
-BUCKET_WORDS = 100_000
+#: Tokens that one slot of contexts holds, about.
+BUCKET_WORDS = 4_000_000
+#: Tokens that a task packs at once, about.
+PACKED_WORDS = 2_000_000
 DISCOUNT = 0.75
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 3
@@ -82,9 +85,9 @@ def _tokens(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return (text, *words(text, at, BLANK_WORDS))
 
 
-def _steps(batch: pa.RecordBatch):
+def _steps(column: pa.Array):
     """Of each block of texts: context code, word code and text number of every token, the ends included."""
-    for first, stop, text, at in blocks(batch.column(0)):
+    for first, stop, text, at in blocks(column):
         text, start, end, owner = _tokens(text, at)
         own = np.arange(stop - first)
         code = word_hash(text, start, end).view(np.int64)
@@ -96,119 +99,398 @@ def _steps(batch: pa.RecordBatch):
         yield context, word, first + who
 
 
-def _pair_counts(batches):
-    """Training counts of the (context, word) pairs of all texts, 0 for those of other texts alone, combined within a batch."""
-    for batch in batches:
-        parts = list(_steps(batch))
-        if not parts:
-            continue
-        context, word, who = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[who]
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(context[new]), pa.array(word[new]), pa.array(np.add.reduceat(train[order], new))], names=["u", "w", "n"])
-
-
-def _occurrences(batches):
-    """Every token: context, word and report."""
+# Packed rows -------------------------------------------------------------------------------------------------------------------------
+
+_ROW = "slot int, kind int, part bigint, body binary, x bigint, y bigint"
+_NAMES = ["slot", "kind", "part", "body", "x", "y"]
+#: What a packed row holds.
+_PAIRS, _CONTEXTS, _SEATS, _ASKED, _SENT, _CUT, _WORDS, _ANSWER, _TOTALS, _SERVED, _TOKENS = range(11)
+_TYPES = (np.int64, np.uint64, np.float64, np.int32, np.bool_)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte by byte of equal weight."""
+    head = np.array([len(columns), *(x for c in columns for x in (_TYPES.index(c.dtype.type), len(c)))], np.int64)
+    body = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *body]))
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    count = int(held[:8].view(np.int64)[0])
+    shape = held[8: 8 + 16 * count].view(np.int64).reshape(count, 2)
+    out, at = [], 8 + 16 * count
+    for kind, length in shape.tolist():
+        width = np.dtype(_TYPES[kind]).itemsize
+        out.append(np.ascontiguousarray(held[at: at + width * length].reshape(width, length).T).view(_TYPES[kind]).ravel())
+        at += width * length
+    return out
+
+
+def _gaps(ordered: np.ndarray) -> np.ndarray:
+    """Rising codes as differences, which take less space."""
+    out = ordered.view(np.uint64).copy()
+    out[1:] -= ordered.view(np.uint64)[:-1]
+    return out
+
+
+def _rising(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64).view(np.int64)
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    change = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for key in keys:
+        change |= key[1:] != key[:-1]
+    return np.flatnonzero(np.append(True, change)) if len(keys[0]) else np.empty(0, np.int64)
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, at) if len(at) else np.empty(0, values.dtype)
+
+
+def _coded(u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Pairs in order as contexts with run lengths and a list of words with places in it."""
+    at = _new(u)
+    own, place = np.unique(w, return_inverse=True)
+    return [_gaps(u[at]), np.diff(np.append(at, len(u))), _gaps(own), place.astype(np.int32)]
+
+
+def _row(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
+
+
+def _slots(batches) -> Iterator[tuple[int, dict[int, list[tuple[int, bytes]]]]]:
+    """``(slot, kind -> (part, body) of its rows)`` of rows in the order of their slots."""
+    now, held = None, {}
     for batch in batches:
-        for context, word, who in _steps(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(word), batch.column(1).take(pa.array(who))], names=["u", "w", "row"])
+        for slot, kind, part, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if slot != now:
+                if held:
+                    yield now, held
+                now, held = slot, {}
+            held.setdefault(kind, []).append((part, body))
+    if held:
+        yield now, held
+
+
+def _word_slot(w: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(w.view(np.uint64) + np.uint64(0x51)) % np.uint64(slots)).astype(np.int64)
+
 
+def _context_slot(u: np.ndarray, w: np.ndarray, slots: int, cut: np.ndarray) -> np.ndarray:
+    """The slot of each pair's context; the contexts ``cut`` are dealt by word."""
+    code = mix(u.view(np.uint64))
+    hot = _find(cut, u)[1]
+    code[hot] = mix(code[hot] ^ mix(w[hot].view(np.uint64)))
+    return (code % np.uint64(slots)).astype(np.int64)
 
-def _seat_dishes(sweep: int):
-    """One Gibbs step for each context dish, in the order in which the rows come."""
+
+def _find(ordered: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each sought value in ``ordered`` and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(ordered, sought), len(ordered) - 1)
+    return at, ordered[at] == sought
+
+
+def _by_word_slot(w: np.ndarray, slots: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of rising words by slot, and ``(slot, first, stop)`` of each in that order."""
+    slot = _word_slot(w, slots)
+    order = np.argsort(slot, kind="stable")
+    at = _new(slot[order])
+    return order, list(zip(slot[order][at].tolist(), at.tolist(), np.append(at[1:], len(w)).tolist()))
+
+
+# Steps -------------------------------------------------------------------------------------------------------------------------------
+
+
+def _word_counts(batches):
+    """Words with their number in the training part and in all texts, combined within a batch."""
+    for batch in batches:
+        train = batch.column(1).to_numpy(zero_copy_only=False)
+        for _, word, who in _gathered(batch.column(0)):
+            order = np.argsort(word, kind="stable")
+            word, learnt = word[order], train[who][order].astype(np.int64)
+            at = _new(word)
+            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(_sums(learnt, at)), pa.array(np.diff(np.append(at, len(word))))], names=["w", "c", "a"])
+
+
+def _gathered(column: pa.Array):
+    """``_steps`` of several blocks at once."""
+    parts, held = [], 0
+    for part in _steps(column):
+        parts.append(part)
+        held += len(part[0])
+        if held >= PACKED_WORDS:
+            yield [np.concatenate(c) for c in zip(*parts)]
+            parts, held = [], 0
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def _dealt(column: pa.Array, slots: int, cut: np.ndarray):
+    """Of gathered blocks: slot, context, word and text number of all tokens, in this order."""
+    for context, word, who in _gathered(column):
+        slot = _context_slot(context, word, slots, cut)
+        order = np.lexsort((word, context, slot))
+        yield slot[order], context[order], word[order], who[order]
+
+
+def _deal_counts(slots: int, cut: np.ndarray):
+    """Pairs with their customers and their tokens in other texts, packed by slot."""
 
     def run(batches):
-        rng = np.random.default_rng([_SEED, sweep, 0, TaskContext.get().partitionId()])
         for batch in batches:
-            n, tables, weight, parent, total = (batch.column(k).to_numpy() for k in range(2, 7))
-            tables, weight = gibbs(n, tables, weight, parent, total, rng)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tables), pa.array(weight), batch.column(7)], names=["u", "w", "n", "t", "weight", "kept"])
+            train = batch.column(1).to_numpy(zero_copy_only=False)
+            for slot, u, w, who in _dealt(batch.column(0), slots, cut):
+                at, learnt = _new(slot, u, w), train[who].astype(np.int64)
+                n, every = _sums(learnt, at), np.diff(np.append(at, len(u)))
+                slot, u, w = slot[at], u[at], w[at]
+                edge = _new(slot)
+                yield _row([(int(slot[i]), _PAIRS, 0, pack(*_coded(u[i:j], w[i:j]), n[i:j], every[i:j])) for i, j in zip(edge, np.append(edge[1:], len(slot)))])
 
     return run
 
 
-def _seat_root(sweep: int, uniform: float, total: float):
-    """The root's dishes seated for their customers of this sweep, given ``total`` tables of the sweep before."""
+def _deal_tokens(slots: int, cut: np.ndarray, wide: dict[int, int]):
+    """Pairs with the reports of their tokens, packed by slot; ``part`` is the task's share of a wide slot."""
 
     def run(batches):
-        rng = np.random.default_rng([_SEED, sweep, 1, TaskContext.get().partitionId()])
+        turn = TaskContext.get().partitionId()
         for batch in batches:
-            customers, before = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            flat, whole = np.full(len(customers), uniform), np.full(len(customers), total)
-            tables, weight = seat(customers, flat, np.maximum(whole - before, 0), rng)
-            tables, _ = gibbs(customers, tables, weight, flat, whole, rng)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tables)], names=["w", "customers", "t"])
+            train, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for slot, u, w, who in _dealt(batch.column(0), slots, cut):
+                turn += 1
+                at = _new(slot, u, w)
+                count = np.diff(np.append(at, len(u)))
+                edge = _new(slot[at])
+                out = []
+                for i, j in zip(edge, np.append(edge[1:], len(at))):
+                    own, place = np.unique(who[at[i]: at[j] if j < len(at) else len(who)], return_inverse=True)
+                    here = int(slot[at[i]])
+                    out.append((here, _TOKENS, turn % wide.get(here, 1), pack(
+                        *_coded(u[at[i:j]], w[at[i:j]]), count[i:j], place.astype(np.int32), rows[own], train[own])))
+                yield _row(out)
 
     return run
 
 
-def _predictive(n: Column, t: Column, all_customers, all_tables, parent) -> Column:
-    """``predict`` as an expression."""
-    return (F.greatest(n - DISCOUNT * t, F.lit(0.0)) + (STRENGTH + DISCOUNT * all_tables) * parent) / (STRENGTH + all_customers)
+def _pairs(body: bytes) -> list[np.ndarray]:
+    u, runs, own, place, *more = unpack(body)
+    return [np.repeat(_rising(u), runs), _rising(own)[place], *more]
 
 
-def _marked(table: DataFrame, most: int) -> DataFrame:
-    """``table`` with ``hot``: at most ``most`` rows of the greatest ``n``, no ties cut."""
-    edge = table.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.count("*"), F.min("n")).first()
-    return table.withColumn("hot", F.col("n") > F.lit(edge[1] if edge[0] > most else -1))
+def _count(word_slots: int, cut: np.ndarray):
+    """Of a slot's pairs: those to look up, its restaurants, its first seating, and what its words' slots are told and asked."""
 
+    def run(batches):
+        for slot, held in _slots(batches):
+            u, w, n, every = (np.concatenate(c) for c in zip(*(_pairs(body) for _, body in held[_PAIRS])))
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            at = _new(u, w)
+            n, every, u, w = _sums(n[order], at), _sums(every[order], at), u[at], w[at]
+            out, tokens = [], int(every.sum())
+            asked = np.unique(w)
+            order, parts = _by_word_slot(asked, word_slots)
+            out += [(v, _ASKED, slot, pack(_gaps(asked[order[i:j]]))) for v, i, j in parts]
+            known = (n > 0) & (every > 1)
+            out.append((slot, _PAIRS, 0, pack(*_coded(u[known], w[known]), n[known]), tokens))
+            several = int((n > 1).sum())
+            learnt = n > 0
+            u, w, n = u[learnt], w[learnt], n[learnt]
+            at = _new(u)
+            single, one = (n == 1).astype(np.int64), np.ones(len(n), np.int64)
+            restaurants = u[at], _sums(n, at), _sums(single, at)
+            out.append((slot, _CONTEXTS, 0, pack(_gaps(restaurants[0]), *restaurants[1:])))
+            out.append((slot, _SEATS, 0, pack(np.ones(several, np.int64), np.full(several, -np.inf), np.zeros(several, np.int64))))
+            hot = _find(cut, restaurants[0])[1]
+            out += [(slot, _CUT, a, None, b, c) for a, b, c in zip(restaurants[0][hot].tolist(), restaurants[1][hot].tolist(), _sums(one, at)[hot].tolist())]
+            order = np.argsort(w, kind="stable")
+            at = _new(w[order])
+            w, c, s, d = w[order][at], _sums(n[order], at), _sums(single[order], at), _sums((one - single)[order], at)
+            order, parts = _by_word_slot(w, word_slots)
+            out += [(v, _SENT, slot, pack(_gaps(w[k]), c[k], s[k], d[k])) for v, i, j in parts for k in (order[i:j],)]
+            yield _row(out)
 
-def _attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The inner join with a table of one row per key, the hot keys by broadcast and the others by a shuffle."""
-    hot = F.broadcast(table.where("hot").drop("hot"))
-    near = rows.join(hot, key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where("not hot").drop("hot"), key)
-    return near.unionByName(far)
+    return run
 
 
-def _sweeps(dishes: DataFrame, words_: DataFrame, contexts: DataFrame, buckets: int, uniform: float, singles: int,
-            kept: Callable[[int], bool]) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, int]]]:
-    """Seat ``dishes(u, w, n)``, all of more than one customer, and the root's; ``singles`` words have one customer at the root.
+def _serve(sweep: int, uniform: float, total: float, kept: bool):
+    """The root's dishes of a slot of words seated for their customers of this sweep, given ``total`` tables of the sweep before; context slots get answers."""
 
-    ``words_`` and ``contexts`` hold, by word and by context, ``s``: the dishes of one customer. Gives all three with ``kept``, their tables (of words:
-    customers and tables) in the kept sweeps, and the root's customers and tables in each of these.
-    """
-    none = "cast(array() as array<bigint>)"
-    dishes = keep(dishes.selectExpr("u", "w", "n", "1L t", "cast('-Infinity' as double) weight", f"{none} kept"), "lm-dishes")
-    words_ = words_.selectExpr("w", "s", "hot", "0L customers", "0L t", f"{none} kept")
-    contexts = contexts.selectExpr("u", "s", "hot", "0L t", f"{none} kept")
-    root_tables, totals = float(singles), []
-    for k in range(BURN_IN + SAMPLES + 1):
-        # what is kept is a whole state: the dishes, and root and totals summed from them
-        ours, before = kept(k), [words_, contexts] if k else []
-        by_word = words_.join(dishes.groupBy("w").agg(F.sum("t").alias("far")), "w", "left").withColumn("now", F.col("s") + F.coalesce("far", F.lit(0)))
-        if k == 0:
-            root_tables = float(singles + words_.count())
-        seated = by_word.select("w", F.col("now").alias("customers"), F.col("t").alias("before")).repartition(
-            buckets, "w").sortWithinPartitions("w").mapInArrow(_seat_root(k, uniform, root_tables), "w bigint, customers bigint, t bigint")
-        words_ = keep(words_.drop("customers", "t").join(seated, "w").withColumn(
-            "kept", F.concat("kept", F.array("customers", "t")) if ours else F.col("kept")), "lm-words")
-        customers, root = (int(x or 0) + singles for x in words_.agg(F.sum("customers"), F.sum("t")).first())
-        root_tables = float(root)
-        by_context = contexts.drop("t").join(dishes.groupBy("u").agg(F.sum("t").alias("far")), "u", "left").withColumn(
-            "t", F.col("s") + F.coalesce("far", F.lit(0))).drop("far")
-        contexts = keep(by_context.withColumn("kept", F.concat("kept", F.array("t")) if ours else F.col("kept")), "lm-contexts")
-        for table in before:
-            forget(table)
-        if ours:
-            totals.append((customers, root))
-            dishes = dishes.withColumn("kept", F.concat("kept", F.array("t")))
-        if k == BURN_IN + SAMPLES:
-            break
-        parent = words_.select("w", "hot", _predictive(F.col("customers"), F.col("t"), customers, root, uniform).alias("parent"))
-        given = _attach(_attach(dishes, parent, "w"), contexts.select("u", "hot", F.col("t").cast("double").alias("total")), "u")
-        before = dishes
-        dishes = keep(given.select("u", "w", "n", "t", "weight", "parent", "total", "kept").repartition(buckets, "u", "w").sortWithinPartitions("u", "w").mapInArrow(
-            _seat_dishes(k), "u bigint, w bigint, n bigint, t bigint, weight double, kept array<bigint>"), "lm-dishes")
-        forget(before)
-    return dishes, words_, contexts, totals
+    def run(batches):
+        for slot, held in _slots(batches):
+            told = [[_rising(g), *more] for g, *more in (unpack(body) for _, body in sorted(held.get(_SENT, [])))]
+            senders = [part for part, _ in sorted(held.get(_SENT, []))]
+            if sweep == 0:
+                w, place = np.unique(np.concatenate([t[0] for t in told]) if told else np.empty(0, np.int64), return_inverse=True)
+                c, s, far = (_added(place, [t[k] for t in told], len(w)) for k in (1, 2, 3))
+                before, keeps = np.zeros(len(w), np.int64), []
+                asks = [t[0][t[3] > 0] for t in told]
+            elif _WORDS in held:
+                gaps, c, s, before, *keeps = unpack(held[_WORDS][0][1])
+                w, asks = _rising(gaps), [t[0] for t in told]
+                far = _added(np.searchsorted(w, np.concatenate(asks)) if asks else np.empty(0, np.int64), [t[1] for t in told], len(w))
+            else:
+                w, asks = np.empty(0, np.int64), []
+                c, s, far, before, keeps = w, w, w, w, [w] * 2 * (SAMPLES - 1)
+            customers, tables = s + far, np.minimum(c, 1)
+            several = np.flatnonzero(c > 1)
+            rng = np.random.default_rng([_SEED, sweep, 1, slot])
+            flat, whole = np.full(len(several), uniform), np.full(len(several), total)
+            t, weight = seat(customers[several], flat, np.maximum(whole - before[several], 0), rng)
+            tables[several] = gibbs(customers[several], t, weight, flat, whole, rng)[0]
+            keeps = [*keeps, customers, tables] if kept else keeps
+            out = [(slot, _TOTALS, 0, None, int(customers.sum()), int(tables.sum()))]
+            if _ASKED in held:
+                for part, body in held[_ASKED]:
+                    sought = _rising(unpack(body)[0])
+                    at, there = _find(w, sought)
+                    give = [np.where(there, x[at], 0) if len(x) else np.zeros(len(sought), np.int64) for x in (c, *keeps)]
+                    out.append((part, _SERVED, slot, pack(_gaps(sought), *give)))
+            else:
+                out.append((slot, _WORDS, 0, pack(_gaps(w), c, s, tables, *keeps)))
+                for part, sought in zip(senders, asks):
+                    at = np.searchsorted(w, sought)
+                    out.append((part, _ANSWER, slot, pack(customers[at], tables[at])))
+            yield _row(out)
+
+    return run
 
 
-def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str = "report", frequent: int = FREQUENT, contexts: int = CONTEXTS,
-                  bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def _added(place: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    if parts:
+        np.add.at(out, place, np.concatenate(parts))
+    return out
+
+
+def _context_totals(u: np.ndarray, several: np.ndarray, restaurants: np.ndarray, single: np.ndarray, tables: np.ndarray, cut: dict[int, int]) -> np.ndarray:
+    """Tables of each restaurant of a slot, of cut contexts over all slots."""
+    out = single + np.bincount(np.searchsorted(restaurants, u[several]), tables, len(restaurants)).astype(np.int64)
+    hot = np.array(sorted(cut), np.int64)
+    at, there = _find(hot, restaurants)
+    out[there] = np.array([cut[x] for x in hot.tolist()], np.int64)[at[there]] if len(hot) else 0
+    return out
+
+
+def _seat_slot(sweep: int, word_slots: int, root: tuple[int, int], uniform: float, cut: dict[int, int], kept: bool):
+    """One Gibbs step for the dishes of a slot, given the root's answers."""
+
+    def run(batches):
+        for slot, held in _slots(batches):
+            u, w, n = _pairs(held[_PAIRS][0][1])
+            gaps, _, single = unpack(held[_CONTEXTS][0][1])
+            restaurants = _rising(gaps)
+            tables, weight, total, *keeps = unpack(held[_SEATS][0][1])
+            several = np.flatnonzero(n > 1)
+            served = _context_totals(u, several, restaurants, single, tables, cut)
+            if kept:
+                total, keeps = total + tables, [*keeps, served]
+            own, place = np.unique(w[several], return_inverse=True)
+            order, parts = _by_word_slot(own, word_slots)
+            parent = np.empty(len(own))
+            if len(own):
+                answers = [unpack(body) for _, body in sorted(held[_ANSWER])]
+                customers, at_root = (np.concatenate(c) for c in zip(*answers))
+                parent[order] = predict(customers, at_root, *root, np.full(len(own), uniform))
+            rng = np.random.default_rng([_SEED, sweep, 0, slot])
+            at = np.searchsorted(restaurants, u[several])
+            tables, weight = gibbs(n[several], tables, weight, parent[place], served[at].astype(np.float64), rng)
+            out = [(slot, _SEATS, 0, pack(tables, weight, total, *keeps))]
+            sent = np.bincount(place, tables, len(own)).astype(np.int64)
+            out += [(v, _SENT, slot, pack(_gaps(own[order[i:j]]), sent[order[i:j]])) for v, i, j in parts]
+            here = single + np.bincount(at, tables, len(restaurants)).astype(np.int64)
+            hot = _find(np.array(sorted(cut), np.int64), restaurants)[1]
+            out += [(slot, _CUT, a, None, 0, b) for a, b in zip(restaurants[hot].tolist(), here[hot].tolist())]
+            yield _row(out)
+
+    return run
+
+
+class _Slot:
+    """What a slot of contexts knows in the end, and the scores of its pairs."""
+
+    def __init__(self, held, tokens: int, kinds: int, uniform: float, roots: list[tuple[int, int]], cuts: list[dict[int, int]], learnt: dict[int, int]):
+        u, w, self.n = _pairs(held[_PAIRS][0][1])
+        gaps, customers, single = unpack(held[_CONTEXTS][0][1])
+        restaurants = _rising(gaps)
+        tables, _, total, *served = unpack(held[_SEATS][0][1])
+        several = np.flatnonzero(self.n > 1)
+        served = [*served, _context_totals(u, several, restaurants, single, tables, cuts[-1])]
+        self.tables = np.full(len(u), SAMPLES, np.int64)
+        self.tables[several] = total + tables
+        # a cut context may have no customer in this slot
+        hot = np.array(sorted(learnt), np.int64)
+        extra = hot[~_find(restaurants, hot)[1]]
+        order = np.argsort(np.concatenate([restaurants, extra]), kind="stable")
+        self.contexts = np.concatenate([restaurants, extra])[order]
+        self.served = [np.concatenate([t, np.array([cut.get(x, 0) for x in extra.tolist()], np.int64)])[order] for t, cut in zip(served, cuts)]
+        self.customers = np.concatenate([customers, np.zeros(len(extra), np.int64)])[order]
+        at, there = _find(self.contexts, hot)
+        self.customers[at[there]] = np.array([learnt[x] for x in hot.tolist()], np.int64)[there] if len(hot) else 0
+        gaps, c, *values = (np.concatenate(x) for x in zip(*([_rising(g), *more] for g, *more in (unpack(body) for _, body in held[_SERVED]))))
+        order = np.argsort(gaps)
+        self.words = gaps[order]
+        self.base, self.known = np.log10((c[order] + 1) / (tokens + kinds + 1)), c[order] > 0
+        self.root = [predict(values[2 * k][order], values[2 * k + 1][order], *root, uniform) for k, root in enumerate(roots)]
+        self.keys = self._key(np.searchsorted(self.contexts, u), np.searchsorted(self.words, w))
+
+    def _key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return context * len(self.words) + word
+
+    def score(self, body: bytes) -> pa.RecordBatch:
+        """Sums of a packed row of tokens by report."""
+        u, runs, own, place, count, row, rows, train = unpack(body)
+        context, there = _find(self.contexts, _rising(u))
+        context, there = np.repeat(context, runs), np.repeat(there, runs)
+        own = _rising(own)
+        word = np.searchsorted(self.words, own)[place]
+        first = np.cumsum(count) - count
+        at, found = _find(self.keys, np.where(there, self._key(context, word), -1))
+        alone = train[row[first]].astype(np.int64)
+        n = np.where(found, self.n[at], alone) if len(self.n) else alone
+        tables = np.where(found, self.tables[at] / SAMPLES, alone) if len(self.n) else alone
+        if len(self.contexts):
+            customers, served = np.where(there, self.customers[context], 0), [np.where(there, t[context], 0) for t in self.served]
+        else:
+            customers, served = np.zeros(len(n)), [np.zeros(len(n))] * SAMPLES
+        # the sum of the sweeps' predictive probabilities: customers less discounted tables are linear in the tables
+        backed = sum((STRENGTH + DISCOUNT * t) * p[word] for t, p in zip(served, self.root)) / SAMPLES
+        gain = np.log10((np.maximum(n - DISCOUNT * tables, 0) + backed) / (STRENGTH + customers))
+
+        def per(values):
+            return np.bincount(row, np.repeat(values, count), len(rows))
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows), *(pa.array(per(x).astype(np.int64)) for x in (own[place] == _END, np.ones(len(word)), self.known[word])),
+             pa.array(per(self.base[word])), pa.array(per(gain))], names=["row", "ends", "n_tokens", "n_known", "base", "gain"])
+
+
+def _score(*given):
+    """Sums by report of the tokens of a slot: what it knows comes first, then its tokens, one packed row at a time."""
+
+    def run(batches):
+        now, held, knows = None, {}, None
+        for batch in batches:
+            for k in range(len(batch)):
+                slot, kind, part, body = (batch.column(c)[k].as_py() for c in range(4))
+                if slot != now:
+                    now, held, knows = slot, {}, None
+                if kind != _TOKENS:
+                    held.setdefault(kind, []).append((part, body))
+                    continue
+                knows = knows or _Slot(held, *given)
+                yield knows.score(body)
+
+    return run
+
+
+def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str = "report", bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``loops``.
 
     Learns from ids whose ``fold`` of 7 is not 2; the others are ``held_out``. Tokens are lower-cased (A-Z) runs without blanks, then one end.
@@ -216,39 +498,66 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
     log10 probability of the text. A null or empty text is the end alone. Rows that repeat are reports of their own; a null id counts as the empty
     text in its fold. Without training reports nothing is known and every token has probability 1. Further columns are not looked at.
     """
+    spark = loops.sparkSession
     rows = loops.select(id_column, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_lt_text"))
     rows = rows.withColumns({"_lt_train": fold(id_column, 7) != 2, "_lt_row": F.xxhash64(F.col(id_column).cast("string"), "_lt_text")})
-    pairs = rows.select("_lt_text", "_lt_train").mapInArrow(_pair_counts, "u bigint, w bigint, n bigint")
-    pairs = keep(pairs.groupBy("u", "w").agg(F.sum("n").alias("n")), "lm-pairs")
-    sums = [F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("s")]
-    by_word = _marked(keep(pairs.groupBy("w").agg(*sums), "lm-word-counts"), frequent)
-    by_context = _marked(keep(pairs.groupBy("u").agg(*sums), "lm-context-counts"), contexts)
-    tokens, kinds, singles = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
+    texts = rows.select("_lt_text", "_lt_train", "_lt_row")
+    by_word = keep(texts.mapInArrow(_word_counts, "w bigint, c bigint, a bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "lm-words")
+    tokens, every, kinds, singles, distinct = (int(x or 0) for x in by_word.agg(
+        F.sum("c"), F.sum("a"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count("*")).first())
     uniform = 1 / (kinds + 1)
-    several = pairs.where("n > 1")
-    buckets = max(1, -(-several.count() // bucket_words))
-    dishes, seated, served, totals = _sweeps(several, by_word.where("n > 1"), by_context.where("n > 0"), buckets, uniform, singles, lambda k: k > BURN_IN)
-    # what a word adds wherever it stands, and its probability at the root in each kept sweep
-    at = F.col("kept")
-    single = F.when(F.col("n") > 0, 1).otherwise(0)
-    root = [_predictive(F.coalesce(F.get(at, 2 * k), single), F.coalesce(F.get(at, 2 * k + 1), single), c, t, uniform) for k, (c, t) in enumerate(totals)]
-    word_rows = by_word.join(seated.select("w", "kept"), "w", "left").select(
-        "w", "hot", F.log10((F.col("n") + 1) / (tokens + kinds + 1)).alias("base"), (F.col("n") > 0).cast("int").alias("known"),
-        *(p.alias(f"p{k}") for k, p in enumerate(root)))
-    context_rows = by_context.join(served.select("u", "kept"), "u", "left").select(
-        "u", "hot", F.col("n").alias("c"), *(F.coalesce(F.get(at, k), F.lit(0)).alias(f"c{k}") for k in range(SAMPLES)))
-    # a pair of one customer has one table in every sweep, one of none has no table
-    held = pairs.where("n <= 1").select("u", "w", "n", *(F.col("n").alias(f"t{k}") for k in range(SAMPLES))).unionByName(
-        dishes.select("u", "w", "n", *(F.get(at, k).alias(f"t{k}") for k in range(SAMPLES))))
-    near = [_predictive(F.col("n"), F.col(f"t{k}"), F.col("c"), F.col(f"c{k}"), F.col(f"p{k}")) for k in range(SAMPLES)]
-    whole = _attach(_attach(held, word_rows, "w"), context_rows, "u").select(
-        F.xxhash64("u", "w").alias("pair"), "base", "known", (F.col("w") == _END).cast("int").alias("ends"),
-        F.log10(sum(near[1:], near[0]) / SAMPLES).alias("gain"))
-    seen = rows.select("_lt_text", "_lt_row").mapInArrow(_occurrences, "u bigint, w bigint, row bigint").select(F.xxhash64("u", "w").alias("pair"), "row")
+    slots, word_slots = max(1, -(-every // bucket_words)), max(1, -(-4 * distinct // bucket_words))
+    # each token but the last of a text is the context of one, and each text begins once
+    hot = {_START if w == _END else w: c for w, c in by_word.where(F.col("a") > bucket_words / 4).select("w", "c").collect()}
+    cut = np.array(sorted(hot), np.int64)
+
+    def step(table: DataFrame, count: int, work) -> DataFrame:
+        dealt = table.repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "kind", "part")
+        return keep(dealt.mapInArrow(work, _ROW), "lm-step", "kind")
+
+    def of(table: DataFrame, *kinds_: int) -> DataFrame:
+        return table.where(F.col("kind").isin(*kinds_)).select(*_NAMES)
+
+    def cuts_of(table: DataFrame) -> dict[int, int]:
+        got = of(table, _CUT).groupBy("part").agg(F.sum("y").alias("y")).collect() if hot else []
+        return {x: 0 for x in hot} | {r.part: r.y for r in got}
+
+    first = step(texts.mapInArrow(_deal_counts(slots, cut), _ROW), slots, _count(word_slots, cut))
+    sent, words_, root, roots, cuts = first, None, (0, kinds), [], []
+    for k in range(BURN_IN + SAMPLES + 1):
+        kept, last = k > BURN_IN, k == BURN_IN + SAMPLES
+        at_words = of(sent, _SENT)
+        if k:
+            at_words = at_words.unionByName(of(words_, _WORDS))
+        if last:
+            at_words = at_words.unionByName(of(first, _ASKED))
+        before, words_ = words_, step(at_words, word_slots, _serve(k, uniform, float(root[1]), kept))
+        root = tuple(int(x or 0) for x in of(words_, _TOTALS).agg(F.sum("x"), F.sum("y")).first())
+        tables = cuts_of(sent)
+        if kept:
+            roots.append(root)
+            cuts.append(tables)
+        if before is not None:
+            forget(before)
+        if last:
+            break
+        at_slots = of(first, _PAIRS, _CONTEXTS).unionByName(of(sent, _SEATS)).unionByName(of(words_, _ANSWER))
+        before, sent = sent, step(at_slots, slots, _seat_slot(k, word_slots, root, uniform, tables, kept))
+        if before is not first:
+            forget(before)
+    # a slot that a few pairs fill has several tasks, each with all it knows
+    wide = {r.slot: -(-r.x // bucket_words) for r in of(first, _PAIRS).where(F.col("x") > 2 * bucket_words).select("slot", "x").collect()}
+    shares = spark.createDataFrame(sorted(wide.items()), "slot int, shares int")
+    known = of(first, _PAIRS, _CONTEXTS).unionByName(of(sent, _SEATS)).unionByName(of(words_, _SERVED)).join(F.broadcast(shares), "slot", "left").withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).select(*_NAMES, "share")
+    packed = texts.mapInArrow(_deal_tokens(slots, cut, wide), _ROW).withColumn("share", F.col("part").cast("int"))
+    spread = max(slots, -(-every // bucket_words) + sum(wide.values()))
+    added = known.unionByName(packed).repartition(spread, "slot", "share").sortWithinPartitions("share", "slot", "kind").select("slot", "kind", "part", "body").mapInArrow(
+        _score(tokens, kinds, uniform, roots, cuts, hot), "row bigint, ends bigint, n_tokens bigint, n_known bigint, base double, gain double")
     # reports that agree in id and text share a row key: what they add together is dealt out evenly
-    added = seen.join(whole, "pair").groupBy(F.col("row").alias("_lt_row")).agg(
-        F.sum("ends").alias("copies"), F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("score"))
+    added = added.groupBy(F.col("row").alias("_lt_row")).agg(
+        F.sum("ends").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("score"))
     counts = [(F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")]
     return rows.select(id_column, "_lt_row", "_lt_train").join(added, "_lt_row").select(
-        id_column, (~F.col("_lt_train")).alias("held_out"), *counts, F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
+        id_column, (~F.col("_lt_train")).alias("held_out"), *counts, F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
