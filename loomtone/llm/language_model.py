@@ -38,7 +38,7 @@ from loomtone.llm.shared import fold, forget, keep
 #: Tokens that one slot of contexts holds, about.
 BUCKET_WORDS = 4_000_000
 #: Tokens that a task packs at once, about.
-PACKED_WORDS = 2_000_000
+PACKED_WORDS = 1_000_000
 DISCOUNT = 0.75
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 3
@@ -433,11 +433,14 @@ class _Slot:
         self.customers = np.concatenate([customers, np.zeros(len(extra), np.int64)])[order]
         at, there = _find(self.contexts, hot)
         self.customers[at[there]] = np.array([learnt[x] for x in hot.tolist()], np.int64)[there] if len(hot) else 0
-        gaps, c, *values = (np.concatenate(x) for x in zip(*([_rising(g), *more] for g, *more in (unpack(body) for _, body in held[_SERVED]))))
-        order = np.argsort(gaps)
-        self.words = gaps[order]
-        self.base, self.known = np.log10((c[order] + 1) / (tokens + kinds + 1)), c[order] > 0
-        self.root = [predict(values[2 * k][order], values[2 * k + 1][order], *root, uniform) for k, root in enumerate(roots)]
+        parts = []
+        for _, body in held.pop(_SERVED):
+            sought, c, *values = unpack(body)
+            parts.append([_rising(sought), np.log10((c + 1) / (tokens + kinds + 1)), c > 0, *(
+                predict(values[2 * k], values[2 * k + 1], *root, uniform) for k, root in enumerate(roots))])
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(columns[0])
+        self.words, self.base, self.known, *self.root = (x[order] for x in columns)
         self.keys = self._key(np.searchsorted(self.contexts, u), np.searchsorted(self.words, w))
 
     def _key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
