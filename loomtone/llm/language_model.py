@@ -36,9 +36,13 @@ from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, mix, word_hash, word
 from loomtone.llm.shared import fold, forget, keep
 
 #: Tokens that one slot of contexts holds, about.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
 #: Tokens that a task packs at once, about.
-PACKED_WORDS = 1_000_000
+PACKED_WORDS = 500_000
+#: Bytes of packed rows in one batch, about.
+BATCH_BYTES = 4 << 20
+#: How steps are written: bodies are compressed already, and pages and row groups end by their size, not after a hundred rows of some megabytes each.
+_WRITTEN = {"compression": "none", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 DISCOUNT = 0.75
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 3
@@ -157,9 +161,16 @@ def _coded(u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     return [_gaps(u[at]), np.diff(np.append(at, len(u))), _gaps(own), place.astype(np.int32)]
 
 
-def _row(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Packed rows in batches of about ``BATCH_BYTES``, since a batch stands whole on both sides of the way to Spark."""
     types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
+    held, size = [], 0
+    for k, row in enumerate(rows):
+        held.append(row)
+        size += len(row[3] or b"")
+        if size >= BATCH_BYTES or k == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] if c < len(r) else None for r in held], t) for c, t in enumerate(types)], names=_NAMES)
+            held, size = [], 0
 
 
 def _slots(batches) -> Iterator[tuple[int, dict[int, list[tuple[int, bytes]]]]]:
@@ -225,18 +236,21 @@ def _gathered(column: pa.Array):
         parts.append(part)
         held += len(part[0])
         if held >= PACKED_WORDS:
-            yield [np.concatenate(c) for c in zip(*parts)]
-            parts, held = [], 0
+            whole, parts, held = [np.concatenate(c) for c in zip(*parts)], [], 0
+            del part
+            yield whole
     if parts:
         yield [np.concatenate(c) for c in zip(*parts)]
 
 
 def _dealt(column: pa.Array, slots: int, cut: np.ndarray):
     """Of gathered blocks: slot, context, word and text number of all tokens, in this order."""
-    for context, word, who in _gathered(column):
-        slot = _context_slot(context, word, slots, cut)
-        order = np.lexsort((word, context, slot))
-        yield slot[order], context[order], word[order], who[order]
+    for tokens in _gathered(column):
+        slot = _context_slot(*tokens[:2], slots, cut)
+        order = np.lexsort((*tokens[1::-1], slot))
+        for k, column_ in enumerate(tokens):  # one after the other, so that never all are held twice
+            tokens[k] = column_[order]
+        yield slot[order], *tokens
 
 
 def _deal_counts(slots: int, cut: np.ndarray):
@@ -250,7 +264,7 @@ def _deal_counts(slots: int, cut: np.ndarray):
                 n, every = _sums(learnt, at), np.diff(np.append(at, len(u)))
                 slot, u, w = slot[at], u[at], w[at]
                 edge = _new(slot)
-                yield _row([(int(slot[i]), _PAIRS, 0, pack(*_coded(u[i:j], w[i:j]), n[i:j], every[i:j])) for i, j in zip(edge, np.append(edge[1:], len(slot)))])
+                yield from _rows([(int(slot[i]), _PAIRS, 0, pack(*_coded(u[i:j], w[i:j]), n[i:j], every[i:j])) for i, j in zip(edge, np.append(edge[1:], len(slot)))])
 
     return run
 
@@ -273,7 +287,7 @@ def _deal_tokens(slots: int, cut: np.ndarray, wide: dict[int, int]):
                     here = int(slot[at[i]])
                     out.append((here, _TOKENS, turn % wide.get(here, 1), pack(
                         *_coded(u[at[i:j]], w[at[i:j]]), count[i:j], place.astype(np.int32), rows[own], train[own])))
-                yield _row(out)
+                yield from _rows(out)
 
     return run
 
@@ -314,7 +328,7 @@ def _count(word_slots: int, cut: np.ndarray):
             w, c, s, d = w[order][at], _sums(n[order], at), _sums(single[order], at), _sums((one - single)[order], at)
             order, parts = _by_word_slot(w, word_slots)
             out += [(v, _SENT, slot, pack(_gaps(w[k]), c[k], s[k], d[k])) for v, i, j in parts for k in (order[i:j],)]
-            yield _row(out)
+            yield from _rows(out)
 
     return run
 
@@ -357,7 +371,7 @@ def _serve(sweep: int, uniform: float, total: float, kept: bool):
                 for part, sought in zip(senders, asks):
                     at = np.searchsorted(w, sought)
                     out.append((part, _ANSWER, slot, pack(customers[at], tables[at])))
-            yield _row(out)
+            yield from _rows(out)
 
     return run
 
@@ -407,7 +421,7 @@ def _seat_slot(sweep: int, word_slots: int, root: tuple[int, int], uniform: floa
             here = single + np.bincount(at, tables, len(restaurants)).astype(np.int64)
             hot = _find(np.array(sorted(cut), np.int64), restaurants)[1]
             out += [(slot, _CUT, a, None, 0, b) for a, b in zip(restaurants[hot].tolist(), here[hot].tolist())]
-            yield _row(out)
+            yield from _rows(out)
 
     return run
 
@@ -501,7 +515,6 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
     log10 probability of the text. A null or empty text is the end alone. Rows that repeat are reports of their own; a null id counts as the empty
     text in its fold. Without training reports nothing is known and every token has probability 1. Further columns are not looked at.
     """
-    spark = loops.sparkSession
     rows = loops.select(id_column, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_lt_text"))
     rows = rows.withColumns({"_lt_train": fold(id_column, 7) != 2, "_lt_row": F.xxhash64(F.col(id_column).cast("string"), "_lt_text")})
     texts = rows.select("_lt_text", "_lt_train", "_lt_row")
@@ -516,7 +529,7 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
 
     def step(table: DataFrame, count: int, work) -> DataFrame:
         dealt = table.repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "kind", "part")
-        return keep(dealt.mapInArrow(work, _ROW), "lm-step", "kind")
+        return keep(dealt.mapInArrow(work, _ROW), "lm-step", "kind", **_WRITTEN)
 
     def of(table: DataFrame, *kinds_: int) -> DataFrame:
         return table.where(F.col("kind").isin(*kinds_)).select(*_NAMES)
@@ -549,8 +562,8 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
         if before is not first:
             forget(before)
     # a slot that a few pairs fill has several tasks, each with all it knows
-    wide = {r.slot: -(-r.x // bucket_words) for r in of(first, _PAIRS).where(F.col("x") > 2 * bucket_words).select("slot", "x").collect()}
-    shares = spark.createDataFrame(sorted(wide.items()), "slot int, shares int")
+    shares = of(first, _PAIRS).where(F.col("x") > 2 * bucket_words).select("slot", F.ceil(F.col("x") / bucket_words).cast("int").alias("shares"))
+    wide = {r.slot: r.shares for r in shares.collect()}
     known = of(first, _PAIRS, _CONTEXTS).unionByName(of(sent, _SEATS)).unionByName(of(words_, _SERVED)).join(F.broadcast(shares), "slot", "left").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).select(*_NAMES, "share")
     packed = texts.mapInArrow(_deal_tokens(slots, cut, wide), _ROW).withColumn("share", F.col("part").cast("int"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from loomtone.workspace import scratch_path
 
 
-def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder (in a folder for each value of ``by``) and read it back, so later uses neither recompute nor lose it."""
+def keep(df: DataFrame, name: str, *by: str, **options) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder (in a folder for each value of ``by``) and read it back, so later uses neither recompute nor lose it.
+
+    ``options`` are those of the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
