@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtone.llm.blocks import BLANK_WORDS, LOWER, blocks, mix, word_hash, words
-from loomtone.llm.shared import fold, forget, keep
+from loomtone.llm.shared import drop_shuffles, fold, forget, keep
 
 #: Tokens that one slot of contexts holds, about.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 3_000_000
 #: Tokens that a task packs at once, about.
-PACKED_WORDS = 500_000
+PACKED_WORDS = 1_000_000
 #: Bytes of packed rows in one batch, about.
 BATCH_BYTES = 4 << 20
 #: How steps are written: bodies are compressed already, and pages and row groups end by their size, not after a hundred rows of some megabytes each.
@@ -556,6 +556,10 @@ def score_reports(loops: DataFrame, id_column: str = "file_id", text_column: str
         if before is not None:
             forget(before)
         if last:
+            # the scores need no messages: tables and shuffles of the sweeps make room for the tokens
+            forget(first, f"kind={_ASKED}", f"kind={_SENT}")
+            forget(sent, f"kind={_SENT}")
+            drop_shuffles(loops.sparkSession)
             break
         at_slots = of(first, _PAIRS, _CONTEXTS).unionByName(of(sent, _SEATS)).unionByName(of(words_, _ANSWER))
         before, sent = sent, step(at_slots, slots, _seat_slot(k, word_slots, root, uniform, tables, kept))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtone.workspace import scratch_path
@@ -22,14 +22,21 @@ def keep(df: DataFrame, name: str, *by: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a table that ``keep`` wrote and that nothing reads any more."""
+def forget(df: DataFrame, *parts: str) -> None:
+    """Remove a table that ``keep`` wrote and that nothing reads any more, or its ``parts`` (``column=value``)."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if parts and path.rsplit("/", 1)[1] not in parts:
+            continue
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark removes them when the driver's JVM collects their plans."""
+    spark._jvm.java.lang.System.gc()
+
+
 def named(column: str) -> Column:
     """The column of exactly this name, whatever signs it has."""
     return F.col("`" + column.replace("`", "``") + "`")
